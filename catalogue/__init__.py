@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,13 +54,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written tables, inside the shared one the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"plumbline-{name}-")
-    return os.path.join(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
-
-
 def load_all() -> None:
     from catalogue import cleaning, clustering, detection, evaluation, learning, profiling, scoring  # noqa: F401

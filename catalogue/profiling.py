@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue import query, rounded, run_sql, table, work_folder
-from plumbline.functions.columns import hash52
+from catalogue import query, rounded, run_sql, table
+from plumbline.functions.columns import scratch
 from plumbline.operators import association, audit, drops, findings
 from plumbline.sources import tables
 
@@ -40,7 +40,7 @@ def _each(cols, template, source):
 
 @query("csv_round_trip", "SELECT c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment FROM {customer}")
 def _(spark, sf):
-    path = work_folder(spark, "csv")
+    path = scratch(spark, "csv")
     tables.write_table(table(spark, sf, "customer"), path, format="csv")
     return tables.read_table(
         spark, path, format="csv",
@@ -50,7 +50,7 @@ def _(spark, sf):
 
 @query("csv_inferred", "SELECT CAST(o_orderkey AS BIGINT) AS k, round(o_totalprice, 2) AS p, o_orderstatus AS s FROM {orders}")
 def _(spark, sf):
-    path = work_folder(spark, "csv")
+    path = scratch(spark, "csv")
     tables.write_table(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, format="csv", sep=";")
     df = tables.read_table(spark, path, format="csv", sep=";")
     return df.select(F.col("o_orderkey").cast("bigint").alias("k"), F.round("o_totalprice", 2).alias("p"), F.col("o_orderstatus").alias("s"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -111,15 +112,23 @@ def sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def shared_folder(spark) -> str | None:
+    """The folder all executors share, as the session names it; None in a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh path for a table one step writes and the next reads."""
+    base = shared_folder(spark) or tempfile.mkdtemp(prefix="plumbline-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint(eager=True)
