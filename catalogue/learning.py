@@ -1 +1,237 @@
-"""Queries."""
+"""Selection, search, attribution and whole training runs."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import functions as F
+
+from catalogue import query, rounded, run_sql, table
+from plumbline.config import Settings
+from plumbline.operators import association, attribution, metrics, search, select, split
+from plumbline.operators.cluster import assemble
+from plumbline.plans.train import train
+
+PARTS = """SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice / 100 AS price, p_retailprice / 100 + p_size / 1000.0 AS twin,
+  CAST(p_partkey % 7 AS DOUBLE) AS noise, 0.001 * p_size AS flat, CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 1.0 ELSE 0.0 END AS label FROM {part}"""
+COLS = ["size", "price", "twin", "noise", "flat"]
+
+
+def parts(spark, sf):
+    return run_sql(spark, sf, PARTS).withColumn("label", F.col("label").cast("double")).withColumn("flat", F.col("flat").cast("double")).withColumn("twin", F.col("twin").cast("double"))
+
+
+@query("select_variance", f"WITH x AS ({PARTS}) " + " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(var_pop({c}), 6) AS variance, var_pop({c}) > 0.01 AS kept FROM x""" for c in COLS))
+def _(spark, sf):
+    return rounded(select.variances(parts(spark, sf), COLS))
+
+
+IMPORTANCE = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, label)) AS importance FROM x" for c in COLS[:4])
+
+
+def _importance(df):
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.abs(F.corr(c, "label")).alias("importance")) for c in COLS[:4]])
+    return df.agg(rows.alias("r")).select(F.inline("r"))
+
+
+@query("select_correlated", f"""WITH x AS ({PARTS}), i AS ({IMPORTANCE}),
+p AS (SELECT 'twin' AS later, 'price' AS earlier FROM x HAVING abs(corr(price, twin)) > 0.95)
+SELECT CASE WHEN coalesce(a.importance, 0) < coalesce(b.importance, 0) THEN later ELSE earlier END AS "column" FROM p LEFT JOIN i a ON a.feature = later LEFT JOIN i b ON b.feature = earlier""")
+def _(spark, sf):
+    df = parts(spark, sf)
+    return select.weaker_of_pairs(association.pearson_pairs(df, COLS[:4], above=0.95), _importance(df))
+
+
+@query("select_correlated_unscored", f"""WITH x AS ({PARTS}) SELECT 'price' AS "column" FROM x HAVING abs(corr(price, twin)) > 0.95""")
+def _(spark, sf):
+    # Without scores every pair is a tie, and the earlier column goes.
+    df = parts(spark, sf)
+    return select.weaker_of_pairs(association.pearson_pairs(df, COLS[:4], above=0.95), _importance(df).where("importance < 0"))
+
+
+@query("select_weak", f"""WITH x AS ({PARTS}), i AS (SELECT feature, power(importance, 4) AS importance FROM ({IMPORTANCE}) r) SELECT feature AS "column" FROM i WHERE importance < 0.01 * (SELECT max(importance) FROM i)""")
+def _(spark, sf):
+    return select.weak_features(_importance(parts(spark, sf)).withColumn("importance", F.pow("importance", 4)))
+
+
+@query("select_leaks", f"SELECT p_partkey, size, noise FROM ({PARTS}) x")
+def _(spark, sf):
+    df = parts(spark, sf)
+    rho = association.spearman(df, ["size", "noise", "twin"], "price")
+    leaks = [r["column"] for r in association.leakage(rho, "rho", "spearman").collect()]
+    return df.select("p_partkey", *select.drop_leaks(["size", "noise", "twin"], leaks))
+
+
+@query("consensus_importance")
+def _(spark, sf):
+    return rounded(select.consensus_importance(parts(spark, sf), ["size", "price", "noise"], "classification", 2, trees=5))
+
+
+@query("select_features")
+def _(spark, sf):
+    df = parts(spark, sf)
+    pairs = [tuple(r) for r in association.pearson_pairs(df, COLS[:4], above=0.95).collect()]
+    return select.select_features(df, COLS, "classification", 2, pairs=pairs, trees=5).ledger(spark)
+
+
+@query("recursive_elimination")
+def _(spark, sf):
+    df = split.assign_folds(parts(spark, sf), ["p_partkey"], k=3, stratify="label").cache()
+    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42, 5)
+
+    def score(cols):
+        return sum(search.cross_validate(df, search.build("logistic_regression", {"c": 1.0}, cols, facts), "classification", 3)) / 3
+
+    kept, history = select.eliminate(df, ["size", "price", "noise"], "classification", 2, score, trees=5)
+    df.unpersist()
+    return rounded(spark.createDataFrame([(n, float(s), len(kept)) for n, s in history], "features int, score double, kept int"))
+
+
+@query("selection_check", f"""SELECT CASE WHEN kept < full_score - 0.02 THEN 'selection reduced F1 by more than 0.02' ELSE 'stable' END AS note FROM (
+SELECT avg(CASE WHEN (price + size * 0.03 < 10) = (label = 1) THEN 1.0 ELSE 0.0 END) AS full_score, avg(CASE WHEN (price < 9.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS kept FROM ({PARTS}) x) s""")
+def _(spark, sf):
+    df = parts(spark, sf)
+    full = F.avg(((F.col("price") + F.col("size") * 0.03 < 10) == (F.col("label") == 1)).cast("double"))
+    kept = F.avg(((F.col("price") < 9.5) == (F.col("label") == 1)).cast("double"))
+    a, b = df.agg(full, kept).first()
+    return spark.createDataFrame([(select.check_selection(a, b, "classification") or "stable",)], "note string")
+
+
+@query("class_weights", """WITH c AS (SELECT toxic, count(*) AS n FROM {labels} GROUP BY toxic) SELECT toxic AS label, n, round(CAST((SELECT max(n) FROM c) AS DOUBLE) / n, 6) AS weight FROM c""")
+def _(spark, sf):
+    return rounded(search.class_weight(table(spark, sf, "labels"), "toxic"))
+
+
+TRIALS = "SELECT p_brand AS trial, CAST(p_partkey % 5 AS INTEGER) AS fold, avg(p_retailprice) AS score FROM {part} GROUP BY 1, 2"
+
+
+@query("pruned_trials", f"""WITH t AS ({TRIALS}), m AS (SELECT trial, fold, avg(score) OVER (PARTITION BY trial ORDER BY fold) AS mean FROM t),
+bar AS (SELECT fold, median(mean) AS bar FROM m WHERE trial < 'Brand#3' GROUP BY fold),
+b AS (SELECT trial, fold, max(mean) OVER (PARTITION BY trial ORDER BY fold) AS best FROM m WHERE trial >= 'Brand#3')
+SELECT trial, min(b.fold) AS fold FROM b JOIN bar USING (fold) WHERE best < bar GROUP BY trial""")
+def _(spark, sf):
+    t = run_sql(spark, sf, TRIALS)
+    return search.pruned_at(t.where("trial < 'Brand#3'"), t.where("trial >= 'Brand#3'"))
+
+
+@query("ridge_weights", f"""WITH x AS ({PARTS}), s AS (SELECT count(*) * covar_pop(size, size) + 5 AS aa, count(*) * covar_pop(noise, noise) + 5 AS bb, count(*) * covar_pop(size, noise) AS ab,
+count(*) * covar_pop(size, price) AS ay, count(*) * covar_pop(noise, price) AS yb FROM x)
+SELECT 'size' AS feature, round((ay * bb - yb * ab) / (aa * bb - ab * ab), 6) + 0.0 AS weight FROM s UNION ALL SELECT 'noise', round((yb * aa - ay * ab) / (aa * bb - ab * ab), 6) + 0.0 FROM s""")
+def _(spark, sf):
+    df = parts(spark, sf).withColumn("label", F.col("price"))
+    n, sd = df.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    facts = search.Facts("regression", n, 0, sd, False, 42, 5)
+    model = search.build("ridge", {"alpha": 5.0}, ["size", "noise"], facts).fit(df).stages[-1]
+    return rounded(spark.createDataFrame(list(zip(["size", "noise"], [float(w) for w in model.coefficients])), "feature string, weight double"))
+
+
+def _folded(spark, sf):
+    return split.assign_folds(parts(spark, sf), ["p_partkey"], k=5, stratify="label")
+
+
+@query("cross_validation")
+def _(spark, sf):
+    df = _folded(spark, sf).cache()
+    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42, 5)
+    rows = []
+    for name, params in (("logistic_regression", {"c": 1.0}), ("random_forest", {"n": 10.0, "depth": 4.0, "min": 2.0})):
+        scores = search.cross_validate(df, search.build(name, params, ["size", "price", "noise"], facts), "classification", 5)
+        rows += [(name, i, float(s)) for i, s in enumerate(scores)]
+    df.unpersist()
+    return rounded(spark.createDataFrame(rows, "model string, fold int, score double"))
+
+
+@query("search_classification")
+def _(spark, sf):
+    study = search.search(
+        _folded(spark, sf), ["size", "price", "noise"], "classification", 2,
+        Settings(max_trials=3, max_iter=5, models=["logistic_regression", "random_forest", "lightgbm"]),
+    )
+    return study.trials.drop("seconds")
+
+
+@query("search_regression")
+def _(spark, sf):
+    df = split.assign_folds(parts(spark, sf).withColumn("label", F.col("price") * F.col("size")), ["p_partkey"], k=5)
+    study = search.search(
+        df, ["size", "price", "noise"], "regression", 0, Settings(max_trials=3, max_iter=5, models=["ridge", "xgboost", "random_forest"])
+    )
+    return study.trials.drop("seconds")
+
+
+@query("attribution_tree")
+def _(spark, sf):
+    cols = ["size", "price", "noise"]
+    data = assemble(parts(spark, sf), cols)
+    model = GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)
+    return metrics.ranking(attribution.tree_importance(model, data, cols))
+
+
+@query("attribution_tree_adds_up", "SELECT 'boosted' AS model, count(*) AS rows, CAST(0 AS DOUBLE) AS gap FROM {part} UNION ALL SELECT 'forest', count(*), CAST(0 AS DOUBLE) FROM {part} UNION ALL SELECT 'values', count(*), CAST(0 AS DOUBLE) FROM {part}")
+def _(spark, sf):
+    """Attributions plus the mean equal the score of every row."""
+    cols = ["size", "price", "noise"]
+    data = assemble(parts(spark, sf), cols)
+    out = []
+    for name, model in (
+        ("boosted", GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)),
+        ("forest", RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(data)),
+        ("values", GBTRegressor(maxIter=5, maxDepth=4, seed=1, labelCol="price").fit(data)),
+    ):
+        scored = model.transform(data)
+        if name == "boosted":
+            # Spark reports twice the margin.
+            score, output = vector_to_array("rawPrediction")[1] / 2, 0
+        elif name == "forest":
+            score, output = vector_to_array("probability")[1], 1
+        else:
+            score, output = F.col("prediction"), 0
+        phi, base = attribution.tree(model, scored.select("*", score.alias("score")), cols, ["score"])
+        part = F.slice("phi", output * len(cols) + 1, len(cols))
+        total = F.aggregate(part, F.lit(float(base[output])), lambda s, v: s + v)
+        out.append(phi.agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(total - F.col("score"))), 6).alias("gap")).select(F.lit(name).alias("model"), "rows", "gap"))
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("attribution_one_row")
+def _(spark, sf):
+    cols = ["size", "price", "noise"]
+    data = assemble(parts(spark, sf), cols)
+    model = GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)
+    largest = data.agg(F.max("p_partkey")).scalar()
+    phi, _ = attribution.tree(model, data.where(F.col("p_partkey") == largest), cols)
+    return rounded(attribution.explain_row(phi, cols))
+
+
+@query("attribution_sampled")
+def _(spark, sf):
+    cols = ["size", "price", "noise"]
+    df = parts(spark, sf)
+    n = df.count()
+    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42, 5)).fit(df)
+
+    def score(t):
+        return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])
+
+    return metrics.ranking(attribution.sampled_importance(attribution.sampled(score, df, cols, "p_partkey", orders=5)))
+
+
+@query("train_classification")
+def _(spark, sf):
+    df = run_sql(spark, sf, "SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 'yes' ELSE 'no' END AS cheap FROM {part}")
+    run = train(df, Settings(target="cheap", id_cols=["p_partkey"], max_trials=2, max_iter=5, models=["logistic_regression", "random_forest"]))
+    return rounded(run.tables["class_report"])
+
+
+@query("train_regression")
+def _(spark, sf):
+    df = run_sql(spark, sf, "SELECT p_partkey, p_brand, p_type, p_size, p_size * 10 + p_retailprice AS cost FROM {part}")
+    run = train(df, Settings(target="cost", id_cols=["p_partkey"], max_trials=2, max_iter=5, models=["ridge", "random_forest"]))
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in run.metrics.items() if v is not None], "metric string, value double"))
+
+
+@query("train_clustering")
+def _(spark, sf):
+    run = train(table(spark, sf, "customer").drop("c_name"), Settings(id_cols=["c_custkey"]))
+    return rounded(run.tables["cluster_profiles"])

@@ -126,6 +126,11 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def compact(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """Fewer, fuller partitions for a small table that many passes will read."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

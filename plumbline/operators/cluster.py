@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import quoted
+from plumbline.functions.columns import compact, quoted
 from plumbline.operators.cluster_metrics import cluster_count, silhouette
 from plumbline.operators.neighbours import DensityScan, density_radius, distances, matrix
 
@@ -40,8 +40,9 @@ def kmeans_sweep(
     df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42, restarts: int = 3
 ) -> tuple[DataFrame, dict[int, Any]]:
     """(k, inertia, silhouette) for every k, and the fitted models."""
-    data = assemble(df, cols).cache()
-    ks = list(ks or k_range(data.count()))
+    n = df.count()
+    data = assemble(compact(df, n), cols).cache()
+    ks = list(ks or k_range(n))
     rows, models = [], {}
     for k in ks:
         m = fit_kmeans(data, k, seed, restarts)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions.columns import quoted, sql_name
+from plumbline.functions.columns import compact, quoted, sql_name
 
 # Name, low, high and scale of every setting; boosted models are
 # bounded in rounds by Settings.max_iter, since Spark grows their trees one by one.
@@ -267,8 +267,9 @@ def search(
     start = time.time()
     weighted = imbalanced and problem == "classification" and classes == 2
     data = with_weights(train) if weighted else train
-    data = data.select(*[quoted(c) for c in cols], "label", "fold", *(["weight"] if weighted else [])).cache()
+    data = data.select(*[quoted(c) for c in cols], "label", "fold", *(["weight"] if weighted else []))
     rows, spread = data.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
+    data = compact(data, rows).cache()
     facts = Facts(problem, rows, classes, spread or 1.0, weighted, settings.seed, settings.max_iter)
     pool = settings.models or model_pool(problem, rows, settings.thresholds.kernel_rows)
     rng = random.Random(settings.seed)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions.columns import normalise, quoted, union_all
+from plumbline.functions.columns import compact, materialise, normalise, quoted, union_all
 from plumbline.operators import attribution, audit as auditing, cluster, cluster_metrics, drops, metrics
 from plumbline.operators.detect import Detection, detect
 from plumbline.operators.findings import Audit, run_audit
@@ -25,7 +25,6 @@ from plumbline.operators.resample import oversample
 from plumbline.operators.search import Facts, Study, build, cross_validate, search
 from plumbline.operators.select import Selection, check_selection, eliminate, select_features
 from plumbline.operators.split import assign_folds, split
-from plumbline.functions.columns import materialise
 from plumbline.sources.artifacts import FittedModel, timestamp
 
 TREES = ("lightgbm", "xgboost", "random_forest")
@@ -172,7 +171,7 @@ def _probe_score(folded: DataFrame, cols: list[str], found: Detection, settings:
     facts = Facts(found.problem, 0, found.classes, 1.0, False, settings.seed, min(30, settings.max_iter))
     model = "random_forest" if found.classes > 2 else "lightgbm"
     params = {"n": 30.0, "lr": 0.1, "leaves": 31.0, "min_child": 20.0, "depth": 5.0, "min": 2.0}
-    data = folded.select(*[quoted(c) for c in cols], "label", "fold").cache()
+    data = compact(folded.select(*[quoted(c) for c in cols], "label", "fold"), folded.count()).cache()
     scores = cross_validate(data, build(model, params, cols, facts), found.problem, folds)
     data.unpersist()
     return sum(scores) / len(scores)
