@@ -103,16 +103,16 @@ def _(spark, sf):
     return rounded(search.class_weight(table(spark, sf, "labels"), "toxic"))
 
 
-TRIALS = "SELECT p_brand AS trial, CAST(p_partkey % 5 AS INTEGER) AS fold, avg(p_retailprice) AS score FROM {part} GROUP BY 1, 2"
+TRIALS = "SELECT p_brand AS trial, CAST(p_partkey % 5 AS INTEGER) AS fold, avg(p_size) AS score FROM {part} GROUP BY 1, 2"
 
 
 @query("pruned_trials", f"""WITH t AS ({TRIALS}), m AS (SELECT trial, fold, avg(score) OVER (PARTITION BY trial ORDER BY fold) AS mean FROM t),
-bar AS (SELECT fold, median(mean) AS bar FROM m WHERE trial < 'Brand#3' GROUP BY fold),
-b AS (SELECT trial, fold, max(mean) OVER (PARTITION BY trial ORDER BY fold) AS best FROM m WHERE trial >= 'Brand#3')
+bar AS (SELECT fold, median(mean) AS bar FROM m WHERE trial < 'Brand#2' GROUP BY fold),
+b AS (SELECT trial, fold, max(mean) OVER (PARTITION BY trial ORDER BY fold) AS best FROM m WHERE trial >= 'Brand#2')
 SELECT trial, min(b.fold) AS fold FROM b JOIN bar USING (fold) WHERE best < bar GROUP BY trial""")
 def _(spark, sf):
     t = run_sql(spark, sf, TRIALS)
-    return search.pruned_at(t.where("trial < 'Brand#3'"), t.where("trial >= 'Brand#3'"))
+    return search.pruned_at(t.where("trial < 'Brand#2'"), t.where("trial >= 'Brand#2'"))
 
 
 @query("ridge_weights", f"""WITH x AS ({PARTS}), s AS (SELECT count(*) * covar_pop(size, size) + 5 AS aa, count(*) * covar_pop(noise, noise) + 5 AS bb, count(*) * covar_pop(size, noise) AS ab,
@@ -181,8 +181,7 @@ def _(spark, sf):
     ):
         scored = model.transform(data)
         if name == "boosted":
-            # Spark reports twice the margin.
-            score, output = vector_to_array("rawPrediction")[1] / 2, 0
+            score, output = vector_to_array("rawPrediction")[1], 0
         elif name == "forest":
             score, output = vector_to_array("probability")[1], 1
         else:

@@ -172,46 +172,53 @@ def logical_types(
     ``order_key``, when the first present value in that order does.
     """
     cols = list(cols or df.columns)
+    return per_column(df, cols, lambda c: type_measures(df, c, order_key, limits))
+
+
+def type_measures(df: DataFrame, c: str, order_key: str | None = None, limits: Thresholds = LIMITS) -> dict[str, Column]:
+    """The aggregates that decide one column's logical type."""
 
     def dated(c: str) -> Column:
         x = quoted(c).cast("string")
         looks = (F.length(x) > 8) & (x.contains("-") | x.contains("/"))
         return looks & F.expr(f"try_cast(`{c}` as timestamp)").isNotNull()
 
-    def measure(c: str) -> dict[str, Column]:
-        t = df.schema[c].dataType
-        x = quoted(c)
-        if isinstance(t, T.BooleanType):
-            two_valued = F.max(F.lit(True))
-        elif is_datetime(t):
-            two_valued = F.count(x) == 0
-        elif is_numeric(t):
-            two_valued = F.coalesce(F.bool_and((x == 0) | (x == 1)), F.lit(True))
-        else:
-            two_valued = F.coalesce(F.bool_and(x.cast("string").isin(BOOLEAN_TEXTS)), F.lit(True))
-        if is_datetime(t):
-            date_like = F.max(F.lit(True))
-        elif isinstance(t, T.StringType) and order_key:
-            first = F.min_by(dated(c), F.when(x.isNotNull(), quoted(order_key)))
-            date_like = F.coalesce(first, F.lit(False))
-        elif isinstance(t, T.StringType):
-            share = F.avg(F.when(x.isNotNull(), dated(c).cast("double")))
-            date_like = F.coalesce(share > limits.coerce_share, F.lit(False))
-        else:
-            date_like = F.max(F.lit(False))
-        rest = "numeric" if is_numeric(t) else "categorical"
-        return {
-            "spark_type": F.max(F.lit(t.simpleString())),
-            "logical_type": F.when(two_valued, "boolean").when(date_like, "datetime").otherwise(rest),
-        }
-
-    return per_column(df, cols, measure)
-
-
-def outlier_shares(df: DataFrame, cols: Sequence[str] | None = None, limits: Thresholds = LIMITS) -> DataFrame:
+    t = df.schema[c].dataType
+    x = quoted(c)
+    if isinstance(t, T.BooleanType):
+        two_valued = F.max(F.lit(True))
+    elif is_datetime(t):
+        two_valued = F.count(x) == 0
+    elif is_numeric(t):
+        two_valued = F.coalesce(F.bool_and((x == 0) | (x == 1)), F.lit(True))
+    else:
+        two_valued = F.coalesce(F.bool_and(x.cast("string").isin(BOOLEAN_TEXTS)), F.lit(True))
+    if is_datetime(t):
+        date_like = F.max(F.lit(True))
+    elif isinstance(t, T.StringType) and order_key:
+        first = F.min_by(dated(c), F.when(x.isNotNull(), quoted(order_key)))
+        date_like = F.coalesce(first, F.lit(False))
+    elif isinstance(t, T.StringType):
+        share = F.avg(F.when(x.isNotNull(), dated(c).cast("double")))
+        date_like = F.coalesce(share > limits.coerce_share, F.lit(False))
+    else:
+        date_like = F.max(F.lit(False))
+    rest = "numeric" if is_numeric(t) else "categorical"
+    return {
+        "spark_type": F.max(F.lit(t.simpleString())),
+        "logical_type": F.when(two_valued, "boolean").when(date_like, "datetime").otherwise(rest),
+    }
+
+
+def outlier_shares(
+    df: DataFrame, cols: Sequence[str] | None = None, limits: Thresholds = LIMITS,
+    quartiles: dict[str, tuple[float, float]] | None = None,
+) -> DataFrame:
     """Share of present values outside the 1.5 IQR fences, and its severity."""
     cols = list(cols if cols is not None else numeric_columns(df))
-    quartiles = {c: q for c, q in quantiles(df, cols, [0.25, 0.75]).items() if q[0] is not None}
+    if quartiles is None:
+        quartiles = {c: tuple(q) for c, q in quantiles(df, cols, [0.25, 0.75]).items()}
+    quartiles = {c: quartiles[c] for c in cols if quartiles[c][0] is not None}
 
     def measure(c: str) -> dict[str, Column]:
         q1, q3 = quartiles[c]
@@ -240,8 +247,7 @@ def skewness(df: DataFrame, cols: Sequence[str] | None = None, limits: Threshold
     )
     skewed = F.abs("skew") > limits.skewed
     return out.where(F.col("skew").isNotNull()).select(
-        "column", "skew", skewed.alias("skewed"),
-        F.when(skewed & (F.col("min") >= 0), "log_transform").otherwise("none").alias("action"),
+        "column", "skew", skewed.alias("skewed"), skew_action(F.col("skew"), F.col("min"), limits).alias("action"),
     )
 
 
@@ -292,28 +298,39 @@ def imbalance(shares: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     )
 
 
+def first_pass(df: DataFrame, cols: Sequence[str], limits: Thresholds = LIMITS) -> DataFrame:
+    """Everything one scan can tell about the columns: type, missing, moments, range."""
+
+    def measure(c: str) -> dict[str, Column]:
+        x = quoted(c).cast("double") if is_numeric(df.schema[c].dataType) else F.lit(None).cast("double")
+        return {
+            "rows": F.count(F.lit(1)),
+            "missing": F.avg(F.when(quoted(c).isNull(), 1.0).otherwise(0.0)),
+            **type_measures(df, c, limits=limits),
+            "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x), "skew": F.skewness(x),
+        }
+
+    return per_column(df, list(cols), measure)
+
+
+def skew_action(skew: Column, low: Column, limits: Thresholds = LIMITS) -> Column:
+    return F.when((F.abs(skew) > limits.skewed) & (low >= 0), "log_transform").otherwise("none")
+
+
 def column_profile(df: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     """Everything known about each column in one table, one row per column.
 
     The parts are one row per column each, so the joins move only that many rows.
     """
     numeric = numeric_columns(df)
-    base = per_column(
-        df, df.columns,
-        lambda c: {
-            "rows": F.count(F.lit(1)),
-            "missing": F.avg(F.when(quoted(c).isNull(), 1.0).otherwise(0.0)),
-        },
-    )
-    card = cardinality(df)
-    parts = [logical_types(df, limits=limits), card]
+    out = first_pass(df, df.columns, limits).join(F.broadcast(cardinality(df)), "column", "left")
     if numeric:
-        parts += [
-            numeric_stats(df, numeric).select("column", "mean", "median", "std", "min", "max"),
-            outlier_shares(df, numeric, limits).select("column", "outlier_share", F.col("severity").alias("outliers")),
-            skewness(df, numeric, limits).select("column", "skew", "action"),
-        ]
-    out = base
-    for part in parts:
-        out = out.join(F.broadcast(part), "column", "left")
+        q = quantiles(df, numeric, [0.25, 0.5, 0.75])
+        medians = df.sparkSession.createDataFrame([(c, q[c][1]) for c in numeric], "column string, median double")
+        fences = outlier_shares(df, numeric, limits, {c: (q[c][0], q[c][2]) for c in numeric})
+        out = out.join(F.broadcast(medians), "column", "left").join(
+            F.broadcast(fences.select("column", "outlier_share", F.col("severity").alias("outliers"))), "column", "left"
+        )
+        action = F.when(F.col("skew").isNotNull(), skew_action(F.col("skew"), F.col("min"), limits))
+        out = out.withColumn("action", action)
     return out.withColumn("distinct", F.coalesce("distinct", F.lit(0)))

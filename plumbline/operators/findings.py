@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.config import Thresholds
 from plumbline.functions.columns import union_all
 from plumbline.operators import association, audit
+from plumbline.operators.ordering import quantiles
 
 LIMITS = Thresholds()
 
@@ -80,6 +81,11 @@ def structural_findings(df: DataFrame, target: str | None = None, limits: Thresh
     return union_all([miss, gone, ids])
 
 
+def _size_class(n: int, limits: Thresholds) -> str:
+    bounds = ((limits.small_rows, "very_small"), (limits.medium_rows, "small"), (limits.large_rows, "medium"))
+    return next((name for top, name in bounds if n < top), "large")
+
+
 def run_audit(
     df: DataFrame,
     target: str | None = None,
@@ -94,12 +100,12 @@ def run_audit(
     if target is not None and target not in df.columns:
         raise ValueError(f"target column {target!r} is not in the table")
     features = [c for c in df.columns if c != target]
-    shape = audit.size_class(df, limits).first()
-    n = shape["rows"]
-    types = {r["column"]: r["logical_type"] for r in audit.logical_types(df, features, limits=limits).collect()}
+    facts = {r["column"]: r for r in audit.first_pass(df, features, limits).collect()}
+    n = next(iter(facts.values()))["rows"] if facts else df.count()
+    types = {c: r["logical_type"] for c, r in facts.items()}
     numeric = [c for c in features if types[c] == "numeric"]
     card = {r["column"]: r for r in audit.cardinality(df, features).collect()}
-    missing = {r["column"]: r["missing"] for r in audit.missing_shares(df, features, limits).collect()}
+    missing = {c: r["missing"] for c, r in facts.items() if r["missing"] > 0}
 
     quasi, ids, high = [], [], []
     kinds: list[tuple[str, str, float]] = [
@@ -120,19 +126,23 @@ def run_audit(
             high.append(c)
             kinds.append((c, "high_cardinality", float(r["distinct"])))
 
+    present = [c for c in numeric if c in card]
+    q = quantiles(df, present, [0.25, 0.5, 0.75])
     stats = {
-        r["column"]: {k: r[k] for k in ("mean", "median", "std", "min", "max")}
-        for r in (audit.numeric_stats(df, numeric).collect() if numeric else [])
+        c: {"median": q[c][1], **{k: facts[c][k] for k in ("mean", "std", "min", "max")}} for c in present
     }
-    checked = [c for c in numeric if c not in quasi and c not in ids and c in card]
+    checked = [c for c in present if c not in quasi and c not in ids]
     outliers, skewed = {}, {}
     if checked:
-        for r in audit.outlier_shares(df, checked, limits).where("severity <> 'none'").collect():
+        fences = {c: (q[c][0], q[c][2]) for c in checked}
+        for r in audit.outlier_shares(df, checked, limits, fences).where("severity <> 'none'").collect():
             outliers[r["column"]] = (r["outlier_share"], r["severity"])
             kinds.append((r["column"], "outliers", r["outlier_share"]))
-        for r in audit.skewness(df, checked, limits).where("skewed").collect():
-            skewed[r["column"]] = (r["skew"], r["action"])
-            kinds.append((r["column"], "skewed", r["skew"]))
+        for c in checked:
+            skew = facts[c]["skew"]
+            if skew is not None and abs(skew) > limits.skewed:
+                skewed[c] = (skew, "log_transform" if facts[c]["min"] >= 0 else "none")
+                kinds.append((c, "skewed", skew))
 
     condemned = {c for c, k, _ in kinds if k in PRIORITY}
     pool = [c for c in numeric if c not in condemned]
@@ -177,7 +187,7 @@ def run_audit(
         [(c, k, float(v)) for c, k, v in kinds], "column string, kind string, value double"
     )
     return Audit(
-        rows=n, columns=len(df.columns), size_class=shape["size_class"],
+        rows=n, columns=len(df.columns), size_class=_size_class(n, limits),
         duplicates=audit.duplicate_rows(df).first()["duplicates"],
         target=target, target_type=target_type, target_distinct=target_distinct,
         class_shares=shares, imbalance_ratio=ratio, imbalance_severity=severity,

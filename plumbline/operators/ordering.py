@@ -19,40 +19,52 @@ from plumbline.functions.columns import CHUNK, quoted
 
 ACCURACY = 10_000
 BUCKETS = 64
-# Up to this many rows one aggregate may hold every value of a column.
-SMALL_ROWS = 100_000
+# Up to this many rows one task may hold every value of a column.
+SMALL_ROWS = 20_000
 
 
 def order_statistics(
     df: DataFrame,
     exprs: dict[str, Column],
-    positions: dict[str, Sequence[float]] | None = None,
+    positions: dict[str, Sequence[int]] | None = None,
     *,
     fractions: dict[str, Sequence[float]] | None = None,
+    counts: dict[str, int] | None = None,
     accuracy: int = ACCURACY,
 ) -> dict[str, tuple[int, dict[float, float | None]]]:
     """Values at 0-based sorted positions (or at fractions of n-1, linearly interpolated).
 
     Returns ``{name: (n, {position or fraction: value})}``; nulls are not counted.
-    Only counts, brackets and at most two values per position reach the driver.
+    ``counts`` saves a scan when the number of values is known. Only counts, brackets and
+    at most two values per position reach the driver.
     """
     names = list(exprs)
     wide = df.select(*[exprs[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    counts = _collect_wide(wide, [F.count(f"v{i}") for i in range(len(names))])
+    slack = 4.0 / accuracy
+    known: dict[tuple[int, float], float] = {}
+    if fractions is not None:
+        probes = {i: [p + s for p in fractions[n] for s in (-slack, slack)] for i, n in enumerate(names)}
+        sizes, known = _sketch(wide, len(names), probes, accuracy)
+    elif counts is not None:
+        sizes = [counts[n] for n in names]
+    else:
+        sizes, _ = _sketch(wide, len(names), {}, accuracy)
 
-    wanted: dict[tuple[int, int], None] = {}
+    # (column, position) -> share of the values at which the sketch is asked
+    wanted: dict[tuple[int, int], float] = {}
     asked: dict[str, list[tuple[float, float]]] = {}
     for i, n in enumerate(names):
         asked[n] = []
-        if counts[i]:
-            if fractions is not None:
-                asked[n] = [(p, p * (counts[i] - 1)) for p in fractions[n]]
-            else:
-                asked[n] = [(p, p) for p in positions[n]]
-            for _, at in asked[n]:
-                wanted[(i, math.floor(at))] = None
-                wanted[(i, math.ceil(at))] = None
-    found = _select(wide, list(wanted), counts, accuracy)
+        if sizes[i] and fractions is not None:
+            asked[n] = [(p, p * (sizes[i] - 1)) for p in fractions[n]]
+            for p, at in asked[n]:
+                wanted.setdefault((i, math.floor(at)), p)
+                wanted.setdefault((i, math.ceil(at)), p)
+        elif sizes[i]:
+            asked[n] = [(k, k) for k in positions[n]]
+            for k in positions[n]:
+                wanted[(i, k)] = (k + 0.5) / sizes[i]
+    found = _select(wide, wanted, sizes, slack, accuracy, known)
 
     out = {}
     for i, n in enumerate(names):
@@ -60,20 +72,25 @@ def order_statistics(
         for p, at in asked[n]:
             lo, hi = found[(i, math.floor(at))], found[(i, math.ceil(at))]
             values[p] = lo + (hi - lo) * (at - math.floor(at))
-        if not counts[i]:
+        if not sizes[i]:
             values = {p: None for p in (fractions or positions)[n]}
-        out[n] = (counts[i], values)
+        out[n] = (sizes[i], values)
     return out
 
 
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    rows = SMALL_ROWS if rows is None else rows
+    return df.limit(rows + 1).count() <= rows
+
+
 def quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-    small_rows: int = SMALL_ROWS,
+    small_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of every column."""
     if not cols:
         return {}
-    if df.limit(small_rows + 1).count() <= small_rows:
+    if is_small(df, small_rows):
         aggs = [F.percentile(quoted(c).cast("double"), list(probs)) for c in cols]
         return {c: list(v) if v else [None] * len(probs) for c, v in zip(cols, _collect_wide(df, aggs))}
     got = order_statistics(
@@ -89,70 +106,86 @@ def _collect_wide(df: DataFrame, aggs: list[Column]) -> list:
     return out
 
 
+def _sketch(
+    wide: DataFrame, n: int, probes: dict[int, Sequence[float]], accuracy: int
+) -> tuple[list[int], dict[tuple[int, float], float]]:
+    """Counts and approximate quantiles of the columns, one digest per column, one scan."""
+    inside = {i: sorted({p for p in ps if 0 < p < 1}) for i, ps in probes.items()}
+    inside = {i: ps for i, ps in inside.items() if ps}
+    aggs = [F.count(f"v{i}") for i in range(n)]
+    aggs += [F.percentile_approx(f"v{i}", ps, accuracy) for i, ps in inside.items()]
+    row = _collect_wide(wide, aggs)
+    values = {}
+    for (i, ps), got in zip(inside.items(), row[n:]):
+        values.update({(i, p): v for p, v in zip(ps, got or [])})
+    return row[:n], values
+
+
 def _select(
-    wide: DataFrame, wanted: list[tuple[int, int]], counts: list[int], accuracy: int
+    wide: DataFrame, wanted: dict[tuple[int, int], float], sizes: list[int], slack: float, accuracy: int,
+    known: dict[tuple[int, float], float],
 ) -> dict[tuple[int, int], float]:
+    """Exact values at (column, position), bracketed by the sketch."""
     found: dict[tuple[int, int], float] = {}
-    slack = 4.0 / accuracy
     todo = list(wanted)
     while todo:
-        brackets = _brackets(wide, todo, counts, slack, accuracy)
+        # A column no larger than the sketch needs no bracket.
+        asks = [(i, wanted[i, k] - slack, wanted[i, k] + slack) for i, k in todo if sizes[i] > accuracy]
+        missing = {(i, p) for i, lo, hi in asks for p in (lo, hi) if 0 < p < 1 and (i, p) not in known}
+        if missing:
+            probes: dict[int, list[float]] = {}
+            for i, p in missing:
+                probes.setdefault(i, []).append(p)
+            known = {**known, **_sketch(wide, 0, probes, accuracy)[1]}
+        brackets = [
+            (known.get((i, wanted[i, k] - slack)), known.get((i, wanted[i, k] + slack))) if sizes[i] > accuracy else (None, None)
+            for i, k in todo
+        ]
         below = [0] * len(todo)
         lows = [t for t, (lo, _) in enumerate(brackets) if lo is not None]
         under = [F.count(F.when(F.col(f"v{todo[t][0]}") < F.lit(brackets[t][0]), 1)) for t in lows]
         for t, b in zip(lows, _collect_wide(wide, under)):
             below[t] = b
+        # Positions of one column with one bracket share their values.
+        spans = list(dict.fromkeys((i, *br) for (i, _), br in zip(todo, brackets)))
         cells = [
             F.when(
                 F.col(f"v{i}").isNotNull()
                 & (F.lit(True) if lo is None else F.col(f"v{i}") >= F.lit(lo))
                 & (F.lit(True) if hi is None else F.col(f"v{i}") <= F.lit(hi)),
-                F.struct(F.lit(t).alias("t"), F.col(f"v{i}").alias("v")),
+                F.struct(F.lit(s).alias("s"), F.col(f"v{i}").alias("v")),
             )
-            for t, ((i, _), (lo, hi)) in enumerate(zip(todo, brackets))
+            for s, (i, lo, hi) in enumerate(spans)
         ]
         inside = (
             wide.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .select("c.t", "c.v")
-            .groupBy("t", "v")
+            .select("c.s", "c.v")
+            .groupBy("s", "v")
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        start = F.element_at(F.array(*[F.lit(int(b)) for b in below]), F.col("t") + 1)
-        goal = F.element_at(F.array(*[F.lit(k) for _, k in todo]), F.col("t") + 1)
-        upto = F.sum("n").over(Window.partitionBy("t").orderBy("v")) + start
+        goals: list[list[int]] = [[] for _ in spans]
+        owner: list[dict[int, int]] = [{} for _ in spans]
+        for t, ((i, k), br) in enumerate(zip(todo, brackets)):
+            s = spans.index((i, *br))
+            goals[s].append(k - below[t])
+            owner[s][k - below[t]] = t
+        listed = F.element_at(F.array(*[F.array(*[F.lit(g) for g in gs]) for gs in goals]), F.col("s") + 1)
+        upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
         hits = (
             inside.withColumn("upto", upto)
-            .where((F.col("upto") > goal) & (F.col("upto") - F.col("n") <= goal))
-            .select("t", "v")
+            .withColumn("hit", F.filter(listed, lambda g: (g < F.col("upto")) & (g >= F.col("upto") - F.col("n"))))
+            .where(F.size("hit") > 0)
+            .select("s", "v", "hit")
             .collect()
         )
         for h in hits:
-            found[todo[h["t"]]] = h["v"]
+            for g in h["hit"]:
+                found[todo[owner[h["s"]][g]]] = h["v"]
         todo = [w for w in todo if w not in found]
         slack = slack * 100 if slack < 1 else math.inf
     return found
 
 
-def _brackets(wide, todo, counts, slack, accuracy):
-    """Sketch bounds around each position; None means open."""
-    sides = []
-    for i, k in todo:
-        share = (k + 0.5) / counts[i]
-        small = counts[i] <= accuracy
-        sides.append((None if small or share - slack <= 0 else share - slack,
-                      None if small or share + slack >= 1 else share + slack))
-    aggs, slots = [], []
-    for t, ((i, _), pair) in enumerate(zip(todo, sides)):
-        for s, p in enumerate(pair):
-            if p is not None:
-                slots.append((t, s))
-                aggs.append(F.percentile_approx(f"v{i}", F.lit(p), accuracy))
-    out = [[None, None] for _ in todo]
-    for (t, s), v in zip(slots, _collect_wide(wide, aggs)):
-        out[t][s] = v
-    return [tuple(p) for p in out]
-
-
 def bucketed(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """Add ``<col>__b``: an equi-depth bucket that never separates equal values."""
     probs = [i / buckets for i in range(1, buckets)]

@@ -272,6 +272,9 @@ def search(
     data = compact(data, rows).cache()
     facts = Facts(problem, rows, classes, spread or 1.0, weighted, settings.seed, settings.max_iter)
     pool = settings.models or model_pool(problem, rows, settings.thresholds.kernel_rows)
+    unknown = [m for m in pool if m not in FACTORIES]
+    if unknown:
+        raise ValueError(f"unknown models {unknown}; known are {sorted(FACTORIES)}")
     rng = random.Random(settings.seed)
     records: list[tuple] = []
     completed: list[list[float]] = []

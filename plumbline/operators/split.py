@@ -15,13 +15,14 @@ from plumbline.functions.columns import hash52, quoted, row_key
 from plumbline.operators.ordering import order_statistics
 
 
-def _classes(df: DataFrame, by: str | None) -> list:
+def _classes(df: DataFrame, by: str | None) -> list[tuple]:
+    """(value, rows) of every class, or of the whole table."""
     if by is None:
-        return [None]
+        return [(None, df.count())]
     rows = df.groupBy(quoted(by).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError(f"{by!r} has too many values to stratify by")
-    return [r["v"] for r in rows]
+    return [(r["v"], r["n"]) for r in rows]
 
 
 def _matches(by: str | None, v) -> Column:
@@ -30,17 +31,18 @@ def _matches(by: str | None, v) -> Column:
     return quoted(by).isNull() if v is None else quoted(by) == F.lit(v)
 
 
-def _cuts(df: DataFrame, h: Column, by: str | None, places) -> dict:
-    """Hash of the row at each place (1-based) per class; ``places(n)`` lists them."""
-    values = _classes(df, by)
-    exprs = {str(i): F.when(_matches(by, v), h) for i, v in enumerate(values)}
-    counts = df.agg(*[F.count(e) for e in exprs.values()]).first()
-    wanted = {k: [p - 1 for p in places(n) if 1 <= p <= n] for k, n in zip(exprs, counts)}
-    got = order_statistics(df, exprs, positions=wanted)
-    return {
-        i: (counts[i], [got[str(i)][1][p - 1] if 1 <= p <= counts[i] else None for p in places(counts[i])])
-        for i, _ in enumerate(values)
-    }, values
+def _cuts(df: DataFrame, h: Column, by: str | None, places) -> list[tuple]:
+    """(class, hashes of the rows at each 1-based place) for every class; ``places(n)`` lists them."""
+    classes = _classes(df, by)
+    got = order_statistics(
+        df, {str(i): F.when(_matches(by, v), h) for i, (v, _) in enumerate(classes)},
+        positions={str(i): sorted({p - 1 for p in places(n) if 1 <= p <= n}) for i, (_, n) in enumerate(classes)},
+        counts={str(i): n for i, (_, n) in enumerate(classes)},
+    )
+    return [
+        (v, [int(got[str(i)][1][p - 1]) if 1 <= p <= n else None for p in places(n)])
+        for i, (v, n) in enumerate(classes)
+    ]
 
 
 def assign_test(
@@ -49,12 +51,10 @@ def assign_test(
 ) -> DataFrame:
     """Mark the ``round(share * n)`` rows with the smallest hash in every class."""
     h = hash52(row_key(df, id_cols), salt)
-    cuts, values = _cuts(df, h, stratify, lambda n: [int(share * n + 0.5)])
     flag = F.lit(False)
-    for i, v in enumerate(values):
-        cut = cuts[i][1][0]
+    for v, (cut,) in _cuts(df, h, stratify, lambda n: [int(share * n + 0.5)]):
         if cut is not None:
-            flag = F.when(_matches(stratify, v), h <= F.lit(int(cut))).otherwise(flag)
+            flag = F.when(_matches(stratify, v), h <= F.lit(cut)).otherwise(flag)
     return df.withColumn(name, flag)
 
 
@@ -64,12 +64,11 @@ def assign_folds(
 ) -> DataFrame:
     """Number k folds of equal size (in every class) in hash order."""
     h = hash52(row_key(df, id_cols), salt)
-    cuts, values = _cuts(df, h, stratify, lambda n: [n * j // k for j in range(1, k)])
     out = F.lit(0)
-    for i, v in enumerate(values):
+    for v, cuts in _cuts(df, h, stratify, lambda n: [n * j // k for j in range(1, k)]):
         passed = F.lit(0)
-        for cut in cuts[i][1]:
-            passed = passed + (F.lit(1) if cut is None else (h > F.lit(int(cut))).cast("int"))
+        for cut in cuts:
+            passed = passed + (F.lit(1) if cut is None else (h > F.lit(cut)).cast("int"))
         out = F.when(_matches(stratify, v), passed).otherwise(out)
     return df.withColumn(name, out)
 
