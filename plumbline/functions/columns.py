@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One wide aggregate per chunk keeps the generated code within JVM limits.
-CHUNK = 100
+# Spark compiles an aggregate into one loop up to 100 buffer fields; a measure takes
+# about two. A chunk reads its own columns only, so more chunks read no more data.
+MEASURES = 40
 
 
 def quoted(name: str) -> Column:
@@ -55,12 +56,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 def per_column(
     df: DataFrame, cols: Sequence[str], measures: Callable[[str], dict[str, Column]]
 ) -> DataFrame:
-    """One row per column from one wide aggregate: a single scan, no keyed shuffle."""
+    """One row per column from wide aggregates: single scans, no keyed shuffle."""
     frames = []
-    for start in range(0, len(cols), CHUNK):
+    per_chunk = max(1, MEASURES // len(measures(cols[0]))) if cols else 1
+    for start in range(0, len(cols), per_chunk):
         structs = [
             F.struct(F.lit(c).alias("column"), *[e.alias(k) for k, e in measures(c).items()])
-            for c in cols[start : start + CHUNK]
+            for c in cols[start : start + per_chunk]
         ]
         frames.append(df.agg(F.array(*structs).alias("rows")).select(F.inline("rows")))
     return union_all(frames)

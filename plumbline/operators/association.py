@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,30 +16,66 @@ from plumbline.functions.columns import is_numeric, quoted, union_all
 from plumbline.operators.ordering import bucketed, cumulate, is_small, skew_lookup
 
 LIMITS = Thresholds()
-PAIRS_PER_SCAN = 300
+PAIRS = "later string, earlier string, r double"
+# Ten correlations fill one compiled aggregate.
+PAIRS_PER_SCAN = 10
+PAIRS_BY_AGGREGATE = 96
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str], above: float | None = None) -> DataFrame:
     """|r| of every column pair over rows where both are present.
 
-    All pairs are fixed-size aggregates of one scan. The pair is listed as
-    (later column, earlier column), the order the tie rule of selection relies on.
+    The pair is listed as (later column, earlier column), the order the tie rule of
+    selection relies on. A few columns are fixed-size aggregates of shared scans. Many
+    columns without nulls go through one covariance matrix, again of a single scan.
     """
+    cols = list(cols)
     pairs = list(combinations(cols, 2))
     if not pairs:
-        return df.sparkSession.createDataFrame([], "later string, earlier string, r double")
+        return df.sparkSession.createDataFrame([], PAIRS)
+    if len(pairs) <= PAIRS_BY_AGGREGATE:
+        out = _pairs_by_aggregate(df, pairs)
+    else:
+        gaps = df.agg(*[F.count(F.when(quoted(c).isNull(), 1)) for c in cols]).first()
+        whole = [c for c, n in zip(cols, gaps) if not n]
+        rest = [p for p in pairs if p[0] not in set(whole) or p[1] not in set(whole)]
+        parts = [_pairs_by_matrix(df, whole)] if len(whole) > 1 else []
+        parts += [_pairs_by_aggregate(df, rest)] if rest else []
+        out = union_all(parts)
+    return out if above is None else out.where(F.col("r") > above)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over rows with both values; null, not an error, when one is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
+def _pairs_by_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     frames = []
     for s in range(0, len(pairs), PAIRS_PER_SCAN):
         structs = [
             F.struct(
                 F.lit(b).alias("later"), F.lit(a).alias("earlier"),
-                F.abs(F.corr(quoted(a).cast("double"), quoted(b).cast("double"))).alias("r"),
+                F.abs(correlation(quoted(a).cast("double"), quoted(b).cast("double"))).alias("r"),
             )
             for a, b in pairs[s : s + PAIRS_PER_SCAN]
         ]
         frames.append(df.agg(F.array(*structs).alias("p")).select(F.inline("p")))
-    out = union_all(frames)
-    return out if above is None else out.where(F.col("r") > above)
+    return union_all(frames)
+
+
+def _pairs_by_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    names = [f"c{i}" for i in range(len(cols))]
+    data = df.select(*[quoted(c).cast("double").alias(n) for c, n in zip(cols, names)])
+    data = VectorAssembler(inputCols=names, outputCol="v").transform(data).select("v")
+    m = Correlation.corr(data, "v").first()[0].toArray()
+    rows = [
+        (cols[j], cols[i], None if math.isnan(m[i, j]) else abs(float(m[i, j])))
+        for i in range(len(cols)) for j in range(i + 1, len(cols))
+    ]
+    return df.sparkSession.createDataFrame(rows, PAIRS)
 
 
 def spearman(df: DataFrame, cols: Sequence[str], target: str, small_rows: int | None = None) -> DataFrame:
@@ -111,7 +150,7 @@ def _spearman_small(base: DataFrame, cols: Sequence[str], schema: str) -> DataFr
         return F.rank().over(Window.partitionBy("column").orderBy(c)) + (ties - 1) / 2.0
 
     out = long.select("column", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.corr("rx", "ry").alias("rho")
+        F.count(F.lit(1)).alias("rows"), correlation(F.col("rx"), F.col("ry")).alias("rho")
     )
     return base.sparkSession.createDataFrame([tuple(r) for r in out.collect()], schema)
 

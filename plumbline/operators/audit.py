@@ -186,7 +186,7 @@ def type_measures(df: DataFrame, c: str, order_key: str | None = None, limits: T
     t = df.schema[c].dataType
     x = quoted(c)
     if isinstance(t, T.BooleanType):
-        two_valued = F.max(F.lit(True))
+        two_valued = F.lit(True)
     elif is_datetime(t):
         two_valued = F.count(x) == 0
     elif is_numeric(t):
@@ -194,7 +194,7 @@ def type_measures(df: DataFrame, c: str, order_key: str | None = None, limits: T
     else:
         two_valued = F.coalesce(F.bool_and(x.cast("string").isin(BOOLEAN_TEXTS)), F.lit(True))
     if is_datetime(t):
-        date_like = F.max(F.lit(True))
+        date_like = F.lit(True)
     elif isinstance(t, T.StringType) and order_key:
         first = F.min_by(dated(c), F.when(x.isNotNull(), quoted(order_key)))
         date_like = F.coalesce(first, F.lit(False))
@@ -202,10 +202,10 @@ def type_measures(df: DataFrame, c: str, order_key: str | None = None, limits: T
         share = F.avg(F.when(x.isNotNull(), dated(c).cast("double")))
         date_like = F.coalesce(share > limits.coerce_share, F.lit(False))
     else:
-        date_like = F.max(F.lit(False))
+        date_like = F.lit(False)
     rest = "numeric" if is_numeric(t) else "categorical"
     return {
-        "spark_type": F.max(F.lit(t.simpleString())),
+        "spark_type": F.lit(t.simpleString()),
         "logical_type": F.when(two_valued, "boolean").when(date_like, "datetime").otherwise(rest),
     }
 
@@ -225,7 +225,7 @@ def outlier_shares(
         x = quoted(c).cast("double")
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         return {
-            "q1": F.max(F.lit(q1)), "q3": F.max(F.lit(q3)),
+            "q1": F.lit(q1), "q3": F.lit(q3),
             "outlier_share": F.avg(F.when(x.isNotNull(), ((x < low) | (x > high)).cast("double"))),
         }
 

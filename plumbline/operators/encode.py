@@ -113,9 +113,9 @@ def _shrunk(n: Column, s: Column, ss: Column, mean: Column, var: Column) -> Colu
 
     Sums are of y minus the overall mean, so the squares do not cancel badly.
     """
-    own = s / n
-    spread = F.greatest(ss / n - own * own, F.lit(0.0))
-    weight = n * var / (n * var + spread)
+    own = F.try_divide(s, n)
+    spread = F.greatest(F.try_divide(ss, n) - own * own, F.lit(0.0))
+    weight = F.try_divide(n * var, n * var + spread)
     return F.when(n.isNull() | (n <= 0) | ((var <= 0) & (spread <= 0)), mean).otherwise(
         weight * (own + mean) + (1 - weight) * mean
     )
@@ -171,8 +171,8 @@ def cross_fitted(df: DataFrame, col: str, ys: Sequence[str], outputs: Sequence[s
     codes = []
     for i, (o, c) in enumerate(zip(outputs, centres)):
         n_all = F.col("n__all")
-        shift = F.col(f"s{i}__all") / n_all
-        var = F.col(f"q{i}__all") / n_all - shift * shift
+        shift = F.try_divide(F.col(f"s{i}__all"), n_all)
+        var = F.try_divide(F.col(f"q{i}__all"), n_all) - shift * shift
         # Re-centre the category sums on the mean of the other folds.
         n, s, q = F.col("n"), F.col(f"s{i}"), F.col(f"q{i}")
         codes.append(

@@ -148,11 +148,11 @@ def regression_scores(df: DataFrame, label: str, prediction: str, n_features: in
         F.count(y).alias("rows"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (1 - F.avg(e * e) / F.var_pop(y)).alias("r2"),
+        (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
         (F.avg(F.abs(e / base)) * 100).alias("mape"),
     )
     n = F.col("rows")
-    adjusted = 1 - (1 - F.col("r2")) * (n - 1) / (n - n_features - 1)
+    adjusted = 1 - F.try_divide((1 - F.col("r2")) * (n - 1), n - n_features - 1)
     return out.withColumn("adj_r2", F.when(n > n_features + 1, adjusted))
 
 
@@ -172,7 +172,7 @@ def heteroscedasticity(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def critical_t(dof):
     """Two-sided 5 % point of Student's t by its expansion around the normal point."""
     z = NormalDist().inv_cdf(0.975)
-    d = dof.cast("double")
+    d = F.greatest(dof.cast("double"), F.lit(1.0))
     return (
         F.lit(z) + (z**3 + z) / (4 * d) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * d * d)
         + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * d * d * d)

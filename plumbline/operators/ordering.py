@@ -15,10 +15,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import CHUNK, quoted
+from plumbline.functions.columns import MEASURES, quoted
 
 ACCURACY = 10_000
-BUCKETS = 64
+# Values are cut into buckets of about this many rows, up to what the sketch resolves.
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 2048
+# A key with more than this fraction of the rows is spread over as many tasks.
+HOT = 64
 # Up to this many rows one task may hold every value of a column.
 SMALL_ROWS = 20_000
 
@@ -101,8 +105,8 @@ def quantiles(
 
 def _collect_wide(df: DataFrame, aggs: list[Column]) -> list:
     out: list = []
-    for start in range(0, len(aggs), CHUNK):
-        out.extend(df.agg(*aggs[start : start + CHUNK]).first())
+    for start in range(0, len(aggs), MEASURES):
+        out.extend(df.agg(*aggs[start : start + MEASURES]).first())
     return out
 
 
@@ -141,60 +145,95 @@ def _select(
             (known.get((i, wanted[i, k] - slack)), known.get((i, wanted[i, k] + slack))) if sizes[i] > accuracy else (None, None)
             for i, k in todo
         ]
-        below = [0] * len(todo)
-        lows = [t for t, (lo, _) in enumerate(brackets) if lo is not None]
-        under = [F.count(F.when(F.col(f"v{todo[t][0]}") < F.lit(brackets[t][0]), 1)) for t in lows]
-        for t, b in zip(lows, _collect_wide(wide, under)):
-            below[t] = b
-        # Positions of one column with one bracket share their values.
-        spans = list(dict.fromkeys((i, *br) for (i, _), br in zip(todo, brackets)))
-        cells = [
-            F.when(
-                F.col(f"v{i}").isNotNull()
-                & (F.lit(True) if lo is None else F.col(f"v{i}") >= F.lit(lo))
-                & (F.lit(True) if hi is None else F.col(f"v{i}") <= F.lit(hi)),
-                F.struct(F.lit(s).alias("s"), F.col(f"v{i}").alias("v")),
-            )
-            for s, (i, lo, hi) in enumerate(spans)
-        ]
-        inside = (
-            wide.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .select("c.s", "c.v")
-            .groupBy("s", "v")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        goals: list[list[int]] = [[] for _ in spans]
-        owner: list[dict[int, int]] = [{} for _ in spans]
-        for t, ((i, k), br) in enumerate(zip(todo, brackets)):
-            s = spans.index((i, *br))
-            goals[s].append(k - below[t])
-            owner[s][k - below[t]] = t
-        listed = F.element_at(F.array(*[F.array(*[F.lit(g) for g in gs]) for gs in goals]), F.col("s") + 1)
-        upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
-        hits = (
-            inside.withColumn("upto", upto)
-            .withColumn("hit", F.filter(listed, lambda g: (g < F.col("upto")) & (g >= F.col("upto") - F.col("n"))))
-            .where(F.size("hit") > 0)
-            .select("s", "v", "hit")
-            .collect()
-        )
-        for h in hits:
-            for g in h["hit"]:
-                found[todo[owner[h["s"]][g]]] = h["v"]
+        spans = _merged([(i, *br) for (i, _), br in zip(todo, brackets)])
+        lows = [s for s, (_, lo, _) in enumerate(spans) if lo is not None]
+        under = [F.count(F.when(F.col(f"v{spans[s][0]}") < F.lit(spans[s][1]), 1)) for s in lows]
+        below = dict(zip(lows, _collect_wide(wide, under)))
+        goals: dict[int, dict[int, int]] = {s: {} for s in range(len(spans))}
+        for t, ((i, k), (lo, _)) in enumerate(zip(todo, brackets)):
+            s = next(s for s, (j, a, b) in enumerate(spans) if i == j and _inside(lo, a, b))
+            goals[s][k - below.get(s, 0)] = t
+        for s, place, v in _at_places(wide, spans, goals):
+            found[todo[goals[s][place]]] = v
         todo = [w for w in todo if w not in found]
         slack = slack * 100 if slack < 1 else math.inf
     return found
 
 
-def bucketed(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Add ``<col>__b``: an equi-depth bucket that never separates equal values."""
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = _collect_wide(
-        df, [F.percentile_approx(quoted(c).cast("double"), probs, ACCURACY) for c in cols]
+def _merged(spans: list[tuple]) -> list[tuple]:
+    """Disjoint (column, low, high) spans covering the given ones; None is open."""
+    out: list[tuple] = []
+    for i, lo, hi in sorted(set(spans), key=lambda x: (x[0], -math.inf if x[1] is None else x[1])):
+        if out and out[-1][0] == i and (out[-1][2] is None or lo is None or lo <= out[-1][2]):
+            top = None if hi is None or out[-1][2] is None else max(hi, out[-1][2])
+            out[-1] = (i, out[-1][1], top)
+        else:
+            out.append((i, lo, hi))
+    return out
+
+
+def _inside(lo, a, b) -> bool:
+    if lo is None:
+        return a is None
+    return (a is None or a <= lo) and (b is None or lo <= b)
+
+
+def _within(v: Column, lo, hi) -> Column:
+    ok = v.isNotNull()
+    ok = ok if lo is None else ok & (v >= F.lit(lo))
+    return ok if hi is None else ok & (v <= F.lit(hi))
+
+
+def _at_places(wide: DataFrame, spans: list[tuple], goals: dict[int, dict[int, int]]) -> list[tuple]:
+    """(span, place, value): the values at the wanted places of every span.
+
+    Only values inside a span leave the scan, counted per distinct value first.
+    """
+    used = sorted({i for i, _, _ in spans})
+    masks = []
+    for i in used:
+        v = F.col(f"v{i}")
+        keep = F.lit(False)
+        for j, lo, hi in spans:
+            if j == i:
+                keep = keep | _within(v, lo, hi)
+        masks.append(F.when(keep, v).alias(str(i)))
+    counts = (
+        wide.select(*masks).unpivot([], [str(i) for i in used], "i", "v").where("v is not null")
+        .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    span = F.lit(None).cast("int")
+    for s, (i, lo, hi) in enumerate(spans):
+        span = F.when((F.col("i") == str(i)) & _within(F.col("v"), lo, hi), s).otherwise(span)
+    listed = F.element_at(
+        F.array(*[F.array(*[F.lit(g) for g in goals[s]]).cast("array<bigint>") for s in range(len(spans))]), F.col("s") + 1
+    )
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
+    hits = (
+        counts.withColumn("s", span).withColumn("upto", upto)
+        .withColumn("hit", F.filter(listed, lambda g: (g < F.col("upto")) & (g >= F.col("upto") - F.col("n"))))
+        .where(F.size("hit") > 0)
+        .select("s", "v", "hit")
+        .collect()
+    )
+    return [(h["s"], g, h["v"]) for h in hits for g in h["hit"]]
+
+
+def bucketed(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Add ``<col>__b``: an equi-depth bucket that never separates equal values.
+
+    Without ``buckets``, their number follows the rows, so a bucket stays one task's work.
+    """
+    finest = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    row = _collect_wide(
+        df, [f for c in cols for f in (F.count(quoted(c)), F.percentile_approx(quoted(c).cast("double"), finest, ACCURACY))]
     )
     splits = []
-    for s in sketch:
-        inner = sorted({v for v in (s or []) if v is not None and math.isfinite(v)}) or [0.0]
+    for n, sketch in zip(row[::2], row[1::2]):
+        wanted = buckets or min(MAX_BUCKETS, max(8, -(-n // BUCKET_ROWS)))
+        step = MAX_BUCKETS // min(wanted, MAX_BUCKETS)
+        cuts = (sketch or [])[step - 1 :: step]
+        inner = sorted({v for v in cuts if v is not None and math.isfinite(v)}) or [0.0]
         splits.append([-math.inf, *inner, math.inf])
     return Bucketizer(
         splitsArray=splits,
@@ -208,7 +247,7 @@ def cumulate(counts: DataFrame, groups: Sequence[str], sums: Sequence[str]) -> D
     """Add ``<s>_before``: total of ``s`` over smaller values in the group.
 
     ``counts`` has one row per (groups..., bucket, value). The window runs inside one
-    bucket; bucket totals (at most BUCKETS per group) are prefix-summed and broadcast.
+    bucket; bucket totals (at most MAX_BUCKETS per group) are prefix-summed and broadcast.
     """
     inside = Window.partitionBy(*groups, "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, -1
@@ -250,14 +289,14 @@ def skew_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Se
     A key with more than 1/64 of the rows is hot; there are fewer than 64 per group, so
     hot keys are broadcast and their rows are spread over salts instead of one task.
     """
-    hot = table.where(F.col("n") * BUCKETS > F.col("total"))
-    cold = table.where(F.col("n") * BUCKETS <= F.col("total"))
+    hot = table.where(F.col("n") * HOT > F.col("total"))
+    cold = table.where(F.col("n") * HOT <= F.col("total"))
     marked = df.join(
         F.broadcast(hot.select(*keys, *[F.col(v).alias(f"{v}__hot") for v in values], F.lit(True).alias("__hot"))),
         list(keys), "left",
     ).withColumn(
         "__salt",
-        F.when(F.col("__hot"), F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(BUCKETS)) + 1)
+        F.when(F.col("__hot"), F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(HOT)) + 1)
         .otherwise(F.lit(0)).cast("bigint"),
     )
     cold = cold.select(*keys, *values).withColumn("__salt", F.lit(0).cast("bigint"))

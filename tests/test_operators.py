@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.config import Settings
 from plumbline.functions.columns import normalise
 from plumbline.functions.normality import shapiro_pvalue
-from plumbline.operators import attribution, audit, clean, detect, drops, encode, findings, limits, metrics, search, select
+from plumbline.operators import association, attribution, audit, clean, detect, drops, encode, findings, limits, metrics, search, select
 from plumbline.operators.cluster import assemble
 
 
@@ -110,6 +110,34 @@ def test_target_codes_of_a_hot_category(spark, monkeypatch):
         assert got[k] == pytest.approx(shrunk(y, ys.mean(), ys.var()), rel=1e-9)
 
 
+def test_cross_fitting_a_category_of_one_fold(spark):
+    rows = [("a", 1.0, 0), ("a", 3.0, 1), ("only", 9.0, 0), ("a", 5.0, 1)]
+    df = spark.createDataFrame(rows, "k string, y double, fold int")
+    out = {(r["k"], r["y"]): r["c"] for r in encode.cross_fitted(df, "k", ["y"], ["c"], "fold").collect()}
+    # Without fold 0 the category is unseen, so it gets the mean of the other rows.
+    assert out["only", 9.0] == 4.0 and out["a", 1.0] == 4.0
+
+
+def test_constant_columns_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, float(i), None if i % 2 else 2.0) for i in range(20)], "a double, b double, c double")
+    pairs = {(r["later"], r["earlier"]): r["r"] for r in association.pearson_pairs(df, ["a", "b", "c"]).collect()}
+    assert pairs == {("b", "a"): None, ("c", "a"): None, ("c", "b"): None}
+
+
+def test_many_columns_use_one_matrix(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (200, 16))
+    x[:, 5] = x[:, 2] * 2 + 0.01 * x[:, 5]
+    x[:, 9] = 1.0
+    names = [f"c{i}" for i in range(16)]
+    df = spark.createDataFrame([[None if i == 3 and j % 9 == 0 else float(v) for i, v in enumerate(r)] for j, r in enumerate(x)], ", ".join(f"{n} double" for n in names))
+    got = {(r["later"], r["earlier"]): r["r"] for r in association.pearson_pairs(df, names).collect()}
+    assert len(got) == 120 and got["c9", "c1"] is None
+    assert got["c5", "c2"] == pytest.approx(abs(np.corrcoef(x[:, 2], x[:, 5])[0, 1]))
+    keep = np.arange(200) % 9 != 0
+    assert got["c3", "c1"] == pytest.approx(abs(np.corrcoef(x[keep, 1], x[keep, 3])[0, 1]))
+
+
 def test_constant_target_gives_the_mean(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "k string, y double")
     codes = encode.fit_target_codes(df, "k", ["y"], ["c"])
