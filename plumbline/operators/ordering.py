@@ -20,6 +20,7 @@ from plumbline.functions.columns import MEASURES, quoted
 ACCURACY = 10_000
 # Values are cut into buckets of about this many rows, up to what the sketch resolves.
 BUCKET_ROWS = 100_000
+FEW_BUCKETS = 64
 MAX_BUCKETS = 2048
 # A key with more than this fraction of the rows is spread over as many tasks.
 HOT = 64
@@ -224,15 +225,23 @@ def bucketed(df: DataFrame, cols: Sequence[str], buckets: int | None = None) ->
 
     Without ``buckets``, their number follows the rows, so a bucket stays one task's work.
     """
-    finest = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = _collect_wide(
-        df, [f for c in cols for f in (F.count(quoted(c)), F.percentile_approx(quoted(c).cast("double"), finest, ACCURACY))]
-    )
+    def sketch(parts: int) -> list:
+        probs = [i / parts for i in range(1, parts)]
+        return _collect_wide(
+            df, [f for c in cols for f in (F.count(quoted(c)), F.percentile_approx(quoted(c).cast("double"), probs, ACCURACY))]
+        )
+
+    parts = FEW_BUCKETS
+    row = sketch(parts)
+    if max(buckets or 0, -(-max(row[::2]) // BUCKET_ROWS)) > parts:
+        # A large table is worth a second, finer look.
+        parts = MAX_BUCKETS
+        row = sketch(parts)
     splits = []
-    for n, sketch in zip(row[::2], row[1::2]):
-        wanted = buckets or min(MAX_BUCKETS, max(8, -(-n // BUCKET_ROWS)))
-        step = MAX_BUCKETS // min(wanted, MAX_BUCKETS)
-        cuts = (sketch or [])[step - 1 :: step]
+    for n, cuts in zip(row[::2], row[1::2]):
+        wanted = buckets or max(8, -(-n // BUCKET_ROWS))
+        step = max(1, parts // wanted)
+        cuts = (cuts or [])[step - 1 :: step]
         inner = sorted({v for v in cuts if v is not None and math.isfinite(v)}) or [0.0]
         splits.append([-math.inf, *inner, math.inf])
     return Bucketizer(

@@ -58,6 +58,17 @@ def test_ranks_average_ties(skewed):
     assert got == want
 
 
+def test_bucket_numbers_follow_the_rows(skewed, monkeypatch):
+    df, pdf = skewed
+    want = pdf[["x", "y"]].dropna().rank().corr().iloc[0, 1]
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 60)
+    assert ordering.bucketed(df, ["x"]).select("x__b").distinct().count() > 30
+    monkeypatch.setattr(ordering, "FEW_BUCKETS", 4)
+    monkeypatch.setattr(ordering, "MAX_BUCKETS", 32)
+    assert 8 < ordering.bucketed(df, ["x"]).select("x__b").distinct().count() <= 33
+    assert abs(association.spearman(df, ["x"], "y", small_rows=0).first()["rho"] - want) < 1e-9
+
+
 def test_spearman_with_hot_values_equals_pandas(skewed):
     df, pdf = skewed
     want = pdf[["x", "y"]].dropna().rank().corr().iloc[0, 1]

@@ -160,7 +160,7 @@ def test_scoring_contract(spark, classifier, tmp_path):
     assert out.count() == 705 and set(out.columns) == {"id", "prediction", "probability", "class_labels"}
     assert out.first()["class_labels"] == ["no", "yes"]
     assert model.score(rows.limit(0), ["id"]).count() == 0
-    many = rows.crossJoin(spark.range(2).select(F.col("id").alias("copy"))).drop("copy")
+    many = rows.unionByName(rows)
     assert model.score(many, ["id"]).count() == 1410
     with pytest.raises(ValueError, match="missing columns \\['f1'\\]"):
         model.score(rows.drop("f1"), ["id"])
