@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -114,18 +115,22 @@ def sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def shared_folder(spark) -> str | None:
-    """The folder all executors share, as the session names it; None in a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+def shared_folder(spark) -> str:
+    """The folder all executors share, as the session names it. Only a session with its
+    driver and tasks in one process may leave it unset; it gets a folder of its own, once."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        folder = sc.getCheckpointDir()
     return folder
 
 
 def scratch(spark, name: str) -> str:
     """A fresh path for a table one step writes and the next reads."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def compact(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
@@ -137,5 +142,5 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="plumbline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
