@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import contamination
+from plumbline.llm import contamination, jaccard
 
 
 def queries():
-    return {"op2_contamination": contamination.op2_contamination}
+    return {
+        "op2_contamination": contamination.op2_contamination,
+        "op9_jaccard": jaccard.op9_jaccard,
+    }
 
 
 def oracle_sql():
-    return {"op2_contamination": contamination.SQL}
+    return {
+        "op2_contamination": contamination.SQL,
+    }
