@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import picked
-from plumbline.llm.words import ALPHANUMERIC, Powers, grams, mix, words_of
+from plumbline.llm.words import ALPHANUMERIC, Powers, grams, slices, words_of
 
 WINDOW_WORDS = 10
 BLOCK = 2
@@ -168,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
 
         def scan(batches, shared=shared):
             powers = Powers()
-            for batch in batches:
+            for batch in slices(batches):
                 yield search(batch, shared.value, powers)
 
         marked = marked.mapInArrow(scan, marked.schema)

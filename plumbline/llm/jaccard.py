@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, picked, stored
-from plumbline.llm.words import SPACED, Powers, grams, mix, words_of
+from plumbline.llm.words import SPACED, Powers, grams, mix, slices, words_of
 
 BAND = 1.4
 #: What a chance meeting of two sets costs, in index rows.
@@ -166,7 +166,7 @@ def _record(columns: dict[str, tuple]) -> pa.RecordBatch:
 
 def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
-    for batch in batches:
+    for batch in slices(batches):
         sets = shingle_sets(batch.column("text"), n, powers)
         found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "n_shingles", "class"])
@@ -175,7 +175,7 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
 def _unseen(batches, n: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes], list[np.ndarray]]]:
     """Rows of classes the task has not met yet: their places, names and sets."""
     powers, seen = Powers(), set()
-    for batch in batches:
+    for batch in slices(batches):
         if len(seen) > REMEMBERED:
             seen.clear()
         rows, keys, kept = [], [], []

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 WINDOW = 1 << 16
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -95,6 +96,20 @@ def text_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, column: str = "text", most: int = 4 << 20):
+    """The same rows in batches of at most about ``most`` bytes of text, or one row where it is longer."""
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        low, total = 0, 0
+        for high, size in enumerate(lengths.tolist()):
+            if total and total + size > most:
+                yield batch.slice(low, high - low)
+                low, total = high, 0
+            total += size
+        if low < batch.num_rows:
+            yield batch.slice(low)
+
+
 def shape_classes() -> np.ndarray:
     """Lower-case letters, capitals and digits each count as one sign; other signs as themselves."""
     table = np.arange(256, dtype=np.uint8)
