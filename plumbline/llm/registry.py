@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import contamination, jaccard, tokens
+from plumbline.llm import contamination, hmm, jaccard, tokens
 
 
 def queries():
     return {
         "op2_contamination": contamination.op2_contamination,
+        "op5_language_model": hmm.op5_language_model,
         "op6_tokens": tokens.op6_tokens,
         "op9_jaccard": jaccard.op9_jaccard,
     }
