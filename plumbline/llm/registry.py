@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import contamination, hmm, jaccard, tokens
+from plumbline.llm import contamination, hmm, jaccard, quality, tokens
 
 
 def queries():
     return {
         "op2_contamination": contamination.op2_contamination,
+        "op3_quality": quality.op3_quality,
         "op5_language_model": hmm.op5_language_model,
         "op6_tokens": tokens.op6_tokens,
         "op9_jaccard": jaccard.op9_jaccard,
