@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from plumbline.llm import contamination, hmm, jaccard, quality, tokens
+from plumbline.llm import chat, contamination, embeddings, hmm, jaccard, mixing, quality, tokens, warc
 
 
 def queries():
     return {
         "op2_contamination": contamination.op2_contamination,
         "op3_quality": quality.op3_quality,
+        "op4_embeddings": embeddings.op4_embeddings,
         "op5_language_model": hmm.op5_language_model,
         "op6_tokens": tokens.op6_tokens,
+        "op7_chat": chat.op7_chat,
+        "op8_warc": warc.op8_warc,
         "op9_jaccard": jaccard.op9_jaccard,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql():
     return {
         "op2_contamination": contamination.SQL,
+        "op4_embeddings": embeddings.SQL,
+        "op8_warc": warc.SQL,
+        "op10_mixing": mixing.SQL,
     }
