@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import quoted
 from plumbline.llm.common import picked
 from plumbline.llm.words import ALPHANUMERIC, Powers, grams, slices, words_of
 
@@ -131,10 +132,8 @@ def search(batch: pa.RecordBatch, patterns: list[Patterns], powers: Powers) -> p
                 spans[r].append([at, at + p.length])
                 items[r].update(p.items[w])
     flat = [merged([x for x in s if x]) for s in spans]
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("text"), pa.array(found.counts, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
-        names=["doc_id", "text", "n_words", "spans", "items"],
-    )
+    made = {"n_words": pa.array(found.counts, pa.int64()), "spans": pa.array(flat, pa.list_(pa.int64())), "items": pa.array([sorted(i) for i in items], pa.list_(pa.string()))}
+    return pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
 
 def merged(spans: list[list[int]]) -> list[int]:
@@ -148,19 +147,13 @@ def merged(spans: list[list[int]]) -> list[int]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", size: int = WINDOW_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """One row per row of ``docs``: words, words inside any window of an item, items met.
-
-    A null or empty text has no words; an item without id or words has no windows; items that repeat
-    an id share its windows, and a repeated document row is answered as often as it comes. Items go
-    through the documents in blocks of ``item_bytes`` that follow their number, one after
-    the other within a task; a document carries the union of its hits from block to block.
-    """
-    spark = docs.sparkSession
+def searched(marked: DataFrame, items: DataFrame, item_col: str, item_text_col: str, size: int, item_bytes: int) -> DataFrame:
+    """(doc_id, text, n_words, spans, items) and any further columns of rows (doc_id, text, ...), block by block of items."""
+    spark = marked.sparkSession
     wanted = picked(items, {"item_id": item_col, "text": item_text_col}, {"item_id": "string", "text": "string"}).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // item_bytes))
-    marked = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"}).selectExpr("doc_id", "text", "CAST(0 AS BIGINT) AS n_words", "CAST(NULL AS ARRAY<BIGINT>) AS spans", "CAST(NULL AS ARRAY<STRING>) AS items")
+    marked = marked.selectExpr("*", "CAST(0 AS BIGINT) AS n_words", "CAST(NULL AS ARRAY<BIGINT>) AS spans", "CAST(NULL AS ARRAY<STRING>) AS items")
     key = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     for b in range(blocks):
         block = [tuple(r) for r in wanted.where(key == b).select("item_id", "text").collect()]
@@ -172,6 +165,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
                 yield search(batch, shared.value, powers)
 
         marked = marked.mapInArrow(scan, marked.schema)
+    return marked
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", size: int = WINDOW_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """One row per row of ``docs``: words, words inside any window of an item, items met.
+
+    A null or empty text has no words; an item without id or words has no windows; items that repeat
+    an id share its windows, and a repeated document row is answered as often as it comes. Items go
+    through the documents in blocks of ``item_bytes`` that follow their number, one after
+    the other within a task; a document carries the union of its hits from block to block.
+    """
+    marked = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"})
+    marked = searched(marked, items, item_col, item_text_col, size, item_bytes)
 
     def digest(batches):
         for batch in batches:
@@ -188,6 +194,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
     return out.mapInArrow(digest, f"doc_id {dict(marked.dtypes)['doc_id']}, {RESULT.split(', ', 1)[1]}, spans array<bigint>, items array<string>")
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", size: int = WINDOW_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of an item."""
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.struct(*[quoted(c) for c in docs.columns if c != text_col]).alias("others"))
+    rows = searched(rows, items, item_col, item_text_col, size, item_bytes).where("size(spans) = 0")
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("others")[c].alias(c) for c in docs.columns])
+
+
 SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),

@@ -19,9 +19,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import quoted
 from plumbline.llm.common import components, picked, stored
 from plumbline.llm.words import SPACED, Powers, grams, mix, slices, words_of
 
@@ -349,5 +350,33 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
     return rows.join(names, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, that of the smallest id, with all its columns; rows without text all stay.
+
+    Of rows that share the id, the one with the least text stays. Rows without id stay, one of each text,
+    only if no row of their group has an id.
+    """
+    groups = near_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = groups.select(F.col("doc_id").alias("rep__id")).distinct()
+    rows = docs.join(keep, quoted(id_col).eqNullSafe(F.col("rep__id")), "left_semi")
+    key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(quoted(text_col), F.lit("")).cast("binary"))))
+    first = Window.partitionBy(quoted(id_col), key).orderBy(quoted(text_col))
+    return rows.withColumn("rep__at", F.row_number().over(first)).where("rep__at = 1").drop("rep__at")
+
+
 def op9_jaccard(spark, sf: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf}/documents.parquet"), 3, 0.9)
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[pos : pos + least(3, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - least(3, len(words)) + 1)) AS pos FROM w WHERE len(words) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.a = w.doc_id
+"""

@@ -195,8 +195,8 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(ratio, weight, bias, slope, offset)
 
 
-def apply(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The given columns, and score (0 to 1). ``docs`` must not have a column of that name."""
+def apply(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """The given columns, and the score (0 to 1) under a name that ``docs`` does not have."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -206,9 +206,9 @@ def apply(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in slices(batches, text_col):
             row, feature = features(batch.column(text_col), powers)
             score = shared.value.score(row, feature, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.DoubleType())]))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, contamination, embeddings, hmm, jaccard, mixing, quality, tokens, warc
+import corpus_pipeline
+from plumbline.llm import chat, contamination, embeddings, hmm, jaccard, mixing, quality, secrets, tokens, warc
 
 
 def queries():
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op2_contamination": contamination.op2_contamination,
         "op3_quality": quality.op3_quality,
         "op4_embeddings": embeddings.op4_embeddings,
@@ -16,6 +18,7 @@ def queries():
         "op8_warc": warc.op8_warc,
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -24,5 +27,6 @@ def oracle_sql():
         "op2_contamination": contamination.SQL,
         "op4_embeddings": embeddings.SQL,
         "op8_warc": warc.SQL,
+        "op9_jaccard": jaccard.SQL,
         "op10_mixing": mixing.SQL,
     }
