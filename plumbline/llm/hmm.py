@@ -31,7 +31,7 @@ SEED_TEXTS = 512
 #: In training a text is cut into stretches of so many tokens; a stretch starts afresh.
 STRETCH = 512
 #: Texts are scored in chunks of about so many bytes, each with the counts of its own tokens.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 STICK = 0.95
 PRIOR = 100.0
 
