@@ -16,8 +16,12 @@ place in the block and number of ids.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ LOW = np.uint64(1 << 31)
 #: Blocks coded in step; their arrays take some 20 MB.
 TOGETHER = 32
 #: White-space-free pieces whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 END = 1
 BLOCKS = (
     "part int, block bigint, n int, crc32 bigint, words binary, checkpoints binary, "
@@ -50,29 +54,55 @@ BLOCKS = (
 class Encoder:
     """Ids of whole texts from a tokenizer that drops white space and joins nothing across it.
 
-    Pieces between ASCII white space are encoded once and remembered; the library sees each of
-    them whole, so ids are those of the whole text.
+    Pieces between ASCII white space are encoded once and remembered, so ids are those of the whole
+    text. A piece of Latin letters and ASCII punctuation after them needs neither the
+    library's normaliser nor its splitter, if these are of the known kind: it is lowered here, and its letters
+    and its punctuation go to the library's model as the two words that the splitter would make of them.
     """
 
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+    KNOWN = {"NFC", "Replace", "Lowercase"}, "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.library, self.end = Tokenizer.from_file(path), end
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        steps = {x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])}
+        split, *more = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = (steps, split.get("pattern", {}).get("Regex")) == self.KNOWN and [m["type"] for m in more] == ["ByteLevel"]
+        self.signs = byte_signs()
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        number = self.number
-        fresh = [p for p in dict.fromkeys(pieces) if p not in number]
-        for low in range(0, len(fresh), 20_000):
-            some = fresh[low : low + 20_000]
+        self.marks: dict[str, list[int]] = {"": []}
+        self.ids, self.begin = array("I"), array("q", [0])
+
+    def word(self, text: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.number]
+        rest = []
+        for piece in fresh:
+            plain = self.PLAIN.fullmatch(piece.decode()) if self.plain else None
+            if plain is None:
+                rest.append(piece)
+                continue
+            if plain[2] not in self.marks:
+                self.marks[plain[2]] = self.word(plain[2])
+            self.add(piece, self.word(plain[1].lower()) + self.marks[plain[2]])
+        for low in range(0, len(rest), 20_000):
+            some = rest[low : low + 20_000]
             for piece, found in zip(some, self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                number[piece] = len(self.ids)
-                self.ids.append(np.array(found.ids, dtype=np.uint32))
-        return np.fromiter(map(number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+                self.add(piece, found.ids)
+
+    def add(self, piece: bytes, ids: list[int]) -> None:
+        self.number[piece] = len(self.begin) - 1
+        self.ids.extend(ids)
+        self.begin.append(len(self.ids))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by the end id, and each row's number of ids."""
@@ -81,21 +111,29 @@ class Encoder:
         data, offsets = text_bytes(texts)
         raw = data.tobytes()
         rows = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        which = self.numbers([p for r in rows for p in r])
-        lengths = np.array([len(x) for x in self.ids], dtype=np.int64)
-        flat = np.concatenate([*self.ids, np.array([self.end], np.uint32)])
-        begins = np.cumsum(lengths) - lengths
+        pieces = list(chain.from_iterable(rows))
+        self.learn(pieces)
+        which = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        begins = np.array(self.begin, dtype=np.int64)
+        flat = np.append(np.array(self.ids, dtype=np.uint32), np.uint32(self.end))
         # The end id is one more piece after each row's pieces.
         places = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        take = np.insert(which, places, len(lengths)) if len(rows) else which
-        lengths, begins = np.append(lengths, 1), np.append(begins, len(flat) - 1)
-        size = lengths[take]
+        take = np.insert(which, places, len(begins) - 1) if len(rows) else which
+        size = np.append(np.diff(begins), 1)[take]
         first = np.cumsum(size) - size
         ids = flat[np.repeat(begins[take] - first, size) + np.arange(int(size.sum()))]
         ends = np.cumsum(size)[places + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable Latin-1 signs stand for
+    themselves, the other bytes for the signs from 256 on, in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + others.index(b)) if b in others else chr(b) for b in range(256)}
+
+
 # -- coding ------------------------------------------------------------------------------------
 
 
