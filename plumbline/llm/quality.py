@@ -39,7 +39,7 @@ def features(texts, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
         again = np.zeros(n, dtype=np.uint64)
         again[1:] = (found.hashes[1:] == found.hashes[:-1]) & (row[1:] == row[:-1])
         pattern = mix(found.shapes + again * np.uint64(0x9E3779B97F4A7C15))
-        keys = []
+        keys = []  # a batch's features; a few MB of text make some 100 MB of them
         for kind, (values, size) in enumerate([(found.hashes, 1), (found.hashes, 2), (pattern, 1), (pattern, 2), (pattern, 3)]):
             place = (mix(grams(values, size) + np.uint64(kind)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
             whole = row[: len(place)] == row[size - 1 :][: len(place)]
@@ -125,17 +125,18 @@ def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fitted(texts, good: np.ndarray, ratio: np.ndarray) -> Model:
     """The model of these rows; margins for the curve come from models that did not see their row."""
-    row, feature = features(texts, Powers())
     if good.all() or not good.any():
         # One label only: its smoothed share, whatever the text.
         share = (good.sum() + 1) / (len(good) + 2)
         return Model(ratio, np.zeros(FEATURES), 0.0, 1e-3, float(np.log(share / (1 - share))))
-    cut = np.searchsorted(row, np.arange(len(good) + 1))
-    rows = []
-    for a, b in zip(cut[:-1], cut[1:]):
-        value = ratio[feature[a:b]]
-        length = float(np.sqrt(value @ value))
-        rows.append((feature[a:b], value / (length if length else 1.0)))
+    rows, powers = [], Powers()
+    for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], most=1 << 20):
+        row, feature = features(part.column("text"), powers)
+        cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+        for a, b in zip(cut[:-1], cut[1:]):
+            value = ratio[feature[a:b]].astype(np.float32)
+            length = float(np.sqrt(value @ value))
+            rows.append((feature[a:b].astype(np.int32), value / np.float32(length if length else 1.0)))
     sign = np.where(good, 1.0, -1.0)
     margin = np.zeros(len(rows))
     for k in range(FOLDS):
@@ -149,7 +150,7 @@ def fitted(texts, good: np.ndarray, ratio: np.ndarray) -> Model:
 
 def _counts(batches) -> Iterator[pa.RecordBatch]:
     powers, total = Powers(), np.zeros((2, FEATURES), dtype=np.int64)
-    for batch in slices(batches):
+    for batch in slices(batches, most=2 << 20):
         label = batch.column("label").to_numpy()
         row, feature = features(batch.column("text"), powers)
         for k in (0, 1):
@@ -179,7 +180,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         table = pa.Table.from_batches(held)
         order = sorted(range(table.num_rows), key=list(zip(table.column("rank").to_pylist(), table.column("text").to_pylist())).__getitem__)
         table = table.take(order)
-        m = fitted(table.column("text"), table.column("label").to_numpy() == 1, shared.value)
+        m = fitted(table.column("text").combine_chunks(), table.column("label").to_numpy() == 1, shared.value)
         some = np.flatnonzero(m.weight)
         place = np.concatenate([some, [-1, -2, -3]])
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(np.concatenate([m.weight[some], [m.bias, m.slope, m.offset]]))], names=["place", "value"])
@@ -203,7 +204,7 @@ def apply(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     def run(batches):
         powers = Powers()
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 2 << 20):
             row, feature = features(batch.column(text_col), powers)
             score = shared.value.score(row, feature, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])
