@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import picked
+from plumbline.llm.common import picked, stored
 from plumbline.llm.words import SPACED, Powers, grams, mix, slices, words_of
 
 FEATURE_BITS = 18
@@ -24,6 +24,8 @@ FEATURES = 1 << FEATURE_BITS
 #: The weights are fitted to about so many labelled rows, chosen by the hash of their id.
 FIT_ROWS = 6000
 THRESHOLD = 0.3
+#: Up to so many labels (some 40 MB) go to every task; more of them meet the texts by a shuffle.
+BROADCAST_LABELS = 1_000_000
 EPOCHS = 15
 FOLDS = 3
 PENALTY = 1.0
@@ -217,6 +219,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     a null one, or one without id, teaches nothing; an id with both labels counts for both."""
     wanted = picked(labels, {"doc_id": id_col, "label": label_col}).where("label IN (0, 1) AND doc_id IS NOT NULL").distinct()
     texts = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"})
+    wanted = stored(wanted, "quality-labels")
+    if wanted.count() <= BROADCAST_LABELS:
+        wanted = F.broadcast(wanted)
     return texts.join(wanted, "doc_id").where(~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("label").cast("int").alias("label"))
 
 
