@@ -150,7 +150,7 @@ def expected(batches, m: Model) -> Iterator[pa.RecordBatch]:
         expect(cells_of(hashes), first, m, out)
     for kind, values in (("start", out["start"][None, :]), ("move", out["move"]), ("emit", out["emit"])):
         some = np.flatnonzero(values.any(axis=1))
-        columns = [pa.array([kind] * len(some)), pa.array(some, pa.int32()), *[pa.array(values[some, k]) for k in range(states)]]
+        columns = [pa.array([kind] * len(some)), pa.array(some, pa.int32()), *[pa.array(values[some, k].astype(np.float32)) for k in range(states)]]
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "place", *[f"s{k}" for k in range(states)]])
 
 
@@ -218,6 +218,7 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(part[some, k]) for k in range(states)]], names=["place", *[f"s{k}" for k in range(states)]])
 
     columns = ", ".join(f"s{k} double" for k in range(states))
+    narrow = columns.replace("double", "float")
     few = texts.select(F.xxhash64("doc_id", "text").alias("rank"), "text").orderBy("rank", "text").limit(SEED_TEXTS).coalesce(1)
     emit = np.zeros((CELLS + 2, states))
     if tokens:
@@ -229,7 +230,7 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple
     np.fill_diagonal(model.move, STICK if states > 1 else 1.0)
     for _ in range(rounds if tokens else 0):
         shared = spark.sparkContext.broadcast(model)
-        tasks = texts.select("text").mapInArrow(lambda it, shared=shared: expected(it, shared.value), f"kind string, place int, {columns}")
+        tasks = texts.select("text").mapInArrow(lambda it, shared=shared: expected(it, shared.value), f"kind string, place int, {narrow}")
         sums = tasks.groupBy("kind", "place").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
         out = {"start": np.zeros((1, states)), "move": np.zeros((states, states)), "emit": np.zeros((CELLS + 2, states))}
         for r in sums.collect():  # one row for each cell and state
@@ -277,7 +278,8 @@ def scored(texts, token: np.ndarray, n: np.ndarray, m: Model, powers: Powers) ->
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Scores of rows (doc_id, held_out, text). Texts lie in chunks by hash; a chunk's
-    distinct tokens fetch their counts, and meet the chunk's texts again."""
+    distinct tokens fetch their counts, and meet the chunk's texts again. A token that more than one
+    batch of the chunk asks for comes back as often, which does no harm."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -293,7 +295,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, chunk_bytes: int
                 token = np.unique(hashes[of == c])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), c), pa.int32()), pa.array(token.view(np.int64))], names=["chunk", "token"])
 
-    uses = placed.select("chunk", "text").mapInArrow(distinct, "chunk int, token bigint").distinct()
+    uses = placed.select("chunk", "text").mapInArrow(distinct, "chunk int, token bigint")
     counts = uses.join(vocabulary, "token").select("chunk", "token", "n")
     shared = spark.sparkContext.broadcast(model)
     id_type = dict(docs.dtypes)["doc_id"]
