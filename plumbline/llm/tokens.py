@@ -51,6 +51,16 @@ BLOCKS = (
 # -- ids ---------------------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """A piece's number; a piece not met before is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> int:
+        return self.learn(piece)
+
+
 class Encoder:
     """Ids of whole texts from a tokenizer that drops white space and joins nothing across it.
 
@@ -76,33 +86,26 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = Numbers(self.learn)
         self.marks: dict[str, list[int]] = {"": []}
         self.ids, self.begin = array("I"), array("q", [0])
 
     def word(self, text: str) -> list[int]:
         return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.number]
-        rest = []
-        for piece in fresh:
-            plain = self.PLAIN.fullmatch(piece.decode()) if self.plain else None
-            if plain is None:
-                rest.append(piece)
-                continue
-            if plain[2] not in self.marks:
-                self.marks[plain[2]] = self.word(plain[2])
-            self.add(piece, self.word(plain[1].lower()) + self.marks[plain[2]])
-        for low in range(0, len(rest), 20_000):
-            some = rest[low : low + 20_000]
-            for piece, found in zip(some, self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.add(piece, found.ids)
-
-    def add(self, piece: bytes, ids: list[int]) -> None:
-        self.number[piece] = len(self.begin) - 1
+    def learn(self, piece: bytes) -> int:
+        plain = self.PLAIN.fullmatch(piece.decode()) if self.plain else None
+        if plain is None:
+            return self.add(piece, self.library.encode(piece.decode(), add_special_tokens=False).ids)
+        if plain[2] not in self.marks:
+            self.marks[plain[2]] = self.word(plain[2])
+        return self.add(piece, self.word(plain[1].lower()) + self.marks[plain[2]])
+
+    def add(self, piece: bytes, ids: list[int]) -> int:
+        number = self.number[piece] = len(self.begin) - 1
         self.ids.extend(ids)
         self.begin.append(len(self.ids))
+        return number
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by the end id, and each row's number of ids."""
@@ -112,7 +115,6 @@ class Encoder:
         raw = data.tobytes()
         rows = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         pieces = list(chain.from_iterable(rows))
-        self.learn(pieces)
         which = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         begins = np.array(self.begin, dtype=np.int64)
         flat = np.append(np.array(self.ids, dtype=np.uint32), np.uint32(self.end))
@@ -249,33 +251,41 @@ def little(ids: np.ndarray) -> bytes:
 # -- files -------------------------------------------------------------------------------------
 
 
+def narrow(tokenizer: str, end: int) -> str:
+    """The type of ids between steps: two bytes where the vocabulary allows it."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end: int) -> DataFrame:
     """(doc_id, order, ids) of every row; order is a hash of the text, for rows that share an id."""
     wanted = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"}).select("doc_id", F.xxhash64("text").alias("order"), "text")
+    kind = narrow(tokenizer, end)
 
     def run(batches):
         encoder = Encoder(tokenizer, end)
-        for batch in slices(batches):
+        for batch in slices(batches, most=2 << 20):
             ids, sizes = encoder.encode(batch.column("text"))
-            raw = little(ids)
-            ends = np.cumsum(sizes) * 4
-            rows = [raw[a:b] for a, b in zip((ends - sizes * 4).tolist(), ends.tolist())]
+            raw, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+            ends = np.cumsum(sizes) * size
+            rows = [raw[a:b] for a, b in zip((ends - sizes * size).tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("order"), pa.array(rows, pa.binary())], names=["doc_id", "order", "ids"])
 
     return wanted.mapInArrow(run, f"doc_id {dict(wanted.dtypes)['doc_id']}, order bigint, ids binary")
 
 
-def _counts(batches) -> Iterator[pa.RecordBatch]:
+def _counts(batches, kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<u4"), minlength=len(total))
+        seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype=kind), minlength=len(total))
         seen[: len(total)] += total
         total = seen
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
 
-def _coded(batches, frequency: dict[int, int], id_type) -> Iterator[pa.RecordBatch]:
+def _coded(batches, frequency: dict[int, int], id_type, kind: str) -> Iterator[pa.RecordBatch]:
     """Blocks of one part, whose rows come in order."""
     from pyspark import TaskContext
 
@@ -295,7 +305,7 @@ def _coded(batches, frequency: dict[int, int], id_type) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-            ids = np.frombuffer(raw, dtype="<u4")
+            ids = np.frombuffer(raw, dtype=kind)
             low = 0
             while low < len(ids):
                 take = min(len(ids) - low, BLOCK - held % BLOCK)
@@ -321,16 +331,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     are all written, in an order that depends on their texts only. An empty table writes a table of the
     end id alone and no block.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, narrow(tokenizer, end)
     ids = stored(encoded(docs, tokenizer, id_col, text_col, end), "ids")
-    counts = ids.select("ids").mapInArrow(_counts, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = ids.select("ids").mapInArrow(lambda it: _counts(it, kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     frequency = scaled({r["id"]: r["n"] for r in counts.collect()})  # one row for each id of the vocabulary
     spark.createDataFrame(sorted(frequency.items()), "id bigint, frequency bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(frequency)
     id_type = ids.select("doc_id").limit(0).toArrow().schema.field(0).type
     ordered = ids.repartitionByRange("doc_id", "order").sortWithinPartitions("doc_id", "order")
     schema = BLOCKS.format(id=dict(ids.dtypes)["doc_id"])
-    ordered.select("doc_id", "ids").mapInArrow(lambda it: _coded(it, shared.value, id_type), schema).write.parquet(f"{path}/blocks")
+    ordered.select("doc_id", "ids").mapInArrow(lambda it: _coded(it, shared.value, id_type, kind), schema).write.parquet(f"{path}/blocks")
     sizes = {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     starts, total = [], 0
     for part in sorted(sizes):  # one row for each part
