@@ -77,6 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.end = Tokenizer.from_file(path), end
+        self.model = self.library.model
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         steps = {x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])}
@@ -91,7 +92,8 @@ class Encoder:
         self.ids, self.begin = array("I"), array("q", [0])
 
     def word(self, text: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(text.encode().decode("latin-1").translate(self.signs))]
+        signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.model.tokenize(signs)]
 
     def learn(self, piece: bytes) -> int:
         plain = self.PLAIN.fullmatch(piece.decode()) if self.plain else None
