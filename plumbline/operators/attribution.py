@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import factorial
 from typing import Any
+from zlib import crc32
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -191,7 +192,7 @@ def sampled(
         for pdf in batches:
             for rec in pdf.itertuples(index=False):
                 x = np.array(rec[1:], dtype=float)
-                rng = np.random.default_rng([seed, abs(hash(rec[0])) % (1 << 31)])
+                rng = np.random.default_rng([seed, crc32(repr(rec[0]).encode())])
                 for o in range(orders):
                     z = base[rng.integers(len(base))].copy()
                     turn = rng.permutation(len(names))

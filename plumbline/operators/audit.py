@@ -181,7 +181,7 @@ def type_measures(df: DataFrame, c: str, order_key: str | None = None, limits: T
     def dated(c: str) -> Column:
         x = quoted(c).cast("string")
         looks = (F.length(x) > 8) & (x.contains("-") | x.contains("/"))
-        return looks & F.expr(f"try_cast(`{c}` as timestamp)").isNotNull()
+        return looks & quoted(c).try_cast("timestamp").isNotNull()
 
     t = df.schema[c].dataType
     x = quoted(c)
