@@ -6,8 +6,10 @@ in one shingle there, because the segments' allowances add up to more than d: an
 allows for one difference, a segment indexed with its one-deletion neighbours for two. How many
 segments get neighbours, and how many may stay empty, is the scheme's allocation; it is chosen
 by the index rows it writes and the chance meetings it leaves. Classes that meet in any segment
-come into one block, whose sets are compared exactly, tile against tile. A tile
-returns a spanning forest of its links, never its pairs.
+come into one block. A shared passage joins many of them by chance, so a block is first cut by
+sizes and by parity sketches: the bits in which two sketches differ are never more than the
+shingles in which the sets differ, so no link is lost. What is left of a block is compared
+exactly, tile against tile. A tile returns a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ MEETING = 4.0
 TILE_SETS = 256
 TILE_SHINGLES = 1 << 20
 COLUMNS = 1 << 13
+#: A tile of sketches holds about this many of them, or this many bytes, twice.
+TILE_SKETCHES = 4096
+TILE_BYTES = 1 << 22
+#: Bits of the filter that keeps texts of no candidate out of the shuffle: 1 MB at every size.
+MARKS = 1 << 23
 #: Classes a task remembers so as to index copies once; a class it forgot is indexed again.
 REMEMBERED = 200_000
 
@@ -156,9 +163,27 @@ def set_key(shingles: np.ndarray) -> bytes | None:
     return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little")
 
 
+def parity(shingles: np.ndarray) -> bytes | None:
+    """One bit for each shingle or more, a power of two of them: is the number of shingles hashed to it odd?"""
+    if not len(shingles):
+        return None
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        at = mix(shingles + np.uint64(29)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch the same set has at fewer 64-bit words."""
+    out = np.frombuffer(sketch, dtype=np.uint64)
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
 def number_of(key: bytes) -> int:
-    """Half of a class's name. It only gathers candidates; a class is told apart by the whole."""
-    return int.from_bytes(key[:8], "big", signed=True)
+    """48 bits of a class's name. They only gather candidates; a class is told apart by the whole."""
+    return int.from_bytes(key[:6], "big")
 
 
 def _record(columns: dict[str, tuple]) -> pa.RecordBatch:
@@ -169,8 +194,8 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text"), n, powers)
-        found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "n_shingles", "class"])
+        found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "n_shingles", "class", "sketch"])
 
 
 def _unseen(batches, n: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes], list[np.ndarray]]]:
@@ -241,9 +266,20 @@ def _met(batches) -> Iterator[pa.RecordBatch]:
             yield _record({"a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64())})
 
 
-def _texts(batches, n: int) -> Iterator[pa.RecordBatch]:
+def marked(numbers: DataFrame) -> np.ndarray:
+    """One bit for each remainder of the numbers by ``MARKS``. A number whose bit is not set is not among them."""
+    words = numbers.select(F.expr(f"CAST(pmod(number, {MARKS}) DIV 64 AS INT)").alias("at"), F.expr("shiftleft(1L, CAST(pmod(number, 64) AS INT))").alias("bit"))
+    out = np.zeros(MARKS // 64, dtype=np.int64)
+    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _texts(batches, n: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch, rows, keys, _ in _unseen(batches, n):
-        yield pa.RecordBatch.from_arrays([pa.array([number_of(k) for k in keys], pa.int64()), batch.column("text").take(pa.array(rows, pa.int64()))], names=["number", "text"])
+        number = np.array([number_of(k) for k in keys], dtype=np.int64)
+        wanted = (marks[number % MARKS // 64] >> (number % 64) & 1).astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array(number[wanted]), batch.column("text").take(pa.array(np.array(rows, dtype=np.int64)[wanted]))], names=["number", "text"])
 
 
 def linked(sets: list[np.ndarray], share: Fraction) -> np.ndarray:
@@ -279,11 +315,61 @@ def linked(sets: list[np.ndarray], share: Fraction) -> np.ndarray:
         label = lower
 
 
+def _runs(batches, columns: tuple[str, ...]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each key; rows come sorted by these columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if held and keys[low] != last:
+                yield held
+                held = []
+            last = keys[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield held
+
+
+def alike(sketches: list[bytes], sizes: np.ndarray, share: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow the similarity."""
+    words = min(len(s) for s in sketches) // 8
+    bits = np.stack([folded(s, words) for s in sketches])
+    left, rest, size = np.arange(len(sketches)), bits, sizes
+    out = []
+    while len(left):
+        queue = [left[0]]
+        left, rest, size = left[1:], rest[1:], size[1:]
+        while queue and len(left):
+            i = queue.pop()
+            apart = np.maximum(np.bitwise_count(rest ^ bits[i]).sum(axis=1, dtype=np.int64), np.abs(size - sizes[i]))
+            near = apart * (share.denominator + share.numerator) <= (share.denominator - share.numerator) * (size + sizes[i])
+            if near.any():
+                found = left[near]
+                out += [(int(i), int(k)) for k in found]
+                queue += found.tolist()
+                left, rest, size = left[~near], rest[~near], size[~near]
+    return out
+
+
+def _alike(batches, share: Fraction) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that may link, as a forest for every tile of sketches."""
+    for rows in _runs(batches, ("block", "step", "i", "j")):
+        number = np.concatenate([r.column("number").to_numpy() for r in rows])
+        sizes = np.concatenate([r.column("size").to_numpy() for r in rows])
+        pairs = alike([s for r in rows for s in r.column("sketch").to_pylist()], sizes, share)
+        if pairs:
+            a, b = np.array(pairs).T
+            yield _record({"a": (number[a], pa.int64()), "b": (number[b], pa.int64())})
+
+
 def _compare(batches, n: int, share: Fraction) -> Iterator[pa.RecordBatch]:
     """Links of every tile; its rows come together, sorted by tile."""
     powers = Powers()
-
-    def forest(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    for rows in _runs(batches, ("block", "i", "j")):
         by_key: dict[bytes, np.ndarray] = {}
         for r in rows:
             for s in shingle_sets(r.column("text"), n, powers):
@@ -291,23 +377,32 @@ def _compare(batches, n: int, share: Fraction) -> Iterator[pa.RecordBatch]:
         keys = sorted(by_key)
         label = linked([by_key[k] for k in keys], share)
         own = np.flatnonzero(label != np.arange(len(keys)))
-        return _record({"a": ([keys[label[i]] for i in own], pa.binary()), "b": ([keys[i] for i in own], pa.binary())})
+        yield _record({"a": ([keys[label[i]] for i in own], pa.binary()), "b": ([keys[i] for i in own], pa.binary())})
 
-    held: list[pa.RecordBatch] = []
-    tile = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j"))))
-        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-        for low, high in zip(cuts, cuts[1:]):
-            if low == high:
-                continue
-            if held and keys[low] != tile:
-                yield forest(held)
-                held = []
-            tile = keys[low]
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield forest(held)
+
+def _cells(member: DataFrame, keys: list[str], tiles: DataFrame) -> DataFrame:
+    """Each member once for every pair of tiles of its block it belongs to, as tile i against tile j >= i."""
+    at = member.join(tiles, keys).withColumn("at", F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"))
+    every = at.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return every.withColumn("i", F.least("at", "with")).withColumn("j", F.greatest("at", "with")).drop("at", "with", "tiles")
+
+
+def _refined(member: DataFrame, share: Fraction) -> DataFrame:
+    """(number, block): what is left together of each block of (number, size, sketch, block) by sizes and sketches.
+
+    Sizes of a link differ by a factor of at most 1 / share, which is the width of a step, so
+    a class is compared in its own step and in the one below.
+    """
+    width = max(math.log(1 / share), 0.01) * (1 + 1e-6)
+    step = F.floor(F.log("size") / width)
+    spread = member.withColumn("step", F.explode(F.array(step, step - 1)))
+    tiles = spread.groupBy("block", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SKETCHES), F.ceil(F.sum(F.octet_length("sketch")) / TILE_BYTES)).cast("int").alias("tiles")
+    )
+    cells = _cells(spread, ["block", "step"], tiles.where("n > 1").drop("n"))
+    keys = ["block", "step", "i", "j"]
+    may = cells.select(*keys, "number", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _alike(it, share), "a bigint, b bigint")
+    return components(may).select(F.col("node").alias("number"), F.col("root").alias("block"))
 
 
 def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", text_col: str = "text", tile_sets: int = TILE_SETS) -> DataFrame:
@@ -321,7 +416,7 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
     """
     exact = Fraction(str(share))
     wanted = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"})
-    rows = stored(wanted.mapInArrow(lambda it: _sets(it, n), f"doc_id {dict(wanted.dtypes)['doc_id']}, n_shingles bigint, class binary"), "sets")
+    rows = stored(wanted.mapInArrow(lambda it: _sets(it, n), f"doc_id {dict(wanted.dtypes)['doc_id']}, n_shingles bigint, class binary, sketch binary"), "sets")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"))
     sizes = classes.groupBy(F.round(F.log("size") * 8).alias("step")).agg(F.count(F.lit(1)).alias("sets"), F.min("size").alias("size")).collect()
     bands: dict[int, int] = {}
@@ -334,12 +429,14 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
     meets = index.repartition("entry").sortWithinPartitions("entry").mapInArrow(_met, "a bigint, b bigint")
     blocks = components(meets).select(F.col("node").alias("number"), F.col("root").alias("block"))
 
-    member = classes.select(F.expr("CAST(conv(hex(substring(class, 1, 8)), 16, -10) AS BIGINT)").alias("number"), "size").join(blocks, "number")
+    number = F.expr("CAST(conv(hex(substring(class, 1, 6)), 16, 10) AS BIGINT)").alias("number")
+    sketches = rows.where("class IS NOT NULL").groupBy("class").agg(F.any_value("sketch").alias("sketch"), F.max("n_shingles").alias("size"))
+    blocks = _refined(sketches.select(number, "size", "sketch").join(blocks, "number"), exact)
+
+    member = classes.select(number, "size").join(blocks, "number")
     tiles = member.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile_sets), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    cells = blocks.join(tiles, "block").withColumn("at", F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"))
-    cells = cells.select("number", "block", "at", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    cells = cells.select("number", "block", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"))
-    spread = texts.mapInArrow(lambda it: _texts(it, n), "number bigint, text string").join(cells, "number")
+    marks = marked(blocks)
+    spread = texts.mapInArrow(lambda it: _texts(it, n, marks), "number bigint, text string").join(_cells(blocks, ["block"], tiles), "number")
     links = spread.select("block", "i", "j", "text").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(lambda it: _compare(it, n, exact), "a binary, b binary")
     roots = components(links).select(F.col("node").alias("class"), "root")
 
@@ -347,7 +444,7 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = grouped.join(named, "root").select("class", "component_id")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(names, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "class").join(names, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,11 +454,12 @@ def representatives(docs: DataFrame, n: int, share: float, id_col: str = "doc_id
     only if no row of their group has an id.
     """
     groups = near_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = groups.select(F.col("doc_id").alias("rep__id")).distinct()
-    rows = docs.join(keep, quoted(id_col).eqNullSafe(F.col("rep__id")), "left_semi")
+    # A structure of the id equals itself also where the id is null; join and window share one shuffle by it.
+    keep = groups.select(F.struct("doc_id").alias("rep__id")).distinct()
+    rows = docs.withColumn("rep__id", F.struct(quoted(id_col).alias("doc_id"))).join(keep, "rep__id", "left_semi")
     key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(quoted(text_col), F.lit("")).cast("binary"))))
-    first = Window.partitionBy(quoted(id_col), key).orderBy(quoted(text_col))
-    return rows.withColumn("rep__at", F.row_number().over(first)).where("rep__at = 1").drop("rep__at")
+    first = Window.partitionBy("rep__id", key).orderBy(quoted(text_col))
+    return rows.withColumn("rep__at", F.row_number().over(first)).where("rep__at = 1").select(*[quoted(c) for c in docs.columns])
 
 
 def op9_jaccard(spark, sf: str) -> DataFrame:

@@ -85,6 +85,52 @@ def test_no_pair_within_the_difference_is_missed(share):
     assert {x for x, _ in used} == {True, False} and len(used) >= 3
 
 
+@pytest.mark.parametrize("share", [Fraction(8, 10), Fraction(9, 10)])
+def test_sketches_lose_no_link(share):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (1, 2, 5, 40, 63, 64, 65, 130, 700, 3000):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        sets.append(base)
+        for part in (0.01, 0.05, 0.1, 0.19, 0.3, 0.6):
+            other = rng.integers(0, 2**63, int(size * part) + 1, dtype=np.uint64)
+            sets += [np.unique(np.concatenate([base, other])), np.unique(np.concatenate([base[len(other) // 2 :], other[: len(other) // 2]]))]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets])
+    group = list(range(len(sets)))
+    for a, b in j.alike([j.parity(s) for s in sets], sizes, share):
+        group = [group[a] if g == group[b] else g for g in group]
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= share * (len(sets[a]) + len(sets[b]) - both):
+                assert group[a] == group[b]
+                linked += 1
+    assert linked > 20
+
+
+def test_sketches_keep_strangers_apart():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 2**63, 46, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 2**63, 260, dtype=np.uint64)])) for _ in range(60)]
+    assert not j.alike([j.parity(s) for s in sets], np.array([len(s) for s in sets]), Fraction(8, 10))
+
+
+def test_marks_keep_every_number(spark):
+    numbers = [0, 63, 64, 2**23, 2**48 - 1, 12345678901234]
+    marks = j.marked(spark.createDataFrame([(n,) for n in numbers], "number bigint"))
+    assert all(marks[n % j.MARKS // 64] >> (n % 64) & 1 for n in numbers)
+    assert not marks[1000] and not j.marked(spark.createDataFrame([], "number bigint")).any()
+
+
+def test_small_tiles_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(j, "TILE_SKETCHES", 2)
+    docs = corpus()
+    got = j.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), 5, 0.8).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, 5, 0.8)
+
+
 def test_components_of_paths_and_stars(spark):
     rows = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(40)] + [(5000, 5000), (7, 3)]
     got = components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
