@@ -78,7 +78,7 @@ def _(spark, sf):
 @query("recursive_elimination")
 def _(spark, sf):
     df = split.assign_folds(parts(spark, sf), ["p_partkey"], k=3, stratify="label").cache()
-    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42, 5)
+    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42)
 
     def score(cols):
         return sum(search.cross_validate(df, search.build("logistic_regression", {"c": 1.0}, cols, facts), "classification", 3)) / 3
@@ -121,7 +121,7 @@ SELECT 'size' AS feature, round((ay * bb - yb * ab) / (aa * bb - ab * ab), 6) +
 def _(spark, sf):
     df = parts(spark, sf).withColumn("label", F.col("price"))
     n, sd = df.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-    facts = search.Facts("regression", n, 0, sd, False, 42, 5)
+    facts = search.Facts("regression", n, 0, sd, False, 42)
     model = search.build("ridge", {"alpha": 5.0}, ["size", "noise"], facts).fit(df).stages[-1]
     return rounded(spark.createDataFrame(list(zip(["size", "noise"], [float(w) for w in model.coefficients])), "feature string, weight double"))
 
@@ -133,7 +133,7 @@ def _folded(spark, sf):
 @query("cross_validation")
 def _(spark, sf):
     df = _folded(spark, sf).cache()
-    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42, 5)
+    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42)
     rows = []
     for name, params in (("logistic_regression", {"c": 1.0}), ("random_forest", {"n": 10.0, "depth": 4.0, "min": 2.0})):
         scores = search.cross_validate(df, search.build(name, params, ["size", "price", "noise"], facts), "classification", 5)
@@ -208,7 +208,7 @@ def _(spark, sf):
     cols = ["size", "price", "noise"]
     df = parts(spark, sf)
     n = df.count()
-    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42, 5)).fit(df)
+    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42)).fit(df)
 
     def score(t):
         return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])

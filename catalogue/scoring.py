@@ -88,7 +88,7 @@ def fitted(spark, sf) -> tuple[FittedModel, object]:
     settings = Settings(target="cheap", id_cols=["p_partkey"])
     found = detect(df, "cheap", "classification")
     plan, matrix = prepare(df, run_audit(df, "cheap", id_cols=["p_partkey"]), found, settings)
-    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42, 5)
+    facts = search.Facts("classification", df.count(), 2, 1.0, False, 42)
     model = search.build("logistic_regression", {"c": 1.0}, plan.outputs, facts).fit(matrix)
     meta = {"problem": "classification", "model_name": "logistic_regression", "trained_at": timestamp(), "metrics": {"rows": float(facts.rows)}}
     return FittedModel(plan, plan.outputs, model, "supervised", meta), df.drop("cheap")

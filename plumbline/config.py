@@ -34,7 +34,6 @@ class Thresholds:
     min_variance: float = 0.01
     weak_share: float = 0.01
     test_share: float = 0.2
-    kernel_rows: int = 10_000
     hash_width: int = 16
 
 
@@ -54,7 +53,8 @@ class Settings:
     time_budget: float = 120.0
     max_trials: int | None = None
     models: list[str] | None = None
-    max_iter: int = 40
+    #: Bounds the drawn rounds and trees; the trial log shows the values that were fitted.
+    max_iter: int | None = None
     seed: int = 42
     on_ambiguous: str = "classification"
     thresholds: Thresholds = field(default_factory=Thresholds)

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.config import Settings
 from plumbline.functions.columns import compact, quoted, sql_name
 
-# Name, low, high and scale of every setting; boosted models are
-# bounded in rounds by Settings.max_iter, since Spark grows their trees one by one.
+# Name, low, high and scale of every setting.
 SPACES: dict[str, list[tuple[str, float, float, str]]] = {
     "lightgbm": [("lr", 1e-3, 0.1, "log"), ("n", 50, 500, "int"), ("leaves", 20, 100, "int"), ("min_child", 10, 50, "int")],
     "xgboost": [("lr", 1e-3, 0.1, "log"), ("depth", 3, 9, "int"), ("n", 50, 500, "int"), ("sub", 0.5, 1.0, "real"), ("col", 0.5, 1.0, "real")],
@@ -42,12 +41,10 @@ FOURIER = 64
 STARTUP_TRIALS = 5
 
 
-def model_pool(problem: str, rows: int, kernel_rows: int = 10_000) -> list[str]:
+def model_pool(problem: str) -> list[str]:
     pool = ["lightgbm", "xgboost", "random_forest"]
     pool += ["logistic_regression"] if problem == "classification" else ["ridge"]
-    if rows <= kernel_rows:
-        pool.append("svc" if problem == "classification" else "svr")
-    return pool
+    return pool + (["svc"] if problem == "classification" else ["svr"])
 
 
 def space(model: str, size_class: str = "medium") -> list[tuple[str, float, float, str]]:
@@ -55,7 +52,8 @@ def space(model: str, size_class: str = "medium") -> list[tuple[str, float, floa
     return [(n, lo, NARROW.get((model, n), hi) if narrow else hi, s) for n, lo, hi, s in SPACES[model]]
 
 
-def draw(model: str, rng: random.Random, size_class: str = "medium") -> dict[str, float]:
+def draw(model: str, rng: random.Random, size_class: str = "medium", max_iter: int | None = None) -> dict[str, float]:
+    """Settings as they will be fitted; ``max_iter`` bounds the rounds or trees, ``n``."""
     out: dict[str, float] = {}
     for name, lo, hi, scale in space(model, size_class):
         if scale == "log":
@@ -64,6 +62,8 @@ def draw(model: str, rng: random.Random, size_class: str = "medium") -> dict[str
             out[name] = float(rng.randint(int(lo), int(hi)))
         else:
             out[name] = rng.uniform(lo, hi)
+    if max_iter is not None and "n" in out:
+        out["n"] = min(out["n"], float(max_iter))
     return out
 
 
@@ -106,7 +106,6 @@ class Facts:
     label_std: float
     weighted: bool
     seed: int
-    max_iter: int
 
 
 def build(model: str, params: dict[str, float], cols: Sequence[str], facts: Facts) -> Pipeline:
@@ -127,7 +126,7 @@ def _common(facts: Facts) -> dict[str, Any]:
 
 def _boosted(params, facts: Facts, depth: int, extra: dict[str, Any]):
     args = {
-        **_common(facts), "maxIter": int(min(params["n"], facts.max_iter)), "stepSize": params["lr"],
+        **_common(facts), "maxIter": int(params["n"]), "stepSize": params["lr"],
         "maxDepth": depth, "seed": facts.seed, **extra,
     }
     if facts.problem == "regression":
@@ -151,7 +150,7 @@ def _xgboost(p, facts):
 def _forest(p, facts):
     kind = RandomForestRegressor if facts.problem == "regression" else RandomForestClassifier
     return kind(
-        **_common(facts), numTrees=int(min(p["n"], 3 * facts.max_iter)), maxDepth=int(p["depth"]),
+        **_common(facts), numTrees=int(p["n"]), maxDepth=int(p["depth"]),
         minInstancesPerNode=max(1, int(p["min"]) // 2), seed=facts.seed,
     )
 
@@ -270,8 +269,8 @@ def search(
     data = data.select(*[quoted(c) for c in cols], "label", "fold", *(["weight"] if weighted else []))
     rows, spread = data.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
     data = compact(data, rows).cache()
-    facts = Facts(problem, rows, classes, spread or 1.0, weighted, settings.seed, settings.max_iter)
-    pool = settings.models or model_pool(problem, rows, settings.thresholds.kernel_rows)
+    facts = Facts(problem, rows, classes, spread or 1.0, weighted, settings.seed)
+    pool = settings.models or model_pool(problem)
     unknown = [m for m in pool if m not in FACTORIES]
     if unknown:
         raise ValueError(f"unknown models {unknown}; known are {sorted(FACTORIES)}")
@@ -286,7 +285,7 @@ def search(
         if settings.max_trials is not None and n >= settings.max_trials:
             break
         name = rng.choice(pool)
-        params = draw(name, rng, size_class)
+        params = draw(name, rng, size_class, settings.max_iter)
         began = time.time()
         try:
             scores = cross_validate(
@@ -295,7 +294,7 @@ def search(
             state = "complete" if len(scores) == folds else "pruned"
             score = sum(scores) / len(scores)
         except Exception as e:  # noqa: BLE001 - one failing trial must not end the search
-            scores, state, score = [], f"failed: {type(e).__name__}", None
+            scores, state, score = [], f"failed: {type(e).__name__}: {str(e)[:300]}", None
         if state == "complete":
             completed.append(scores)
             if best is None or score > best[0]:
@@ -303,7 +302,7 @@ def search(
         records.append((n, name, params, [float(s) for s in scores], score, state, time.time() - began))
     if best is None:
         data.unpersist()
-        raise RuntimeError("the search completed no successful trial")
+        raise RuntimeError(f"the search completed no successful trial; the last one {records[-1][5]}")
     model = build(best[1], best[2], cols, facts).fit(data)
     data.unpersist()
     trials = train.sparkSession.createDataFrame(

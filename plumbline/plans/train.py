@@ -23,7 +23,7 @@ from plumbline.operators.limits import limitations
 from plumbline.operators.prepare import prepare
 from plumbline.operators.resample import oversample
 from plumbline.operators.search import Facts, Study, build, cross_validate, search
-from plumbline.operators.select import Selection, check_selection, eliminate, select_features
+from plumbline.operators.select import PROBE_ROUNDS, Selection, check_selection, eliminate, select_features
 from plumbline.operators.split import assign_folds, split
 from plumbline.sources.artifacts import FittedModel, timestamp
 
@@ -78,8 +78,11 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
     steps = Steps()
     target = None if settings.unsupervised else settings.target
     settings = Settings(**{**settings.__dict__, "target": target})
+    rounds = PROBE_ROUNDS if settings.max_iter is None else min(PROBE_ROUNDS, settings.max_iter)
+    copies = 0
 
     def load() -> DataFrame:
+        nonlocal copies
         if target is not None and target not in df.columns:
             raise ValueError(f"target column {target!r} is not in the table")
         out = normalise(drops.drop_listed(df, [c for c in settings.drop if c != target]))
@@ -87,7 +90,8 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
             out = drops.with_target(out, target)
         if out.isEmpty():
             raise ValueError("the table has no rows to learn from")
-        if auditing.duplicate_rows(out).first()["duplicates"]:
+        copies = auditing.duplicate_rows(out).first()["duplicates"]
+        if copies:
             out = materialise(drops.drop_duplicates(out))
         return out
 
@@ -101,13 +105,15 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
     profile: Audit = steps.run(
         "audit", lambda: run_audit(fit_on, target, drop=settings.drop, id_cols=settings.id_cols, limits=settings.thresholds)
     )
+    # The report counts the copies of the raw table, which are gone from the training rows.
+    profile.duplicates = copies
     plan, matrix = steps.run("prepare", lambda: prepare(fit_on, profile, found, settings))
     matrix = materialise(matrix)
     chosen: Selection = steps.run(
         "select",
         lambda: select_features(
             matrix, plan.outputs, found.problem, found.classes, leaks=list(profile.leakage), constants=profile.quasi_constant,
-            pairs=profile.pairs, seed=settings.seed, trees=min(20, settings.max_iter), limits=settings.thresholds,
+            pairs=profile.pairs, seed=settings.seed, trees=rounds, limits=settings.thresholds,
         ),
     )
     if found.problem == "clustering":
@@ -118,7 +124,7 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
     stratify = "label" if found.problem == "classification" else None
     folded = materialise(assign_folds(matrix, k=5, stratify=stratify, salt=f"cv{settings.seed}"))
     if settings.rfe:
-        chosen.kept, _ = steps.run("eliminate", lambda: _eliminate(folded, chosen, found, settings))
+        chosen.kept, _ = steps.run("eliminate", lambda: _eliminate(folded, chosen, found, settings, rounds))
     if check and len(chosen.original) > len(chosen.kept):
         steps.run("check_selection", lambda: _check(folded, chosen, found, settings))
     study: Study = steps.run(
@@ -157,9 +163,15 @@ def _split(table: DataFrame, found: Detection, settings: Settings) -> tuple[Data
     return split(table, settings.id_cols, stratify=stratify, share=share, salt=salt)
 
 
+def _thirds(folded: DataFrame, found: Detection, settings: Settings) -> DataFrame:
+    """The training matrix in three equal folds."""
+    stratify = "label" if found.problem == "classification" else None
+    return materialise(assign_folds(folded.drop("fold"), k=3, stratify=stratify, salt=f"check{settings.seed}"))
+
+
 def _check(folded: DataFrame, chosen: Selection, found: Detection, settings: Settings) -> None:
     """Cross-validate the probe on all and on kept features; a drop becomes a note."""
-    three = folded.withColumn("fold", F.col("fold") % 3)
+    three = _thirds(folded, found, settings)
     scores = [_probe_score(three, cols, found, settings, 3) for cols in (chosen.original, chosen.kept)]
     if found.problem == "regression":
         scores = [-s for s in scores]
@@ -168,20 +180,20 @@ def _check(folded: DataFrame, chosen: Selection, found: Detection, settings: Set
 
 
 def _probe_score(folded: DataFrame, cols: list[str], found: Detection, settings: Settings, folds: int) -> float:
-    facts = Facts(found.problem, 0, found.classes, 1.0, False, settings.seed, min(30, settings.max_iter))
+    facts = Facts(found.problem, 0, found.classes, 1.0, False, settings.seed)
     model = "random_forest" if found.classes > 2 else "lightgbm"
-    params = {"n": 30.0, "lr": 0.1, "leaves": 31.0, "min_child": 20.0, "depth": 5.0, "min": 2.0}
+    params = {"n": 30.0 if settings.max_iter is None else min(30.0, float(settings.max_iter)), "lr": 0.1, "leaves": 31.0, "min_child": 20.0, "depth": 5.0, "min": 2.0}
     data = compact(folded.select(*[quoted(c) for c in cols], "label", "fold"), folded.count()).cache()
     scores = cross_validate(data, build(model, params, cols, facts), found.problem, folds)
     data.unpersist()
     return sum(scores) / len(scores)
 
 
-def _eliminate(folded, chosen: Selection, found: Detection, settings: Settings):
-    three = folded.withColumn("fold", F.col("fold") % 3)
+def _eliminate(folded, chosen: Selection, found: Detection, settings: Settings, rounds: int):
+    three = _thirds(folded, found, settings)
     return eliminate(
         folded, chosen.kept, found.problem, found.classes,
-        lambda cols: _probe_score(three, cols, found, settings, 3), seed=settings.seed, trees=min(20, settings.max_iter),
+        lambda cols: _probe_score(three, cols, found, settings, 3), seed=settings.seed, trees=rounds,
     )
 
 

@@ -242,7 +242,7 @@ def test_spaces_narrow_for_very_small_tables():
     wide = {n: hi for n, _, hi, _ in search.space("lightgbm")}
     narrow = {n: hi for n, _, hi, _ in search.space("lightgbm", "very_small")}
     assert (wide["n"], wide["leaves"]) == (500, 100) and (narrow["n"], narrow["leaves"]) == (200, 31)
-    assert "svc" in search.model_pool("classification", 10_000) and "svr" not in search.model_pool("regression", 10_001)
+    assert "svc" in search.model_pool("classification") and "svr" in search.model_pool("regression")
 
 
 def test_every_trial_failing_is_an_error(spark, monkeypatch):
