@@ -27,7 +27,23 @@ PLANTED_TEXTS = 6000
 TREES, DEPTH, SEED = 40, 8, 17
 BUCKETS = 16
 THRESHOLD = 0.5
-VALUE = r"^[A-Za-z0-9_+/=~.@:%&?#-]+$"
+VALUE = r"^[A-Za-z0-9_+/=~.@:%&?#$!*^-]+$"
+#: A value that follows a key may be as short as this.
+KEYED_LENGTH = 4
+KEY = r"(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)"
+_PLAIN = r"""\s"'`,;&<>(){}\[\]|\\"""
+URL = r"""(?<![=:])(?<![=:]["'`])(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'`,;<>(){}\[\]|\\]*+"""
+#: key=value, "key":"value", 'key'=>'value' and the like: the key, and the value with its quotes.
+PAIR = (
+    KEY + r"""[\\"'`\])]{0,4}(?:=>|:=|={1,3}|:)(?!//)"""
+    r"""([A-Za-z][A-Za-z0-9+.-]*+://[^\s"'`<>\\]*+|\\*"[^"]+"?|\\*'[^']+'?|`[^`]+`?"""
+    rf"""|[^=:{_PLAIN}][^{_PLAIN}]*+(?:&(?![A-Za-z_][A-Za-z0-9_.-]*+=)[^{_PLAIN}]*+){{0,50}}+)"""
+)
+USERINFO = r"""://[^\s/:@"'`]*+:([^\s/@"'`]++)@"""
+RUN = r"[A-Za-z0-9_+/=~.@:%&?#$!*^-]{12,}"
+QUOTED = r"""["'`]([^"'`]*[^"'`A-Za-z0-9_+/=~.@:%&?#$!*^-][^"'`]*)["'`]"""
+PEM_HEAD = r"-----BEGIN\s++(?:[A-Z0-9]++\s++){0,4}?PRIVATE\s++KEY(?:\s++BLOCK)?-----"
+PEM = PEM_HEAD + r"(?:[^-]++|-(?!----)){0,400}+(?:-----END\s[A-Z0-9 ]*+-----)?"
 # Words that stand beside secrets, and beside harmless numbers.
 SECRET_WORDS = "password|passwd|pwd|secret|token|apikey|api_key|key|auth|bearer|credential|private"
 HARMLESS_WORDS = "commit|sha|sha1|sha256|md5|checksum|digest|uuid|version|release|build|ref|issue|example|sample|mail|http|https|etag"
@@ -46,28 +62,64 @@ def _core(word: Column) -> Column:
     return F.regexp_replace(word, r"""^[^A-Za-z0-9_+/~-]+|[^A-Za-z0-9_+/=~-]+$""", "")
 
 
+def _pairs(word: Column) -> Column:
+    """(key, value) of every pair in the word, the value without its quotes."""
+    def plain(raw):
+        return F.when(raw.rlike(r"""^\\*["'`]"""), F.regexp_replace(raw, r"""^\\*["'`]|\\*["'`]$""", "")).otherwise(F.regexp_replace(raw, r"[.:?]+$", ""))
+
+    keys, values = F.regexp_extract_all(word, F.lit(PAIR), 1), F.regexp_extract_all(word, F.lit(PAIR), 2)
+    return F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), plain(v).alias("value")))
+
+
+def _unkeyed(values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit("").alias("key"), v.alias("value")))
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """(row columns but text, word_index, key, value, left, right) of every word that may be a secret.
+    """(row columns but text, word_index, key, value, left, right) of everything in a word that may be a secret.
 
-    A candidate is a word, or what follows key= or key: in it, of LEAST_LENGTH signs or more with a letter and a
-    digit. Texts may be null, empty or of any length; each occurrence is one row.
+    A word gives all its key=value and key:value pairs, pairs within their values, addresses, passwords in
+    addresses, and of what is left every maximal run of signs and every quoted string with other signs. A value
+    after a key, in the word or in the word before, has KEYED_LENGTH signs or more; any other has LEAST_LENGTH or
+    more with a letter and a digit. A private key in PEM form is one candidate, under the key private_key. A value
+    ends at white space. Texts may be null, empty or of any length; each occurrence is one row.
     """
-    words = texts.withColumn("words", split_words(F.col("text"))).drop("text")
-    found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("word_index"), w.alias("word"))), lambda s: (F.length(s["word"]) >= LEAST_LENGTH) & s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]"))
-    near = F.transform(
-        found,
-        lambda s: F.struct(
-            s["word_index"].alias("word_index"), s["word"].alias("word"),
-            F.slice("words", F.greatest(s["word_index"] - 1, F.lit(1)), F.least(s["word_index"], F.lit(2))).alias("left"),
-            F.slice("words", s["word_index"] + 2, 1).alias("right"),
-        ),
-    )
-    keep = [c for c in words.columns if c != "words"]
-    rows = words.where(F.size(found) > 0).select(*keep, F.explode(near).alias("c")).select(*keep, "c.*")
-    core = rows.withColumn("core", _core(F.col("word"))).withColumn("key", F.regexp_extract("core", r"^([A-Za-z_][A-Za-z0-9_.-]*)[=:](?!//)(.+)$", 1))
-    value = core.withColumn("value", F.when(F.col("key") != "", _core(F.expr("substring(core, length(key) + 2)"))).otherwise(F.col("core")))
-    fits = (F.length("value") >= LEAST_LENGTH) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike(VALUE)
-    return value.where(fits).drop("core", "word")
+    words = texts.withColumn("words", split_words(F.col("text")))
+    keep = [c for c in words.columns if c not in ("words", "text")]
+    may = lambda w: (F.length(w) >= LEAST_LENGTH) & w.rlike("[0-9]") & w.rlike("[A-Za-z]")
+    # The words beside a word come from shifted arrays: looking them up by index would split the text again for each.
+    none, w = F.array(F.lit("")), F.col("words")
+    shifted = F.arrays_zip(w.alias("word"), F.concat(none, none, w).alias("second"), F.concat(none, w).alias("first"), F.slice(w, F.lit(2), F.size(w)).alias("after"))
+    every = F.filter(F.transform(shifted, lambda s, i: F.struct(i.alias("word_index"), s["word"].alias("word"), s["second"].alias("second"), s["first"].alias("first"), s["after"].alias("after"))), lambda s: s["word"].isNotNull())
+    found = F.filter(every, lambda s: may(s["word"]) | (F.length(s["word"]) >= KEYED_LENGTH) & (s["first"].rlike("[=:]>?$") | s["word"].rlike("[=:].")))
+    rows = words.select(*keep, F.explode(found).alias("c")).select(*keep, "c.*")
+    left = F.when(F.col("word_index") == 0, F.array().cast("array<string>")).when(F.col("word_index") == 1, F.array("first")).otherwise(F.array("second", "first"))
+    rows = rows.select(*keep, "word_index", "word", F.col("first").rlike("[=:]>?$").alias("spaced"), left.alias("left"), F.filter(F.array("after"), lambda r: r.isNotNull()).alias("right"))
+
+    # A word after "key =" or "key:" is read as the value of a key without a name.
+    rows = rows.withColumn("word", F.when(F.col("spaced"), F.concat(F.lit("_="), "word")).otherwise(F.col("word")))
+    rows = rows.withColumn("urls", F.regexp_extract_all("word", F.lit(URL), 0)).withColumn("rest", F.regexp_replace("word", URL, " "))
+    rows = rows.withColumn("pairs", _pairs(F.col("rest"))).withColumn("rest", F.regexp_replace("rest", PAIR, " "))
+    holders = F.concat("urls", F.transform("pairs", lambda p: p["value"]))
+    inner = F.flatten(F.transform(F.filter(holders, lambda h: h.rlike("[=:]")), _pairs))
+    logins = F.transform(F.regexp_extract_all("word", F.lit(USERINFO), 1), lambda v: F.struct(F.lit("password").alias("key"), v.alias("value")))
+    # Long keys, runs and quoted strings are candidates of their own.
+    bare = F.concat(F.transform("urls", _core), F.transform("pairs", lambda p: p["key"]), F.transform(F.regexp_extract_all("rest", F.lit(RUN), 0), _core), F.regexp_extract_all("rest", F.lit(QUOTED), 1))
+    one = rows.select(*keep, "word_index", "left", "right", F.explode(F.concat("pairs", inner, logins, _unkeyed(bare))).alias("p"))
+    value = F.col("p.value")
+    after = (F.col("p.key") != "") & (F.length(value) >= KEYED_LENGTH) & value.rlike("[A-Za-z0-9]") & ~value.startswith("-----")
+    single = one.where(after | may(value)).select(*keep, "word_index", F.when(F.col("p.key") == "_", "").otherwise(F.col("p.key")).alias("key"), value.alias("value"), "left", "right")
+
+    # What stands before, between and after the blocks gives the words before each of them.
+    parts = F.split(F.regexp_replace("text", PEM, "\u0001"), "\u0001")
+    held = texts.where(F.col("text").rlike(PEM_HEAD)).withColumn("text", F.regexp_replace("text", "\u0001", " "))
+    held = held.select(*keep, parts.alias("parts"), F.regexp_extract_all("text", F.lit(PEM), 0).alias("blocks"))
+    each = held.select(*keep, "parts", "blocks", F.posexplode("blocks").alias("nth", "value"))
+    before = F.concat_ws("", F.flatten(F.zip_with(F.slice("parts", F.lit(1), F.col("nth") + 1), F.slice("blocks", F.lit(1), F.col("nth")), lambda p, b: F.array(p, b))))
+    each = each.withColumn("before", split_words(before)).withColumn("word_index", F.size("before") - 1)
+    follows = split_words(F.get("parts", F.col("nth") + 1))
+    whole = each.select(*keep, "word_index", F.lit("private_key").alias("key"), "value", F.slice("before", -F.least(F.size("before"), F.lit(3)), F.least(F.size("before") - 1, F.lit(2))).alias("left"), F.filter(F.slice(follows, 2, 1), lambda r: r != "").alias("right"))
+    return single.union(whole)
 
 
 def _runs(value: Column) -> Column:
@@ -169,10 +221,19 @@ def planted(texts: DataFrame, about: int = PLANTED_TEXTS) -> DataFrame:
         (0, "array()", "'password'", "concat('changeme', conv(substr(h, 1, 4), 16, 10))"),
         (0, "array('token', '=')", "''", "concat('xxxxxxxxxxxxxxx', conv(substr(h, 1, 2), 16, 10))"),
         (0, "array()", "''", "concat(word, conv(substr(h, 1, 5), 16, 10), other)"),
+        (1, "array()", "'password'", "concat(initcap(substr(translate(h, '0123456789', 'ghijklmnop'), 1, 6)), '$', substr(h, 7, 3), '!')"),
+        (1, "array('password', '=')", "''", "translate(substr(h, 9, 10), '0123456789', 'rstuvwxyzk')"),
+        (1, "array()", "'passwd'", "substr(translate(h, '0123456789', 'ghijklmnop'), 11, 9)"),
+        (1, "array()", "'private_key'", "concat('-----BEGIN RSA PRIVATE KEY-----\\n', repeat(base64(unhex(h)), 20), '\\n-----END RSA PRIVATE KEY-----')"),
+        (0, "array('note:')", "''", "word"),
+        (0, "array()", "'title'", "word"),
+        (0, "array()", "'name'", "concat(word, '-', other)"),
+        (0, "array()", "'port'", "conv(substr(h, 1, 4), 16, 10)"),
     ]
     kinds = F.array(*[F.struct(F.lit(label).alias("label"), F.expr(before).cast("array<string>").alias("before"), F.expr(key).alias("key"), F.expr(value).alias("value")) for label, before, key, value in made])
     rows = words.select("path", "left", "right", F.explode(kinds).alias("k")).select("path", "right", "k.*", F.expr("slice(concat(left, k.before), -least(2, size(concat(left, k.before))), 2)").alias("left"))
-    return rows.where(F.length("value") >= LEAST_LENGTH).select("value", "key", "left", "right", "path", "label")
+    after = (F.col("key") != "") | F.coalesce(F.try_element_at("left", F.lit(-1)).rlike("[=:]$"), F.lit(False))
+    return rows.where(F.length("value") >= F.when(after, KEYED_LENGTH).otherwise(LEAST_LENGTH)).select("value", "key", "left", "right", "path", "label")
 
 
 def train(labelled: DataFrame, words: DataFrame) -> RandomForestClassificationModel | None:

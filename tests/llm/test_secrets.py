@@ -83,3 +83,35 @@ def test_coverage(spark, text, coverage):
     words = spark.createDataFrame([("foxes",), ("animals",)], "run string")
     found = spark.createDataFrame([(text,), (text,)], "value string")
     assert [r["coverage"] for r in s.covered(found, words).collect()] == pytest.approx([coverage, coverage])
+
+
+H = hashlib.sha256(b"shapes").hexdigest()[:32]
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQEA\nabcd\n-----END RSA PRIVATE KEY-----"
+
+
+SHAPES = [
+    (f'{{"api_key":"{H}"}}', {("api_key", H)}), (f'"token":"{H}",', {("token", H)}), (f"user=bob;password={H}", {("password", H)}), (f"a,{H},{H},b", {("", H)}),
+    (f"token('{H}')", {("", H)}), ("password=Tr0ub4dor$3xyz", {("password", "Tr0ub4dor$3xyz")}), ("pwd=a!b*c^d1", {("pwd", "a!b*c^d1")}), ("password=hunter", {("password", "hunter")}),
+    ('"password": "hunter"', {("", "hunter")}), ('conn="user=robert;password=ab12"', {("conn", "user=robert;password=ab12"), ("user", "robert"), ("password", "ab12")}),
+    (f"https://h.example.org/p?token={H}&b=c", {("", f"https://h.example.org/p?token={H}&b=c"), ("token", H)}), ("mysql://user:pa55w0rd@h/db1", {("password", "pa55w0rd"), ("", "mysql://user:pa55w0rd@h/db1"), ("user", "pa55w0rd@h/db1")}),
+    ('{\\"api_key\\":\\"' + H + '\\"}', {("api_key", H)}), ("dGhpc2lzYXNlY3JldDEyMw==", {("", "dGhpc2lzYXNlY3JldDEyMw==")}), (f"see {PEM} end", {("private_key", PEM)}),
+]
+
+
+def test_every_candidate_of_a_word(spark):
+    rows = [(i, text, "p") for i, (text, _) in enumerate(SHAPES)]
+    got = s.candidates(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()
+    for i, (text, want) in enumerate(SHAPES):
+        found = [(r["key"], r["value"]) for r in got if r["doc_id"] == i]
+        assert set(found) - {("", "MIIEowIBAAKCAQEA")} == want
+        assert len(found) == len(set(found)) + text.count(f"{H},{H}")
+    block = next(r for r in got if r["key"] == "private_key")
+    assert (block["word_index"], block["left"], block["right"]) == (1, ["see"], ["end"])
+
+
+def test_minified_secrets_are_found_and_long_words_end(spark):
+    rows, _ = documents()
+    more = [(8000 + i, f'{{"id":{i},"api_key":"{hashlib.sha256(str(i).encode()).hexdigest()[:32]}"}}', "s") for i in range(20)]
+    long = [(9100, "a:" * 20_000, "s"), (9101, "-----BEGIN RSA PRIVATE KEY-----" + "-a" * 20_000, "s"), (9102, "x=" + "a&" * 20_000, "s")]
+    got = s.secrets(spark.createDataFrame(rows + more + long, "doc_id bigint, text string, source string")).where("doc_id BETWEEN 8000 AND 8999").collect()
+    assert len(got) == 20 and sum(r["is_secret"] for r in got) >= 19
