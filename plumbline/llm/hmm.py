@@ -4,7 +4,8 @@ Hidden states emit cells. A token's cell is a part of its hash, so the tables of
 same size for any corpus; within its cell a known token has the share of its count. The text
 end has a cell of its own, and so has any token that training did not see, with the mass of half a
 token. Counts of tokens cover all training texts; every Baum-Welch round runs over all
-of them, and tasks send expected counts by cell, never by token or text.
+of them, and tasks send expected counts by cell, never by token or text. The states start from a
+mixture of unigrams that is fitted to all training texts as well, and no text is cut.
 """
 
 from __future__ import annotations
@@ -25,11 +26,8 @@ CELL_BITS = 16
 CELLS = 1 << CELL_BITS
 END_CELL, NEW_CELL = CELLS, CELLS + 1
 END = np.uint64(0x8000000000000001)
-ROUNDS = 2
-#: The states start from a mixture of unigrams fitted to so many texts (a bounded sample).
-SEED_TEXTS = 512
-#: In training a text is cut into stretches of so many tokens; a stretch starts afresh.
-STRETCH = 512
+#: Rounds go on until one raises the training texts' mean log-likelihood of a token by less than this (natural logarithm).
+TOLERANCE = 1e-3
 #: Texts are scored in chunks of about so many bytes, each with the counts of its own tokens.
 CHUNK_BYTES = 8 << 20
 STICK = 0.95
@@ -110,9 +108,9 @@ def active(length: np.ndarray) -> np.ndarray:
     return np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
 
 
-def expect(cells: np.ndarray, first: np.ndarray, m: Model, out: dict[str, np.ndarray]) -> None:
-    """Add the expected starts, moves and emissions of these texts to ``out``."""
-    at, length = stretches(first, STRETCH)
+def expect(cells: np.ndarray, first: np.ndarray, m: Model, out: dict[str, np.ndarray]) -> float:
+    """Add the expected starts, moves and emissions of these texts to ``out``; returns their log-likelihood."""
+    at, length = stretches(first, max(1, int(np.diff(first).max(initial=0))))
     start, move, emit = (x.astype(np.float32) for x in (m.start, m.move, m.emit))
     gamma = np.empty((len(cells), len(start)), dtype=np.float32)
     scale = np.empty((len(cells), 1), dtype=np.float32)
@@ -139,19 +137,34 @@ def expect(cells: np.ndarray, first: np.ndarray, m: Model, out: dict[str, np.nda
     out["move"] += moves * m.move
     for k in range(len(start)):
         out["emit"][:, k] += np.bincount(cells, weights=gamma[:, k], minlength=CELLS + 2)
+    return float(np.log(scale, dtype=np.float64).sum())
+
+
+def summed_rows(out: dict[str, np.ndarray], likelihood: float) -> pa.RecordBatch:
+    """(kind, place, values) of a task; the driver sums at most one row for each cell. The likelihood is in 64 bits."""
+    states = out["emit"].shape[1]
+    kinds, places, values = [], [], []
+    for kind, v in out.items():
+        some = np.flatnonzero(v.any(axis=1))
+        kinds += [kind] * len(some)
+        places.append(some)
+        values.append(v[some])
+    places, values = np.concatenate([*places, [0]]), np.concatenate([*values, np.zeros((1, states))])
+    like = np.zeros(len(places))
+    like[-1] = likelihood
+    columns = [pa.array([*kinds, "like"]), pa.array(places, pa.int32()), *[pa.array(values[:, k].astype(np.float32)) for k in range(states)], pa.array(like)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "place", *[f"s{k}" for k in range(states)], "like"])
 
 
 def expected(batches, m: Model) -> Iterator[pa.RecordBatch]:
-    """(kind, place, values): a task's expected counts; the driver sums at most one row for each cell."""
-    powers, states = Powers(), len(m.start)
-    out = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((CELLS + 2, states))}
+    """A task's expected counts and log-likelihood."""
+    powers, states, likelihood = Powers(), len(m.start), 0.0
+    out = {"start": np.zeros((1, states)), "move": np.zeros((states, states)), "emit": np.zeros((CELLS + 2, states))}
     for batch in slices(batches):
         hashes, first = tokens_of(batch.column("text"), powers)
-        expect(cells_of(hashes), first, m, out)
-    for kind, values in (("start", out["start"][None, :]), ("move", out["move"]), ("emit", out["emit"])):
-        some = np.flatnonzero(values.any(axis=1))
-        columns = [pa.array([kind] * len(some)), pa.array(some, pa.int32()), *[pa.array(values[some, k].astype(np.float32)) for k in range(states)]]
-        yield pa.RecordBatch.from_arrays(columns, names=["kind", "place", *[f"s{k}" for k in range(states)]])
+        one = {"start": out["start"][0], "move": out["move"], "emit": out["emit"]}
+        likelihood += expect(cells_of(hashes), first, m, one)
+    yield summed_rows(out, likelihood)
 
 
 def normal(counts: np.ndarray, prior: np.ndarray | float, axis: int) -> np.ndarray:
@@ -169,35 +182,94 @@ def refit(m: Model, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Mo
     return Model(normal(start, 1.0, 0), normal(move, 1.0, 1), cells, m.cell_tokens, m.tokens, m.types)
 
 
-def mixture(cells: np.ndarray, first: np.ndarray, share: np.ndarray, states: int, rounds: int = 15) -> np.ndarray:
-    """Expected cells (cells + 2, states) of a mixture of unigrams, seeded by texts far from each other."""
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    sizes = np.maximum(1, np.diff(first))
-    lift = np.zeros((len(sizes), 0))
-    part = np.zeros((CELLS + 2, states))
-    used, places = np.unique(cells, return_inverse=True)
-
-    def score(k: int, weights: np.ndarray) -> np.ndarray:
-        counts = np.bincount(places, weights=weights[row], minlength=len(used))
-        part[used, k] = counts
-        probability = (counts + PRIOR * share[used]) / (counts.sum() + PRIOR * max(1e-12, share[used].sum()))
-        return np.bincount(row, weights=np.log(np.maximum(probability, 1e-300) / np.maximum(share[used], 1e-300))[places], minlength=len(sizes))
-
-    seed = int(np.argmax(sizes)) if len(sizes) else 0
-    for k in range(states if len(sizes) else 0):
-        one = np.zeros(len(sizes))
-        one[seed] = 1
-        lift = np.column_stack([lift, score(k, one)])
-        seed = int(np.argmin((lift.max(axis=1) / sizes)))
-    for _ in range(rounds if len(sizes) else 0):
-        weight = np.exp(lift - lift.max(axis=1, keepdims=True))
-        weight /= weight.sum(axis=1, keepdims=True)
-        lift = np.column_stack([score(k, weight[:, k]) + np.log(weight[:, k].mean() + 1e-9) for k in range(states)])
-    return part
-
-
-def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the table (token, n) of all training tokens. ``texts`` has doc_id and text."""
+def lifts(part: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """(cells + 2, components): log of each cell's probability in a component over its share of all tokens."""
+    probability = (part + PRIOR * share[:, None]) / (part.sum(axis=0) + PRIOR)
+    return np.log(np.divide(probability, share[:, None], out=np.ones_like(part), where=share[:, None] > 0))
+
+
+def by_text(cells: np.ndarray, first: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(lift[cells], first[:-1], axis=0)
+
+
+def farthest(batches, lift: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lift, text) of the task's text that the components so far explain worst; the longest if there are none."""
+    powers, best = Powers(), None
+    for batch in slices(batches):
+        hashes, first = tokens_of(batch.column("text"), powers)
+        if len(first) > 1:
+            far = by_text(cells_of(hashes), first, lift).max(axis=1) if lift.shape[1] else -np.diff(first).astype(float)
+            least = far.min()
+            if best is None or least <= best[0]:
+                own = min(batch.column("text")[int(i)].as_py() or "" for i in np.flatnonzero(far == least))
+                best = min(best or (least, own), (least, own))
+    if best is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]])], names=["lift", "text"])
+
+
+def mixed(batches, lift: np.ndarray, log_weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's expected counts, texts of each component (start) and log-likelihood under a mixture of unigrams."""
+    powers, states, likelihood = Powers(), lift.shape[1], 0.0
+    out = {"start": np.zeros((1, states)), "emit": np.zeros((CELLS + 2, states))}
+    for batch in slices(batches):
+        hashes, first = tokens_of(batch.column("text"), powers)
+        if len(first) < 2:
+            continue
+        cells = cells_of(hashes)
+        score = by_text(cells, first, lift) + log_weight
+        top = score.max(axis=1, keepdims=True)
+        weight = np.exp(score - top)
+        total = weight.sum(axis=1, keepdims=True)
+        likelihood += float((top + np.log(total)).sum())
+        weight /= total
+        out["start"] += weight.sum(axis=0)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for k in range(states):
+            out["emit"][:, k] += np.bincount(cells, weights=weight[row, k], minlength=CELLS + 2)
+    yield summed_rows(out, likelihood)
+
+
+def gathered(texts: DataFrame, task, states: int) -> tuple[dict[str, np.ndarray], float]:
+    """The sums over all tasks: at most one row for each cell and state comes to the driver."""
+    columns = ", ".join(f"s{k} float" for k in range(states))
+    rows = texts.select("text").mapInArrow(task, f"kind string, place int, {columns}, like double")
+    out = {"start": np.zeros((1, states)), "move": np.zeros((states, states)), "emit": np.zeros((CELLS + 2, states))}
+    likelihood = 0.0
+    for r in rows.groupBy("kind", "place").agg(*[F.sum(f"s{k}") for k in range(states)], F.sum("like")).collect():
+        if r[0] == "like":
+            likelihood = r[-1]
+        else:
+            out[r[0]][r[1]] = r[2:-1]
+    return out, likelihood
+
+
+def mixture(texts: DataFrame, share: np.ndarray, tokens: int, states: int) -> np.ndarray:
+    """Expected cells (cells + 2, states) of a mixture of unigrams over all texts, each component seeded by the text the others explain worst."""
+    context = texts.sparkSession.sparkContext
+    part = np.zeros((CELLS + 2, 0))
+    for _ in range(states):
+        shared = context.broadcast(lifts(part, share))
+        far = texts.select("text").mapInArrow(lambda it, shared=shared: farthest(it, shared.value), "lift double, text string")
+        text = far.agg(F.min(F.struct("lift", "text"))["text"]).first()[0]
+        cells = cells_of(tokens_of(pa.array([text], pa.string()), Powers())[0])
+        part = np.column_stack([part, np.bincount(cells, minlength=CELLS + 2)])
+        shared.unpersist()
+    log_weight, before = np.zeros(states) - np.log(states), -np.inf
+    while True:
+        shared = context.broadcast((lifts(part, share), log_weight))
+        out, likelihood = gathered(texts, lambda it, shared=shared: mixed(it, *shared.value), states)
+        shared.unpersist()
+        part, log_weight = out["emit"], np.log(out["start"][0] / out["start"].sum() + 1e-9)
+        if likelihood - before < TOLERANCE * tokens:
+            return part
+        before = likelihood
+
+
+def train(texts: DataFrame, states: int = STATES, rounds: int | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the table (token, n) of all training tokens. ``texts`` has doc_id and text.
+
+    Baum-Welch rounds go on until they gain less than TOLERANCE, or for ``rounds`` rounds if the caller names a number.
+    """
     spark = texts.sparkSession
     counts = texts.select("text").mapInArrow(count, "token bigint, n bigint")
     vocabulary = stored(counts.groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
@@ -209,34 +281,21 @@ def train(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple
     tokens = int(cell_tokens.sum())
     share = cell_tokens / max(1, tokens)
 
-    def seeds(batches):
-        table = pa.Table.from_batches(list(batches)) if batches is not None else None
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rank", "text"))), key=lambda r: (r[0], r[1] or ""))
-        hashes, first = tokens_of(pa.array([t for _, t in rows], pa.string()), Powers())
-        part = mixture(cells_of(hashes), first, share, states)
-        some = np.flatnonzero(part.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(part[some, k]) for k in range(states)]], names=["place", *[f"s{k}" for k in range(states)]])
-
-    columns = ", ".join(f"s{k} double" for k in range(states))
-    narrow = columns.replace("double", "float")
-    few = texts.select(F.xxhash64("doc_id", "text").alias("rank"), "text").orderBy("rank", "text").limit(SEED_TEXTS).coalesce(1)
-    emit = np.zeros((CELLS + 2, states))
-    if tokens:
-        for r in few.mapInArrow(seeds, f"place int, {columns}").collect():
-            emit[r[0]] = r[1:]
+    emit = mixture(texts, share, tokens, states) if tokens else np.zeros((CELLS + 2, states))
     model = Model(np.zeros(states), np.zeros((states, states)), emit, cell_tokens, tokens, types)
     model = refit(model, emit.sum(axis=0), np.zeros((states, states)), emit)
     model.move = np.full((states, states), (1 - STICK) / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     np.fill_diagonal(model.move, STICK if states > 1 else 1.0)
-    for _ in range(rounds if tokens else 0):
+    done, before = 0, -np.inf
+    while tokens and done != rounds:
         shared = spark.sparkContext.broadcast(model)
-        tasks = texts.select("text").mapInArrow(lambda it, shared=shared: expected(it, shared.value), f"kind string, place int, {narrow}")
-        sums = tasks.groupBy("kind", "place").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
-        out = {"start": np.zeros((1, states)), "move": np.zeros((states, states)), "emit": np.zeros((CELLS + 2, states))}
-        for r in sums.collect():  # one row for each cell and state
-            out[r["kind"]][r["place"]] = r[2:]
-        model = refit(model, out["start"][0], out["move"], out["emit"])
+        out, likelihood = gathered(texts, lambda it, shared=shared: expected(it, shared.value), states)
         shared.unpersist()
+        model = refit(model, out["start"][0], out["move"], out["emit"])
+        done += 1
+        if rounds is None and likelihood - before < TOLERANCE * tokens:
+            break
+        before = likelihood
     return model, vocabulary
 
 
@@ -313,7 +372,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, chunk_bytes: int
     return placed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int | None = None) -> DataFrame:
     """Every row's log10 probability under the model and under the smoothed unigram base.
 
     Trains on the rows whose crc32(id as text) mod 5 is not 1. Null and empty texts are just the

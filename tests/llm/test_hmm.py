@@ -109,3 +109,25 @@ def test_nothing_to_train_on(spark):
     got = hmm.language_model(spark.createDataFrame([(alone, "a b")], "doc_id bigint, text string")).collect()
     assert got[0]["train_tokens"] == 0 and got[0]["n_known"] == 0 and got[0]["score"] == pytest.approx(0)
     assert hmm.language_model(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_long_texts_start_once_in_training():
+    cells = np.array([5, 9] * 700 + [hmm.END_CELL] + [9, hmm.END_CELL])
+    out = {"start": np.zeros(2), "move": np.zeros((2, 2)), "emit": np.zeros((hmm.CELLS + 2, 2))}
+    first = np.array([0, 1401, 1403])
+    likelihood = hmm.expect(cells, first, small(), out)
+    assert out["start"].sum() == pytest.approx(2, abs=1e-3) and out["move"].sum() == pytest.approx(1401, abs=0.1)
+    assert likelihood == pytest.approx(hmm.forward(cells, first, small()).sum(), rel=1e-4)
+
+
+def test_a_source_of_few_texts_has_its_state(spark):
+    rng = random.Random(3)
+    rows = [(d, " ".join(rng.choice([f"a{i}" for i in range(30)]) for _ in range(30))) for d in range(700)]
+    rare = [(d, " ".join(rng.choice([f"z{i}" for i in range(30)]) for _ in range(400))) for d in range(1000, 1020)]
+    ranked = spark.createDataFrame(rows + rare, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(doc_id, text) AS rank").orderBy("rank").collect()
+    late = [r["doc_id"] for i, r in enumerate(ranked) if i >= 600 and r["doc_id"] >= 1000][:1]
+    assert late  # beyond any prefix of 512 texts
+    df = spark.createDataFrame(rows + [r for r in rare if r[0] in late], "doc_id bigint, text string")
+    m, _ = hmm.train(df, 2)
+    cell = hmm.cells_of(hmm.tokens_of(pa.array(["z1"]), hmm.Powers())[0])[0]
+    assert m.emit[cell].max() > 10 * m.cell_tokens[cell] / m.tokens
