@@ -213,7 +213,7 @@ def _(spark, sf):
     def score(t):
         return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])
 
-    return metrics.ranking(attribution.sampled_importance(attribution.sampled(score, df, cols, "p_partkey", orders=5)))
+    return metrics.ranking(attribution.sampled_importance(attribution.sampled(score, df, cols, "p_partkey")))
 
 
 @query("train_classification")

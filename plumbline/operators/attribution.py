@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted, scratch
 
+#: Walks of one task.
+WALKS = 20_000
+
 
 def linear(df: DataFrame, cols: Sequence[str], weights: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
     """Exact attributions of a linear score: weight times distance from the mean."""
@@ -170,45 +173,52 @@ def tree_importance(model: Any, df: DataFrame, cols: Sequence[str]) -> DataFrame
 
 
 def sampled(
-    score: Any, df: DataFrame, cols: Sequence[str], key: str, *, rows: int = 200, background: int = 100,
+    score: Any, df: DataFrame, cols: Sequence[str], key: str, *, rows: int | None = None, background: int | None = None,
     orders: int = 20, seed: int = 42,
 ) -> DataFrame:
-    """(key, feature, phi) for a bounded sample of rows of any model.
+    """(key, feature, phi) for the rows of any model: all of them, or a sample of ``rows`` on request.
 
     ``score(table)`` adds a ``score`` column to a table of feature columns. Every row is
-    walked from a background row to itself, one feature at a time in a random order; the
-    steps are scored by Spark and averaged, so they add up to score minus mean score.
+    walked ``orders`` times from a background row to itself, one feature at a time in a random order; the
+    steps are scored by Spark and averaged, so they add up to score minus mean score. A background row is
+    drawn for each walk from all rows, or from a sample of ``background`` of them on request.
     """
-    order = F.xxhash64(quoted(key), F.lit(seed))
     names = list(cols)
-    picked = df.select(quoted(key).alias("key"), *[quoted(c).cast("double").alias(c) for c in names]).orderBy(order).limit(rows)
-    base = df.orderBy(F.xxhash64(quoted(key), F.lit(seed + 1))).limit(background)
-    base = np.array([[float(v) for v in r] for r in base.select(*[quoted(c).cast("double") for c in names]).collect()])
     key_type = dict(df.dtypes)[key]
+    held = df.select(quoted(key).alias("key"), F.array(*[quoted(c).cast("double") for c in names]).alias("values"))
+
+    def by_hash(s: int, most: int | None) -> DataFrame:
+        ordered = held.orderBy(F.xxhash64("key", F.lit(s)), "key")
+        return ordered if most is None else ordered.limit(most)
+
+    # Background rows are numbered in hash order, and walks meet theirs by number.
+    numbered = by_hash(seed + 1, background).select("values").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
+    base = df.sparkSession.createDataFrame(numbered, "place bigint, start array<double>")
+    picked = held if rows is None else by_hash(seed, rows)
+    walked, met = picked.count(), base.count()
+    draws = picked.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("place", F.pmod(F.xxhash64("key", "walk", F.lit(seed)), F.lit(max(1, met))))
+    drawn = draws.join(base, "place").select("key", "walk", F.col("values").alias("features"), "start")
 
     def walk(batches):
         import pandas as pd
 
         for pdf in batches:
             for rec in pdf.itertuples(index=False):
-                x = np.array(rec[1:], dtype=float)
-                rng = np.random.default_rng([seed, crc32(repr(rec[0]).encode())])
-                for o in range(orders):
-                    z = base[rng.integers(len(base))].copy()
-                    turn = rng.permutation(len(names))
-                    steps = [z.copy()]
-                    for j in turn:
-                        z[j] = x[j]
-                        steps.append(z.copy())
-                    out = pd.DataFrame(np.array(steps), columns=names)
-                    out.insert(0, "changed", [-1, *turn.tolist()])
-                    out.insert(0, "step", range(len(steps)))
-                    out.insert(0, "walk", o)
-                    out.insert(0, "key", rec[0])
-                    yield out
+                z, x = np.array(rec.start, dtype=float), np.array(rec.features, dtype=float)
+                turn = np.random.default_rng([seed, crc32(repr(rec.key).encode()), rec.walk]).permutation(len(names))
+                steps = [z.copy()]
+                for j in turn:
+                    z[j] = x[j]
+                    steps.append(z.copy())
+                out = pd.DataFrame(np.array(steps), columns=names)
+                out.insert(0, "changed", [-1, *turn.tolist()])
+                out.insert(0, "step", range(len(steps)))
+                out.insert(0, "walk", rec.walk)
+                out.insert(0, "key", rec.key)
+                yield out
 
     fields = ", ".join(f"`{c}` double" for c in names)
-    steps = picked.repartition(8, "key").mapInPandas(walk, f"key {key_type}, walk int, step int, changed int, {fields}")
+    steps = drawn.repartition(max(8, -(-walked * orders // WALKS)), "key", "walk").mapInPandas(walk, f"key {key_type}, walk int, step int, changed int, {fields}")
     scored = score(steps).select("key", "walk", "step", "changed", F.col("score").cast("double").alias("score"))
     # One walk is as many rows as there are features, plus one.
     w = Window.partitionBy("key", "walk").orderBy("step")

@@ -230,6 +230,14 @@ def test_sampled_attribution_is_near_exact_for_an_additive_model(spark):
     assert len(row) == 2 and all(r["r"] > 0.99 for r in row)
 
 
+def test_sampled_attribution_walks_all_rows_unless_asked(spark):
+    df = spark.range(450).selectExpr("id", "CAST(id AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b")
+    score = lambda t: t.withColumn("score", F.col("a") + F.col("b"))
+    phi = attribution.sampled(score, df, ["a", "b"], "id", orders=2)
+    assert phi.select("key").distinct().count() == 450 and phi.count() == 900
+    assert attribution.sampled(score, df, ["a", "b"], "id", rows=30, background=10, orders=2).select("key").distinct().count() == 30
+
+
 def test_pruning_waits_for_five_trials():
     done = [[0.8, 0.8, 0.8]] * 5
     assert not search.behind([0.1], done[:4])
