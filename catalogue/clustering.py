@@ -25,7 +25,7 @@ def _(spark, sf):
 
 @query("kmeans_sweep")
 def _(spark, sf):
-    return rounded(cluster.kmeans_sweep(run_sql(spark, sf, FEATURES), ["bal", "nation"], restarts=1)[0])
+    return rounded(cluster.kmeans_sweep(run_sql(spark, sf, FEATURES), ["bal", "nation"])[0])
 
 
 PAIRS = """d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM {embeddings} a, {embeddings} b),
@@ -104,7 +104,7 @@ def _(spark, sf):
 
 @query("discover_clusters")
 def _(spark, sf):
-    return rounded(cluster.discover(run_sql(spark, sf, FEATURES), ["bal", "nation"], restarts=1).candidates)
+    return rounded(cluster.discover(run_sql(spark, sf, FEATURES), ["bal", "nation"]).candidates)
 
 
 @query("oversample_sizes", """SELECT toxic, max(count(*)) OVER () AS n, count(*) AS original FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY toxic""")

@@ -65,14 +65,14 @@ def _(spark, sf):
 
 @query("consensus_importance")
 def _(spark, sf):
-    return rounded(select.consensus_importance(parts(spark, sf), ["size", "price", "noise"], "classification", 2, trees=5))
+    return rounded(select.consensus_importance(parts(spark, sf), ["size", "price", "noise"], "classification", 2))
 
 
 @query("select_features")
 def _(spark, sf):
     df = parts(spark, sf)
     pairs = [tuple(r) for r in association.pearson_pairs(df, COLS[:4], above=0.95).collect()]
-    return select.select_features(df, COLS, "classification", 2, pairs=pairs, trees=5).ledger(spark)
+    return select.select_features(df, COLS, "classification", 2, pairs=pairs).ledger(spark)
 
 
 @query("recursive_elimination")
@@ -83,7 +83,7 @@ def _(spark, sf):
     def score(cols):
         return sum(search.cross_validate(df, search.build("logistic_regression", {"c": 1.0}, cols, facts), "classification", 3)) / 3
 
-    kept, history = select.eliminate(df, ["size", "price", "noise"], "classification", 2, score, trees=5)
+    kept, history = select.eliminate(df, ["size", "price", "noise"], "classification", 2, score)
     df.unpersist()
     return rounded(spark.createDataFrame([(n, float(s), len(kept)) for n, s in history], "features int, score double, kept int"))
 
@@ -146,7 +146,7 @@ def _(spark, sf):
 def _(spark, sf):
     study = search.search(
         _folded(spark, sf), ["size", "price", "noise"], "classification", 2,
-        Settings(max_trials=3, max_iter=5, models=["logistic_regression", "random_forest", "lightgbm"]),
+        Settings(max_trials=3, models=["logistic_regression", "random_forest", "lightgbm"]),
     )
     return study.trials.drop("seconds")
 
@@ -155,7 +155,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = split.assign_folds(parts(spark, sf).withColumn("label", F.col("price") * F.col("size")), ["p_partkey"], k=5)
     study = search.search(
-        df, ["size", "price", "noise"], "regression", 0, Settings(max_trials=3, max_iter=5, models=["ridge", "xgboost", "random_forest"])
+        df, ["size", "price", "noise"], "regression", 0, Settings(max_trials=3, models=["ridge", "xgboost", "random_forest"])
     )
     return study.trials.drop("seconds")
 
@@ -219,14 +219,14 @@ def _(spark, sf):
 @query("train_classification")
 def _(spark, sf):
     df = run_sql(spark, sf, "SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 'yes' ELSE 'no' END AS cheap FROM {part}")
-    run = train(df, Settings(target="cheap", id_cols=["p_partkey"], max_trials=2, max_iter=5, models=["logistic_regression", "random_forest"]))
+    run = train(df, Settings(target="cheap", id_cols=["p_partkey"], max_trials=2, models=["logistic_regression", "random_forest"]))
     return rounded(run.tables["class_report"])
 
 
 @query("train_regression")
 def _(spark, sf):
     df = run_sql(spark, sf, "SELECT p_partkey, p_brand, p_type, p_size, p_size * 10 + p_retailprice AS cost FROM {part}")
-    run = train(df, Settings(target="cost", id_cols=["p_partkey"], max_trials=2, max_iter=5, models=["ridge", "random_forest"]))
+    run = train(df, Settings(target="cost", id_cols=["p_partkey"], max_trials=2, models=["ridge", "random_forest"]))
     return rounded(spark.createDataFrame([(k, float(v)) for k, v in run.metrics.items() if v is not None], "metric string, value double"))
 
 

@@ -27,7 +27,7 @@ def assemble(df: DataFrame, cols: Sequence[str], output: str = "features") -> Da
     return VectorAssembler(inputCols=list(cols), outputCol=output).transform(df)
 
 
-def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = 3):
+def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = 10):
     """The best of several starts; ``data`` has a ``features`` vector."""
     models = [
         KMeans(k=k, seed=seed + r, initMode="k-means||", maxIter=50, featuresCol="features", predictionCol="cluster").fit(data)
@@ -37,7 +37,7 @@ def fit_kmeans(data: DataFrame, k: int, seed: int = 42, restarts: int = 3):
 
 
 def kmeans_sweep(
-    df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42, restarts: int = 3
+    df: DataFrame, cols: Sequence[str], ks: Sequence[int] | None = None, seed: int = 42, restarts: int = 10
 ) -> tuple[DataFrame, dict[int, Any]]:
     """(k, inertia, silhouette) for every k, and the fitted models."""
     n = df.count()
@@ -181,7 +181,7 @@ class Clustering:
 
 
 def discover(
-    df: DataFrame, cols: Sequence[str], *, k: int | None = None, seed: int = 42, restarts: int = 3,
+    df: DataFrame, cols: Sequence[str], *, k: int | None = None, seed: int = 42, restarts: int = 10,
     density: bool = True, keep: Sequence[str] = (),
 ) -> Clustering:
     """Try k-means, density and hierarchical clusters; keep the best silhouette."""

@@ -36,3 +36,14 @@ def test_matches_sql(spark, duck, name):
     want, wanted_cols = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert cols == wanted_cols
     assert got == want
+
+
+def test_queries_run_the_whole_operator():
+    import inspect
+    import re
+
+    from catalogue import clustering, learning
+    from plumbline.operators import cluster
+
+    assert not re.search(r"\b(trees|max_iter|restarts)=", inspect.getsource(learning) + inspect.getsource(clustering))
+    assert all(inspect.signature(f).parameters["restarts"].default == 10 for f in (cluster.fit_kmeans, cluster.kmeans_sweep, cluster.discover))
