@@ -195,7 +195,8 @@ def _sets(batches, n: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         sets = shingle_sets(batch.column("text"), n, powers)
         found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], names=["doc_id", "n_shingles", "class", "sketch"])
+        given = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], *found], names=[*given, "n_shingles", "class", "sketch"])
 
 
 def _unseen(batches, n: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bytes], list[np.ndarray]]]:
@@ -414,9 +415,14 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
     returned. A row without id takes part, but never gives a component its name, which is null
     if no member has an id.
     """
+    return _groups(picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"}), n, share, tile_sets).select("doc_id", "n_shingles", "component_id")
+
+
+def _groups(wanted: DataFrame, n: int, share: float, tile_sets: int = TILE_SETS) -> DataFrame:
+    """near_groups of rows (doc_id, text and others), with the others, the class and its component's root."""
     exact = Fraction(str(share))
-    wanted = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"})
-    rows = stored(wanted.mapInArrow(lambda it: _sets(it, n), f"doc_id {dict(wanted.dtypes)['doc_id']}, n_shingles bigint, class binary, sketch binary"), "sets")
+    given = ", ".join(f"{c} {t}" for c, t in wanted.dtypes if c != "text")
+    rows = stored(wanted.mapInArrow(lambda it: _sets(it, n), f"{given}, n_shingles bigint, class binary, sketch binary"), "sets")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"))
     sizes = classes.groupBy(F.round(F.log("size") * 8).alias("step")).agg(F.count(F.lit(1)).alias("sets"), F.min("size").alias("size")).collect()
     bands: dict[int, int] = {}
@@ -442,24 +448,27 @@ def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", t
 
     grouped = classes.join(roots, "class", "left").select("class", "first_id", F.coalesce("root", "class").alias("root"))
     named = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = grouped.join(named, "root").select("class", "component_id")
+    names = grouped.join(named, "root").select("class", "root", "component_id")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", "class").join(names, "class", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.drop("sketch").join(names, "class", "left").withColumn("component_id", own)
 
 
 def representatives(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that of the smallest id, with all its columns; rows without text all stay.
+    """One row of each group, that of the smallest id, with all its columns; rows without text stay, one of each id and text.
 
-    Of rows that share the id, the one with the least text stays. Rows without id stay, one of each text,
-    only if no row of their group has an id.
+    If a group has rows of several texts under that id, the text of the least digest stays. A row without id
+    stays only if no row of its group has an id, and then one for the group.
     """
-    groups = near_groups(docs, n, share, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # A structure of the id equals itself also where the id is null; join and window share one shuffle by it.
-    keep = groups.select(F.struct("doc_id").alias("rep__id")).distinct()
-    rows = docs.withColumn("rep__id", F.struct(quoted(id_col).alias("doc_id"))).join(keep, "rep__id", "left_semi")
-    key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(quoted(text_col), F.lit("")).cast("binary"))))
-    first = Window.partitionBy("rep__id", key).orderBy(quoted(text_col))
-    return rows.withColumn("rep__at", F.row_number().over(first)).where("rep__at = 1").select(*[quoted(c) for c in docs.columns])
+    digest = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    wanted = picked(docs, {"doc_id": id_col, "text": text_col}, {"text": "string"}).withColumn("digest", digest(F.col("text")))
+    # A structure of the id equals itself also where the id is null. A text's digest stands for its set.
+    key = F.struct(F.struct("doc_id").alias("rep__id"), F.col("digest").alias("rep__digest")).alias("key")
+    first = _groups(wanted, n, share).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = first.where("class IS NOT NULL").groupBy("root").agg(F.min(key).alias("key")).select("key.*").union(first.where("class IS NULL").select(key).select("key.*").distinct())
+    rows = docs.withColumn("rep__id", F.struct(quoted(id_col).alias("doc_id"))).withColumn("rep__digest", digest(quoted(text_col).cast("string")))
+    copies = Window.partitionBy("rep__id", "rep__digest").orderBy(quoted(text_col))
+    rows = rows.join(keep, ["rep__id", "rep__digest"], "left_semi").withColumn("rep__at", F.row_number().over(copies))
+    return rows.where("rep__at = 1").select(*[quoted(c) for c in docs.columns])
 
 
 def op9_jaccard(spark, sf: str) -> DataFrame:

@@ -139,3 +139,11 @@ def test_components_of_paths_and_stars(spark):
         by.setdefault(r["root"], set()).add(r["node"])
     assert sorted(map(sorted, by.values())) == [list(range(61)), list(range(1000, 1040))]
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_representatives_by_group_and_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(7, text("a")), (7, text("b")), (9, text("b")), (None, text("c")), (None, text("c") + " more"), (3, text("d")), (None, text("d")), (None, text("d") + " more"), (4, ""), (5, None)]
+    got = j.representatives(spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, rep int"), 3, 0.8).collect()
+    found = sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in got), key=str)
+    assert found == sorted([(7, "a"), (7, "b"), (None, "c"), (3, "d"), (4, ""), (5, "")], key=str)
