@@ -112,7 +112,8 @@ def schemes(sizes: dict[int, int], share: Fraction) -> dict[int, Scheme]:
     for band in sorted({b + k for b in sizes for k in (-1, 0, 1) if b + k >= 0}):
         low, high = band_range(band)
         if low <= high and largest_difference(high, high, share) > 0:
-            sets = sum(sizes.get(band - k, 0) for k in (0, 1))
+            below = max(1, math.ceil(math.log(1 / share) / math.log(BAND)))
+            sets = sum(sizes.get(band - k, 0) for k in range(below + 1))
             out[band] = Scheme(band, low, high, math.ceil(low * share), *allocate(low, high, sets, share))
     return out
 
@@ -223,8 +224,8 @@ def _entries(batches, n: int, plan: dict[int, Scheme]) -> Iterator[pa.RecordBatc
         entries, owners = [], []
         for key, s in zip(keys, sets):
             band = band_of(len(s))
-            for scheme in (plan.get(band), plan.get(band + 1)):
-                if scheme is not None and len(s) >= scheme.reach:
+            for scheme in plan.values():
+                if scheme.number >= band and len(s) >= scheme.reach:
                     entries.append(signatures(s, scheme))
                     owners.append(np.full(len(entries[-1]), number_of(key)))
         if not entries:

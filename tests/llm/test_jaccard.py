@@ -147,3 +147,14 @@ def test_representatives_by_group_and_id(spark):
     got = j.representatives(spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, rep int"), 3, 0.8).collect()
     found = sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in got), key=str)
     assert found == sorted([(7, "a"), (7, "b"), (None, "c"), (3, "d"), (4, ""), (5, "")], key=str)
+
+
+def test_low_similarity_beside_all_pairs(spark):
+    rng = random.Random(5)
+    docs = [(0, " ".join(f"w{i}" for i in range(10))), (1, " ".join(f"w{i}" for i in range(20)))]
+    for k in range(12):
+        words = [f"{k}x{i}" for i in range(rng.randint(12, 60))]
+        docs += [(10 * k + 2 + i, " ".join(words[: rng.randint(len(words) * 2 // 5, len(words))])) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in j.near_groups(df, 1, 0.5).collect()), key=str)
+    assert got == brute(docs, 1, 0.5) and (1, 20, 0) in got
