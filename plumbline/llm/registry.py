@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from plumbline.llm import chat, contamination, embeddings, hmm, jaccard, mixing, quality, secrets, tokens, warc
+from plumbline.llm import chat, contamination, embeddings, filters, hmm, jaccard, lines, middle, mixing, quality, secrets, tokens, warc
 
 
 def queries():
@@ -18,6 +18,9 @@ def queries():
         "op8_warc": warc.op8_warc,
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_mixing": mixing.op10_mixing,
+        "op11_filter_audit": filters.op11_filter_audit,
+        "op12_line_dedup": lines.op12_line_dedup,
+        "op13_fill_in_middle": middle.op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,7 @@ def oracle_sql():
         "op8_warc": warc.SQL,
         "op9_jaccard": jaccard.SQL,
         "op10_mixing": mixing.SQL,
+        "op11_filter_audit": filters.SQL,
+        "op12_line_dedup": lines.SQL,
+        "op13_fill_in_middle": middle.SQL,
     }
