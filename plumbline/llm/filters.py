@@ -64,10 +64,11 @@ def failures(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
 
     narrow = rows.select("doc_id", F.coalesce("part", F.lit("")).alias("part"), "text").mapInArrow(run, "doc_id bigint, part string, failed int, high bigint, low bigint")
     narrow = stored(narrow, "failures")
-    # Most texts occur once: only those that several ids share are joined back, and their rows can be split.
+    # Only texts that several ids share are joined back. Tables that were written can be broadcast by their known size,
+    # and a join of scans alone can be split where a key is hot.
     first = narrow.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
     told = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
-    rows = narrow.join(first, ["high", "low"], "left").join(told.where("doc_id IS NOT NULL"), "doc_id", "left")
+    rows = narrow.join(stored(first, "repeated"), ["high", "low"], "left").join(stored(told.where("doc_id IS NOT NULL"), "told"), "doc_id", "left")
     repeated = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     no = F.lit(False)
     return rows.select("part", (F.col("failed") + F.when(repeated, 16).otherwise(0)).alias("failed"), F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))
