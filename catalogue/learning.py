@@ -142,22 +142,45 @@ def _(spark, sf):
     return rounded(spark.createDataFrame(rows, "model string, fold int, score double"))
 
 
-@query("search_classification")
+def _study(study, df, budget, scores, predicted):
+    """What must hold of any search: counts of what is wrong in its log, and the rows its model predicts."""
+    best = study.trials.where("state = 'complete'").agg(F.max("score")).first()[0]
+    wrong = lambda ok: F.count(F.when(~F.coalesce(ok, F.lit(False)), 1))
+    state, some = F.col("state"), F.exists("fold_scores", lambda s: s.isNull())
+    mean = F.abs(F.aggregate("fold_scores", F.lit(0.0), lambda a, b: a + b) / F.size("fold_scores") - F.col("score")) < 1e-9
+    counts = study.trials.agg(
+        F.count(F.lit(1)).alias("trials"), F.count(F.when(F.col("best"), 1)).alias("best"),
+        wrong(F.col("best") == ((state == "complete") & (F.col("score") == best))).alias("wrong_best"),
+        wrong(state.isin("complete", "pruned", "timed_out")).alias("failed"),
+        wrong(F.when(state == "complete", (F.size("fold_scores") == 5) & ~some & mean).otherwise(F.size("fold_scores") <= 5)).alias("wrong_folds"),
+        wrong(F.forall("fold_scores", lambda s: s.isNull() | scores(s))).alias("strange_scores"),
+        wrong(F.col("seconds") < budget + 10).alias("late"),
+    )
+    rows = study.model.transform(df).agg(F.count(F.when(predicted(F.col("prediction")), 1)).alias("predicted"))
+    return counts.unpivot([], counts.columns, "property", "n").union(rows.unpivot([], ["predicted"], "property", "n"))
+
+
+STUDY = " UNION ALL ".join(f"SELECT '{p}' AS property, CAST({n} AS BIGINT) AS n" for p, n in {"trials": 3, "best": 1, "wrong_best": 0, "failed": 0, "wrong_folds": 0, "strange_scores": 0, "late": 0}.items()) + " UNION ALL SELECT 'predicted', count(*) FROM part"
+
+
+@query("search_classification", STUDY)
 def _(spark, sf):
+    """Drawn settings in full, on all rows, within 60 seconds and the grace to cancel what runs."""
+    df = _folded(spark, sf)
     study = search.search(
-        _folded(spark, sf), ["size", "price", "noise"], "classification", 2,
-        Settings(max_trials=3, models=["logistic_regression", "random_forest", "lightgbm"]),
+        df, ["size", "price", "noise"], "classification", 2,
+        Settings(max_trials=3, time_budget=60, models=["logistic_regression", "random_forest", "lightgbm"]),
     )
-    return study.trials.drop("seconds")
+    return _study(study, df, 60, lambda s: s.between(0, 1), lambda p: p.isin(0.0, 1.0))
 
 
-@query("search_regression")
+@query("search_regression", STUDY)
 def _(spark, sf):
     df = split.assign_folds(parts(spark, sf).withColumn("label", F.col("price") * F.col("size")), ["p_partkey"], k=5)
     study = search.search(
-        df, ["size", "price", "noise"], "regression", 0, Settings(max_trials=3, models=["ridge", "xgboost", "random_forest"])
+        df, ["size", "price", "noise"], "regression", 0, Settings(max_trials=3, time_budget=60, models=["ridge", "xgboost", "random_forest"])
     )
-    return study.trials.drop("seconds")
+    return _study(study, df, 60, lambda s: s <= 0, lambda p: p.isNotNull())
 
 
 @query("attribution_tree")

@@ -52,6 +52,7 @@ class Settings:
     k: int | None = None
     time_budget: float = 120.0
     max_trials: int | None = None
+    trials_at_once: int = 3
     models: list[str] | None = None
     #: Bounds the drawn rounds and trees; the trial log shows the values that were fitted.
     max_iter: int | None = None

@@ -135,7 +135,7 @@ def scratch(spark, name: str) -> str:
 
 def compact(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
     """Fewer, fuller partitions for a small table that many passes will read."""
-    return df.coalesce(max(1, -(-rows // per_task)))
+    return df.repartition(max(1, -(-rows // per_task)))
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 import random
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from dataclasses import dataclass, field
+from itertools import count, takewhile
 from statistics import median
 from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -18,7 +22,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
@@ -37,6 +41,7 @@ SPACES: dict[str, list[tuple[str, float, float, str]]] = {
 # Narrower upper bounds for very small tables.
 NARROW = {("lightgbm", "n"): 200, ("lightgbm", "leaves"): 31, ("xgboost", "n"): 200, ("xgboost", "depth"): 4}
 KERNEL = ("svc", "svr")
+LINEAR = ("logistic_regression", "ridge")
 FOURIER = 64
 STARTUP_TRIALS = 5
 
@@ -198,17 +203,94 @@ def fold_score(predicted: DataFrame, problem: str) -> float:
     return -RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse").evaluate(predicted)
 
 
+class Jobs:
+    """Functions that run Spark jobs side by side in threads, each under a tag by which its jobs are cancelled.
+
+    With ``spark.scheduler.mode`` FAIR, every tag is a pool of its own. A cancelled function may be between two jobs, so
+    its tag is cancelled again at every look until the function has ended.
+    """
+
+    LOOK_S = 0.2
+
+    def __init__(self, spark: SparkSession, workers: int):
+        self.spark, self.context = spark, spark.sparkContext
+        self.threads = ThreadPoolExecutor(workers)
+        self.waiting: dict[Future, tuple[str, Any]] = {}
+        self.cancelled: set[str] = set()
+
+    def submit(self, tag: str, what: Any, fn: Callable[[], Any]) -> None:
+        def run():
+            self.context.addJobTag(tag)
+            self.context.setLocalProperty("spark.scheduler.pool", tag)
+            try:
+                return None if tag in self.cancelled else fn()
+            finally:
+                self.context.removeJobTag(tag)
+                self.context.setLocalProperty("spark.scheduler.pool", None)
+
+        self.waiting[self.threads.submit(inheritable_thread_target(run))] = tag, what
+
+    def cancel(self, tag: str) -> None:
+        self.cancelled.add(tag)
+        if any(t == tag for t, _ in self.waiting.values()):
+            self.context.cancelJobsWithTag(tag)
+
+    def ended(self) -> list[tuple[Any, Any, Exception | None]]:
+        """(what, result, error) of what ended since, after at most one look; cancelled work is left out."""
+        done, _ = wait(self.waiting, timeout=self.LOOK_S, return_when=FIRST_COMPLETED)
+        for tag in {t for f, (t, _) in self.waiting.items() if f not in done and t in self.cancelled}:
+            self.context.cancelJobsWithTag(tag)
+        out = []
+        for future in done:
+            tag, what = self.waiting.pop(future)
+            if tag not in self.cancelled:
+                error = future.exception()
+                out.append((what, None if error else future.result(), error))
+        return out
+
+    def __enter__(self) -> Jobs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for tag in {t for t, _ in self.waiting.values()}:
+            self.cancel(tag)
+        while self.waiting:
+            self.ended()
+        self.threads.shutdown()
+
+
+def _fold(data: DataFrame, pipeline: Pipeline, problem: str, i: int) -> float:
+    model = pipeline.fit(data.where(F.col("fold") != i))
+    return float(fold_score(model.transform(data.where(F.col("fold") == i)), problem))
+
+
+def _leading(scores: dict[int, float]) -> list[float]:
+    """Scores of the folds from the first on, up to one that has not ended."""
+    return [scores[i] for i in takewhile(scores.__contains__, count())]
+
+
 def cross_validate(
     data: DataFrame, pipeline: Pipeline, problem: str, folds: int, stop: Callable[[list[float]], bool] = lambda s: False
 ) -> list[float]:
-    """Score per fold of a table with a ``fold`` column; ``stop`` may end it early."""
-    scores: list[float] = []
-    for i in range(folds):
-        model = pipeline.fit(data.where(F.col("fold") != i))
-        scores.append(fold_score(model.transform(data.where(F.col("fold") == i)), problem))
-        if stop(scores):
-            break
-    return scores
+    """Score per fold of a table with a ``fold`` column, the folds side by side.
+
+    ``stop`` sees the scores in the order of the folds and may end them early, as though one came after the other.
+    """
+    scores: dict[int, float] = {}
+    seen, tag = 0, f"folds-{uuid.uuid4().hex}"
+    with Jobs(data.sparkSession, folds) as jobs:
+        for i in range(folds):
+            jobs.submit(tag, i, lambda i=i: _fold(data, pipeline.copy(), problem, i))
+        while jobs.waiting:
+            for i, score, error in jobs.ended():
+                if error is not None:
+                    raise error
+                scores[i] = score
+            while seen < len(_leading(scores)):
+                seen += 1
+                if stop(_leading(scores)[:seen]):
+                    return _leading(scores)[:seen]
+    return _leading(scores)
 
 
 def running(scores: Sequence[float]) -> list[float]:
@@ -227,16 +309,20 @@ def behind(scores: Sequence[float], completed: Sequence[Sequence[float]], startu
 def pruned_at(completed: DataFrame, candidates: DataFrame) -> DataFrame:
     """(trial, fold): the first fold at which each candidate falls behind.
 
-    Both tables are (trial, fold, score) with one row per fold of a trial.
+    Both tables are logs of trials, (trial, fold, score) with one row per fold of a trial.
     """
-    def means(df: DataFrame) -> DataFrame:
-        w = Window.partitionBy("trial").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("trial", "fold", F.avg("score").over(w).alias("mean"))
+    def logged(df: DataFrame) -> dict[Any, list[tuple[Any, float]]]:
+        rows = df.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("fold", "score"))).alias("folds")).collect()
+        return {r["trial"]: [tuple(f) for f in r["folds"]] for r in rows}
 
-    bar = means(completed).groupBy("fold").agg(F.median("mean").alias("bar"))
-    best = Window.partitionBy("trial").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    tried = means(candidates).withColumn("best", F.max("mean").over(best))
-    return tried.join(F.broadcast(bar), "fold").where("best < bar").groupBy("trial").agg(F.min("fold").alias("fold"))
+    done = [[score for _, score in folds] for folds in logged(completed).values()]
+    found = []
+    for trial, folds in logged(candidates).items():
+        scores = [score for _, score in folds]
+        cut = next((i for i in range(len(scores)) if behind(scores[: i + 1], done)), None)
+        if cut is not None:
+            found.append((trial, folds[cut][0]))
+    return candidates.sparkSession.createDataFrame(found, candidates.select("trial", "fold").schema)
 
 
 TRIALS = (
@@ -255,57 +341,134 @@ class Study:
     n_trials: int
 
 
+@dataclass
+class Trial:
+    """A trial under way: its scores by fold, and how it ended."""
+
+    number: int
+    model: str
+    params: dict[str, float]
+    tag: str
+    began: float
+    scores: dict[int, float] = field(default_factory=dict)
+    seen: int = 0
+    state: str | None = None
+    seconds: float = 0.0
+    fitted: PipelineModel | None = None
+
+    @property
+    def score(self) -> float | None:
+        return sum(self.scores.values()) / len(self.scores) if self.scores else None
+
+    def row(self, best: bool) -> tuple:
+        folds = [self.scores.get(i) for i in range(max(self.scores, default=-1) + 1)]
+        return self.number, self.model, self.params, folds, None if self.state.startswith("failed") else self.score, self.state, self.seconds, best
+
+
+ALL_ROWS = -1
+
+
 def search(
     train: DataFrame, cols: Sequence[str], problem: str, classes: int, settings: Settings, *,
     size_class: str = "medium", imbalanced: bool = False, folds: int = 5,
 ) -> Study:
-    """Try random settings until the time or trial budget is spent, then refit the best.
+    """Try random settings until the time or trial budget is spent; the best is fitted on all rows.
 
     ``train`` has the feature columns, ``label`` and ``fold``. It is cached for the search.
+
+    ``settings.trials_at_once`` trials run side by side, and all folds of each. A trial whose folds beat all trials fitted so far
+    is fitted on all rows right away, and is complete when that is done, so nothing is left to fit
+    when the budget ends. Trials end as ``complete``, ``pruned``, ``failed: why`` or ``timed_out``: the jobs of those that
+    run when the budget ends are cancelled, and the log keeps the folds that had ended (null: had not). Where
+    no trial is complete by then, one more of a linear model is run to its end, or, without one in the pool, the trial
+    that is furthest goes on. Settings are drawn in the order of the trials; which trials a trial is pruned against
+    hangs on which had ended.
     """
-    start = time.time()
+    start = time.monotonic()
+    spark = train.sparkSession
     weighted = imbalanced and problem == "classification" and classes == 2
     data = with_weights(train) if weighted else train
     data = data.select(*[quoted(c) for c in cols], "label", "fold", *(["weight"] if weighted else []))
     rows, spread = data.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-    data = compact(data, rows).cache()
     facts = Facts(problem, rows, classes, spread or 1.0, weighted, settings.seed)
     pool = settings.models or model_pool(problem)
     unknown = [m for m in pool if m not in FACTORIES]
     if unknown:
         raise ValueError(f"unknown models {unknown}; known are {sorted(FACTORIES)}")
+    data = compact(data, rows).cache()
+    data.count()
     rng = random.Random(settings.seed)
-    records: list[tuple] = []
-    completed: list[list[float]] = []
-    best: tuple[float, str, dict[str, float]] | None = None
-    while True:
-        n = len(records)
-        if n and time.time() - start > settings.time_budget:
-            break
-        if settings.max_trials is not None and n >= settings.max_trials:
-            break
-        name = rng.choice(pool)
-        params = draw(name, rng, size_class, settings.max_iter)
-        began = time.time()
+    name = f"search-{uuid.uuid4().hex[:8]}"
+    trials: list[Trial] = []
+    finished: list[list[float]] = []
+    best: Trial | None = None
+    deadline, expired = start + settings.time_budget, False
+
+    def end(trial: Trial, state: str) -> None:
+        trial.state, trial.seconds = state, time.monotonic() - trial.began
+        jobs.cancel(trial.tag)
+
+    def begin(model: str) -> None:
+        trial = Trial(len(trials), model, draw(model, rng, size_class, settings.max_iter), f"{name}-{len(trials)}", time.monotonic())
+        trials.append(trial)
         try:
-            scores = cross_validate(
-                data, build(name, params, cols, facts), problem, folds, lambda s: len(s) < folds and behind(s, completed)
-            )
-            state = "complete" if len(scores) == folds else "pruned"
-            score = sum(scores) / len(scores)
+            pipelines = [build(model, trial.params, cols, facts) for _ in range(folds)]
         except Exception as e:  # noqa: BLE001 - one failing trial must not end the search
-            scores, state, score = [], f"failed: {type(e).__name__}: {str(e)[:300]}", None
-        if state == "complete":
-            completed.append(scores)
-            if best is None or score > best[0]:
-                best = (score, name, params)
-        records.append((n, name, params, [float(s) for s in scores], score, state, time.time() - began))
-    if best is None:
-        data.unpersist()
-        raise RuntimeError(f"the search completed no successful trial; the last one {records[-1][5]}")
-    model = build(best[1], best[2], cols, facts).fit(data)
+            return end(trial, f"failed: {type(e).__name__}: {str(e)[:300]}")
+        for i, pipeline in enumerate(pipelines):
+            jobs.submit(trial.tag, (trial, i), lambda i=i, p=pipeline: _fold(data, p, problem, i))
+
+    def complete(trial: Trial) -> None:
+        nonlocal best
+        if trial.fitted is not None and (best is None or trial.score > best.score):
+            best = trial
+        finished.append([trial.scores[i] for i in range(folds)])
+        end(trial, "complete")
+
+    def take(trial: Trial, i: int, result: Any, error: Exception | None) -> None:
+        if trial.state is not None:
+            return
+        if error is not None:
+            return end(trial, f"failed: {type(error).__name__}: {str(error)[:300]}")
+        if i == ALL_ROWS:
+            trial.fitted = result
+            return complete(trial)
+        trial.scores[i] = result
+        while trial.seen < min(len(_leading(trial.scores)), folds - 1):
+            trial.seen += 1
+            if behind(_leading(trial.scores)[: trial.seen], finished):
+                trial.scores = dict(enumerate(_leading(trial.scores)[: trial.seen]))
+                return end(trial, "pruned")
+        if len(trial.scores) == folds:
+            if best is not None and trial.score <= best.score:
+                return complete(trial)
+            jobs.submit(trial.tag, (trial, ALL_ROWS), lambda: build(trial.model, trial.params, cols, facts).fit(data))
+
+    with Jobs(spark, max(1, settings.trials_at_once) * (folds + 1)) as jobs:
+        while True:
+            running_now = [t for t in trials if t.state is None]
+            late = time.monotonic() > deadline
+            if late and not expired:
+                expired = True
+                quick = [m for m in pool if m in LINEAR]
+                # Without a complete trial, the one with the most folds goes on alone, or a linear model begins.
+                stay = max(running_now, key=lambda t: (len(t.scores), -t.number), default=None) if best is None and not quick else None
+                for t in running_now:
+                    if t is not stay:
+                        end(t, "timed_out")
+                if best is None and quick:
+                    begin(quick[0])
+                continue
+            may_begin = settings.max_trials is None or len(trials) < settings.max_trials
+            if may_begin and not (late and trials) and len(running_now) < max(1, settings.trials_at_once):
+                begin(rng.choice(pool))
+                continue
+            if not running_now:
+                break
+            for (trial, i), result, error in jobs.ended():
+                take(trial, i, result, error)
     data.unpersist()
-    trials = train.sparkSession.createDataFrame(
-        [(*r, r[4] == best[0] and r[1] == best[1] and r[5] == "complete") for r in records], TRIALS
-    )
-    return Study(best[1], best[2], best[0], model, trials, len(records))
+    if best is None:
+        raise RuntimeError(f"the search completed no successful trial; the last one {trials[-1].state}")
+    log = spark.createDataFrame([t.row(t is best) for t in trials], TRIALS)
+    return Study(best.model, best.params, best.score, best.fitted, log, len(trials))
