@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Thresholds
-from plumbline.functions.columns import is_numeric, quoted, union_all
-from plumbline.operators.ordering import bucketed, cumulate, is_small, skew_lookup
+from plumbline.functions.columns import quoted, union_all
+from plumbline.operators.ranks import spearman  # noqa: F401
 
 LIMITS = Thresholds()
 PAIRS = "later string, earlier string, r double"
@@ -78,94 +78,6 @@ def _pairs_by_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, PAIRS)
 
 
-def spearman(df: DataFrame, cols: Sequence[str], target: str, small_rows: int | None = None) -> DataFrame:
-    """Spearman correlation of every numeric column with the target, ties averaged.
-
-    Rows where either side is null are left out per column. Equal (x, y) cells are
-    combined first, both rank tables are built per bucket, and hot values are salted.
-    A table of at most ``small_rows`` rows is ranked by one window instead.
-    """
-    cols = [c for c in cols if c != target]
-    schema = "column string, rows bigint, rho double"
-    if not cols:
-        return df.sparkSession.createDataFrame([], schema)
-    y = quoted(target)
-    if not is_numeric(df.schema[target].dataType):
-        from plumbline.operators.encode import label_codes
-
-        y = label_codes(df, target).column(target)
-    base = df.select(y.cast("double").alias("y"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    base = base.where("y is not null")
-    if is_small(base, small_rows):
-        return _spearman_small(base, cols, schema)
-    base = bucketed(base, ["y", *[f"x{i}" for i in range(len(cols))]])
-    cells = F.array_compact(
-        F.array(*[
-            F.when(
-                F.col(f"x{i}").isNotNull(),
-                F.struct(
-                    F.lit(c).alias("column"), F.col(f"x{i}").alias("x"), F.col(f"x{i}__b").alias("xb"),
-                    F.col("y"), F.col("y__b").alias("yb"),
-                ),
-            )
-            for i, c in enumerate(cols)
-        ])
-    )
-    pairs = (
-        base.select(F.explode(cells).alias("c")).select("c.*")
-        .groupBy("column", "x", "xb", "y", "yb").agg(F.count(F.lit(1)).alias("n"))
-    ).persist()
-    rx = _ranks(pairs, "x", "xb").withColumnRenamed("avg_rank", "rx").persist()
-    ry = _ranks(pairs, "y", "yb").withColumnRenamed("avg_rank", "ry").persist()
-    totals = rx.groupBy("column").agg(F.max("total").alias("rows"))
-    # Ranks have a known mean and, per rank table, a known spread; only the product needs the pairs.
-    centre = (F.col("total") + 1) / 2.0
-    cell = pairs.select("column", "x", "y", F.col("n").alias("w"))
-    cell = skew_lookup(cell, rx, ["column", "x"], ["rx"])
-    cell = skew_lookup(cell, ry, ["column", "y"], ["ry"])
-    mid = (F.col("rows") + 1) / 2.0
-    sxy = cell.join(F.broadcast(totals), "column").groupBy("column").agg(
-        F.max("rows").alias("rows"), F.sum(F.col("w") * (F.col("rx") - mid) * (F.col("ry") - mid)).alias("sxy")
-    )
-    sxx, syy = (
-        t.groupBy("column").agg(F.sum(F.col("n") * (F.col(r) - centre) * (F.col(r) - centre)).alias(name))
-        for t, r, name in ((rx, "rx", "sxx"), (ry, "ry", "syy"))
-    )
-    rho = sxy.join(F.broadcast(sxx), "column").join(F.broadcast(syy), "column").select(
-        "column", "rows",
-        F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))).alias("rho"),
-    )
-    rows = [tuple(r) for r in rho.collect()]
-    for t in (pairs, rx, ry):
-        t.unpersist()
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def _spearman_small(base: DataFrame, cols: Sequence[str], schema: str) -> DataFrame:
-    wide = base.select("y", *[F.col(f"x{i}").alias(c) for i, c in enumerate(cols)])
-    long = wide.unpivot(["y"], list(cols), "column", "x").where("x is not null")
-
-    def rank(c: str) -> Column:
-        ties = F.count(F.lit(1)).over(Window.partitionBy("column", c))
-        return F.rank().over(Window.partitionBy("column").orderBy(c)) + (ties - 1) / 2.0
-
-    out = long.select("column", rank("x").alias("rx"), rank("y").alias("ry")).groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), correlation(F.col("rx"), F.col("ry")).alias("rho")
-    )
-    return base.sparkSession.createDataFrame([tuple(r) for r in out.collect()], schema)
-
-
-def _ranks(pairs: DataFrame, value: str, bucket: str) -> DataFrame:
-    counts = pairs.groupBy("column", F.col(bucket).alias("bucket"), F.col(value).alias("value")).agg(
-        F.sum("n").alias("n")
-    )
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    return cumulate(counts, ["column"], ["n"]).join(F.broadcast(totals), "column").select(
-        "column", F.col("value").alias(value), "n", "total",
-        (F.col("n_before") + (F.col("n") + 1) / 2.0).alias("avg_rank"),
-    )
-
-
 def mutual_information(df: DataFrame, cols: Sequence[str], target: str, normalise: str = "target_entropy") -> DataFrame:
     """Plug-in mutual information (nats) of every categorical column with the target.
 

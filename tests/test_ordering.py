@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import association, ordering
+from plumbline.operators import association, ordering, ranks
 from plumbline.operators.split import assign_folds, assign_test
 
 
@@ -66,22 +66,35 @@ def test_bucket_numbers_follow_the_rows(skewed, monkeypatch):
     monkeypatch.setattr(ordering, "FEW_BUCKETS", 4)
     monkeypatch.setattr(ordering, "MAX_BUCKETS", 32)
     assert 8 < ordering.bucketed(df, ["x"]).select("x__b").distinct().count() <= 33
-    assert abs(association.spearman(df, ["x"], "y", small_rows=0).first()["rho"] - want) < 1e-9
+    assert abs(association.spearman(df, ["x"], "y").first()["rho"] - want) < 1e-9
 
 
-def test_spearman_with_hot_values_equals_pandas(skewed):
+def test_spearman_with_hot_values_equals_pandas(skewed, monkeypatch):
     df, pdf = skewed
     want = pdf[["x", "y"]].dropna().rank().corr().iloc[0, 1]
-    for small in (0, 100_000):
-        row = association.spearman(df, ["x"], "y", small_rows=small).first()
+    for rows in (1_000_000, 100):
+        monkeypatch.setattr(ranks, "TASK_ROWS", rows)
+        row = association.spearman(df, ["x"], "y").first()
         assert row["rows"] == pdf.x.notna().sum()
         assert abs(row["rho"] - want) < 1e-9
 
 
 def test_constant_column_has_no_rank_correlation(spark):
     df = spark.createDataFrame([(1.0, float(i)) for i in range(30)], "a double, b double")
-    for small in (0, 100):
-        assert association.spearman(df, ["a"], "b", small_rows=small).first()["rho"] is None
+    assert association.spearman(df, ["a"], "b").first()["rho"] is None
+    assert association.spearman(df.where("a > 5"), ["a"], "b").count() == 0
+
+
+def test_spearman_ranks_any_number_of_texts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": np.round(rng.normal(0, 1, 15_000), 1), "z": rng.normal(0, 1, 15_000)})
+    pdf["t"] = ["k%d" % (3 * v + n) for v, n in zip(pdf.x * 100, rng.integers(0, 12_000, 15_000))]
+    pdf.loc[::9, "t"] = None
+    monkeypatch.setattr(ranks, "TASK_ROWS", 700)
+    got = {r["column"]: r for r in association.spearman(spark.createDataFrame(pdf).repartition(5), ["x", "z"], "t").collect()}
+    known = pdf.dropna()
+    for c in ("x", "z"):
+        assert got[c]["rows"] == len(known) and abs(got[c]["rho"] - known[c].rank().corr(known.t.rank())) < 1e-9
 
 
 def test_skew_lookup_keeps_every_row(spark):
