@@ -1,8 +1,8 @@
 """Exact quantiles, ranks and prefix sums without a global sort in one task.
 
-Order statistics are found in two steps: a fixed-size sketch brackets each wanted
-position, then one scan counts what lies below the bracket and the few values inside
-it are ordered exactly. Ranks need every value, so values are pre-aggregated, cut into
+Order statistics are found by brackets: a fixed-size sketch brackets each wanted position, one scan counts
+what lies below and inside, brackets with many rows are sketched again, and the few values left
+inside are ordered exactly. Ranks need every value, so values are pre-aggregated, cut into
 equi-depth buckets and prefix-summed per bucket; only bucket totals are summed globally.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any, NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,9 @@ FEW_BUCKETS = 64
 MAX_BUCKETS = 2048
 # A key with more than this fraction of the rows is spread over as many tasks.
 HOT = 64
-# Up to this many rows one task may hold every value of a column.
-SMALL_ROWS = 20_000
+# A bracket with more rows than this is narrowed before its values are ordered, by so many sketches at most.
+SPAN_ROWS = 100_000
+ROUNDS = 40
 
 
 def order_statistics(
@@ -76,28 +78,17 @@ def order_statistics(
         values: dict[float, float | None] = {}
         for p, at in asked[n]:
             lo, hi = found[(i, math.floor(at))], found[(i, math.ceil(at))]
-            values[p] = lo + (hi - lo) * (at - math.floor(at))
+            values[p] = lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
         if not sizes[i]:
             values = {p: None for p in (fractions or positions)[n]}
         out[n] = (sizes[i], values)
     return out
 
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    rows = SMALL_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
-
-
-def quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-    small_rows: int | None = None,
-) -> dict[str, list[float | None]]:
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of every column."""
     if not cols:
         return {}
-    if is_small(df, small_rows):
-        aggs = [F.percentile(quoted(c).cast("double"), list(probs)) for c in cols]
-        return {c: list(v) if v else [None] * len(probs) for c, v in zip(cols, _collect_wide(df, aggs))}
     got = order_statistics(
         df, {c: quoted(c) for c in cols}, fractions={c: list(probs) for c in cols}, accuracy=accuracy
     )
@@ -126,11 +117,36 @@ def _sketch(
     return row[:n], values
 
 
+class Span(NamedTuple):
+    """Values of a column between two bounds (None: no bound), both of them in it unless it is open."""
+
+    i: int
+    low: float | None
+    high: float | None
+    open: bool = False
+
+    def holds(self, v: Column) -> Column:
+        ok = v.isNotNull()
+        if self.low is not None:
+            ok = ok & (v > F.lit(self.low) if self.open else v >= F.lit(self.low))
+        if self.high is not None:
+            ok = ok & (v < F.lit(self.high) if self.open else v <= F.lit(self.high))
+        return ok
+
+    @property
+    def value(self) -> Column:
+        return F.col(f"v{self.i}")
+
+
 def _select(
     wide: DataFrame, wanted: dict[tuple[int, int], float], sizes: list[int], slack: float, accuracy: int,
     known: dict[tuple[int, float], float],
 ) -> dict[tuple[int, int], float]:
-    """Exact values at (column, position), bracketed by the sketch."""
+    """Exact values at (column, position).
+
+    A sketch brackets each position, and one scan counts what lies below and inside. A bracket with more than SPAN_ROWS rows is
+    narrowed by a sketch of its own rows, again and again; then the few values left in the brackets are ordered.
+    """
     found: dict[tuple[int, int], float] = {}
     todo = list(wanted)
     while todo:
@@ -147,29 +163,102 @@ def _select(
             for i, k in todo
         ]
         spans = _merged([(i, *br) for (i, _), br in zip(todo, brackets)])
-        lows = [s for s, (_, lo, _) in enumerate(spans) if lo is not None]
-        under = [F.count(F.when(F.col(f"v{spans[s][0]}") < F.lit(spans[s][1]), 1)) for s in lows]
-        below = dict(zip(lows, _collect_wide(wide, under)))
-        goals: dict[int, dict[int, int]] = {s: {} for s in range(len(spans))}
-        for t, ((i, k), (lo, _)) in enumerate(zip(todo, brackets)):
-            s = next(s for s, (j, a, b) in enumerate(spans) if i == j and _inside(lo, a, b))
-            goals[s][k - below.get(s, 0)] = t
-        for s, place, v in _at_places(wide, spans, goals):
-            found[todo[goals[s][place]]] = v
+        cut = [s for s in spans if s.low is not None or s.high is not None]
+        counts = iter(_collect_wide(wide, [c for s in cut for c in (F.count(F.when(s.value < F.lit(s.low), 1)) if s.low is not None else F.lit(0), F.count(F.when(s.holds(s.value), 1)))]))
+        stood = {s: (next(counts), next(counts)) for s in cut}
+        goals: dict[Span, dict[int, tuple[int, int]]] = {}
+        large: dict[tuple[int, int], tuple[Span, int, int]] = {}
+        for w, (lo, _) in zip(todo, brackets):
+            span = next(s for s in spans if w[0] == s.i and _inside(lo, s.low, s.high))
+            below, inside = stood.get(span, (0, sizes[w[0]]))
+            if inside > SPAN_ROWS and below <= w[1] < below + inside:
+                large[w] = (span, below, inside)
+            else:
+                goals.setdefault(span, {})[w[1] - below] = w
+        for w, result in _narrowed(wide, large, accuracy).items():
+            if isinstance(result, tuple):
+                goals.setdefault(result[0], {})[w[1] - result[1]] = w
+            else:
+                found[w] = result
+        for span, place, v in _at_places(wide, goals):
+            found[goals[span][place]] = v
         todo = [w for w in todo if w not in found]
         slack = slack * 100 if slack < 1 else math.inf
     return found
 
 
-def _merged(spans: list[tuple]) -> list[tuple]:
+def _narrowed(wide: DataFrame, large: dict[tuple[int, int], tuple[Span, int, int]], accuracy: int) -> dict:
+    """For each (column, position) its value, or an open span of at most SPAN_ROWS rows and the rows below it.
+
+    Each round sketches the rows of the spans and counts around the two values that it says lie on either side of the
+    position. Both then leave the span, so a value with many rows is found or gone.
+    """
+    out: dict = {}
+    rounds = 0
+    while large:
+        rounds += 1
+        if rounds > ROUNDS:
+            raise RuntimeError("order statistics did not settle")
+        slack = 4.0 / accuracy
+        asks: dict[Span, set[float]] = {}
+        at = {}
+        for w, (span, below, inside) in large.items():
+            p = (w[1] - below + 0.5) / inside
+            at[w] = [x for x in (p - slack, p + slack)]
+            asks.setdefault(span, set()).update(x for x in at[w] if 0 < x < 1)
+        asked = {s: sorted(ps) for s, ps in asks.items() if ps}
+        got = _collect_wide(wide, [F.percentile_approx(F.when(s.holds(s.value), s.value), ps, accuracy) for s, ps in asked.items()])
+        cuts = {(s, p): v for (s, ps), vs in zip(asked.items(), got) for p, v in zip(ps, vs)}
+        edges = sorted({(s.i, v) for (s, _), v in cuts.items()})
+        numbers = _collect_wide(wide, [F.count(F.when(c, 1)) for i, v in edges for c in (F.col(f"v{i}") < F.lit(v), F.col(f"v{i}") <= F.lit(v))])
+        upto = {e: (numbers[2 * n], numbers[2 * n + 1]) for n, e in enumerate(edges)}
+        left = {}
+        for w, (span, below, inside) in large.items():
+            (i, k), low, high, start, stop = w, span.low, span.high, below, below + inside
+            for v in (cuts.get((span, p)) for p in at[w]):
+                if v is None:
+                    continue
+                less, with_v = upto[i, v]
+                if less <= k < with_v:
+                    out[w] = v
+                elif with_v <= k and with_v >= start:
+                    low, start = v, with_v
+                elif k < less <= stop:
+                    high, stop = v, less
+            if w in out:
+                continue
+            # What an open span leaves out of a closed one at its other end is settled by the position.
+            span = Span(i, low, high, True) if (low, high) != (span.low, span.high) else span
+            if span.open and not large[w][0].open:
+                ends = [v for v in (low, high) if v is not None and v in (large[w][0].low, large[w][0].high)]
+                if ends:
+                    more = _collect_wide(wide, [F.count(F.when(c, 1)) for v in ends for c in (F.col(f"v{i}") < F.lit(v), F.col(f"v{i}") <= F.lit(v))])
+                    for n, v in enumerate(ends):
+                        if more[2 * n] <= k < more[2 * n + 1]:
+                            out[w] = v
+                        elif v == low:
+                            start = more[2 * n + 1]
+                        else:
+                            stop = more[2 * n]
+                if w in out:
+                    continue
+            if stop - start <= SPAN_ROWS:
+                out[w] = (span, start)
+            else:
+                left[w] = (span, start, stop - start)
+        large = left
+    return out
+
+
+def _merged(spans: list[tuple]) -> list[Span]:
     """Disjoint (column, low, high) spans covering the given ones; None is open."""
-    out: list[tuple] = []
+    out: list[Span] = []
     for i, lo, hi in sorted(set(spans), key=lambda x: (x[0], -math.inf if x[1] is None else x[1])):
-        if out and out[-1][0] == i and (out[-1][2] is None or lo is None or lo <= out[-1][2]):
-            top = None if hi is None or out[-1][2] is None else max(hi, out[-1][2])
-            out[-1] = (i, out[-1][1], top)
+        if out and out[-1].i == i and (out[-1].high is None or lo is None or lo <= out[-1].high):
+            top = None if hi is None or out[-1].high is None else max(hi, out[-1].high)
+            out[-1] = Span(i, out[-1].low, top)
         else:
-            out.append((i, lo, hi))
+            out.append(Span(i, lo, hi))
     return out
 
 
@@ -179,45 +268,30 @@ def _inside(lo, a, b) -> bool:
     return (a is None or a <= lo) and (b is None or lo <= b)
 
 
-def _within(v: Column, lo, hi) -> Column:
-    ok = v.isNotNull()
-    ok = ok if lo is None else ok & (v >= F.lit(lo))
-    return ok if hi is None else ok & (v <= F.lit(hi))
-
-
-def _at_places(wide: DataFrame, spans: list[tuple], goals: dict[int, dict[int, int]]) -> list[tuple]:
+def _at_places(wide: DataFrame, goals: dict[Span, dict[int, Any]]) -> list[tuple]:
     """(span, place, value): the values at the wanted places of every span.
 
-    Only values inside a span leave the scan, counted per distinct value first.
+    Only values inside a span leave the scan, counted per distinct value first. A span's values meet in one task: there are
+    at most SPAN_ROWS of them, or as many as a sketch holds.
     """
-    used = sorted({i for i, _, _ in spans})
-    masks = []
-    for i in used:
-        v = F.col(f"v{i}")
-        keep = F.lit(False)
-        for j, lo, hi in spans:
-            if j == i:
-                keep = keep | _within(v, lo, hi)
-        masks.append(F.when(keep, v).alias(str(i)))
-    counts = (
-        wide.select(*masks).unpivot([], [str(i) for i in used], "i", "v").where("v is not null")
-        .groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    span = F.lit(None).cast("int")
-    for s, (i, lo, hi) in enumerate(spans):
-        span = F.when((F.col("i") == str(i)) & _within(F.col("v"), lo, hi), s).otherwise(span)
+    if not goals:
+        return []
+    spans = list(goals)
+    # Spans of two positions may overlap after narrowing, so a row can count for several.
+    marks = F.array_compact(F.array(*[F.when(s.holds(s.value), F.struct(F.lit(n).alias("s"), s.value.alias("v"))) for n, s in enumerate(spans)]))
+    counts = wide.select(F.explode(marks).alias("m")).groupBy("m.s", "m.v").agg(F.count(F.lit(1)).alias("n"))
     listed = F.element_at(
-        F.array(*[F.array(*[F.lit(g) for g in goals[s]]).cast("array<bigint>") for s in range(len(spans))]), F.col("s") + 1
+        F.array(*[F.array(*[F.lit(g) for g in goals[s]]).cast("array<bigint>") for s in spans]), F.col("s") + 1
     )
     upto = F.sum("n").over(Window.partitionBy("s").orderBy("v"))
     hits = (
-        counts.withColumn("s", span).withColumn("upto", upto)
+        counts.withColumn("upto", upto)
         .withColumn("hit", F.filter(listed, lambda g: (g < F.col("upto")) & (g >= F.col("upto") - F.col("n"))))
         .where(F.size("hit") > 0)
         .select("s", "v", "hit")
         .collect()
     )
-    return [(h["s"], g, h["v"]) for h in hits for g in h["hit"]]
+    return [(spans[h["s"]], g, h["v"]) for h in hits for g in h["hit"]]
 
 
 def bucketed(df: DataFrame, cols: Sequence[str], buckets: int | None = None) -> DataFrame:

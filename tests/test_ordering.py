@@ -20,24 +20,31 @@ def skewed(spark):
     return df.repartition(7), pdf.assign(x=pdf.x.where(pdf.id % 50 != 0))
 
 
-@pytest.mark.parametrize("accuracy", [60, 1000, 100_000])
-def test_quantiles_match_numpy_beyond_the_sketch(skewed, accuracy):
+@pytest.mark.parametrize("accuracy,span_rows", [(60, 100_000), (60, 40), (60, 1), (1000, 5), (100_000, 100_000)])
+def test_quantiles_match_numpy_beyond_the_sketch(skewed, monkeypatch, accuracy, span_rows):
     df, pdf = skewed
+    monkeypatch.setattr(ordering, "SPAN_ROWS", span_rows)
     probs = [0.0, 0.01, 0.25, 0.5, 0.777, 0.99, 1.0]
-    got = ordering.quantiles(df, ["x", "y"], probs, accuracy=accuracy, small_rows=0)
+    got = ordering.quantiles(df, ["x", "y"], probs, accuracy=accuracy)
     for c in ("x", "y"):
         assert np.allclose(got[c], np.quantile(pdf[c].dropna(), probs), atol=1e-9)
 
 
-def test_small_tables_take_the_short_path(skewed):
-    df, pdf = skewed
-    assert np.allclose(ordering.quantiles(df, ["x"], [0.3])["x"], [np.quantile(pdf.x.dropna(), 0.3)])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_narrowed_brackets_around_hot_values(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    v = np.concatenate([np.full(3000, 5.0), np.full(2500, 5.5), rng.normal(5.2, 1e-3, 900), 10.0 ** rng.uniform(-300, 300, 600), [-1e308, np.inf]])
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.permutation(v)})).repartition(6)
+    monkeypatch.setattr(ordering, "SPAN_ROWS", 7)
+    want = np.sort(v)
+    places = [0, 1, 299, *rng.integers(0, len(v), 12).tolist(), 3300, 3301, 3310, len(v) - 1]
+    got = ordering.order_statistics(df, {"v": F.col("v")}, {"v": places}, accuracy=100)["v"]
+    assert [got[1][k] for k in places] == [want[k] for k in places]
 
 
 def test_quantiles_of_nothing_and_of_one(spark):
     df = spark.createDataFrame([(None, 4.0)], "a double, b double")
-    for small in (0, 100):
-        assert ordering.quantiles(df, ["a", "b"], [0.5], small_rows=small) == {"a": [None], "b": [4.0]}
+    assert ordering.quantiles(df, ["a", "b"], [0.5]) == {"a": [None], "b": [4.0]}
 
 
 def test_positions(skewed):
