@@ -1,48 +1,95 @@
 """Exact, repeatable splits: rows are ordered by a hash of their key, never by chance.
 
-A cut is an order statistic of the hash inside a class, so applying a split is one
-filter on the row itself and moves no data.
+A cut is an order statistic of the hash inside a class. Cuts of all classes are found together, in a histogram of
+(class, leading bits of the hash) that is refined where a cut falls, so the plan is the same for any number of classes.
+A split is then a comparison of the row's own hash with the cuts of its class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import hash52, quoted, row_key
-from plumbline.operators.ordering import order_statistics
-
-
-def _classes(df: DataFrame, by: str | None) -> list[tuple]:
-    """(value, rows) of every class, or of the whole table."""
+from plumbline.functions.columns import hash52, quoted, row_key, stored
+from plumbline.operators.ordering import skew_lookup
+
+#: The hash has so many bits, and a level of the histogram looks at so many more.
+HASH_BITS, LEVEL_BITS = 52, 13
+#: Rows that may share a class and leading bits before the rest of the bits is looked at at once.
+CELL_ROWS = 100_000
+#: A table of at most so many rows is sent to every task.
+BROADCAST_ROWS = 10_000
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def class_key(by: str | None) -> Column:
+    """A text that is the same for equal values; null is a class of its own."""
+    return F.lit("") if by is None else F.coalesce(F.concat(F.lit("="), quoted(by).cast("string")), F.lit(""))
+
+
+def class_cuts(df: DataFrame, h: Column, by: str | None, places: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """(key, n, cuts): rows of each class, and the hash of the row at each 1-based place of its n rows.
+
+    ``places`` lists the places for a count of rows; -1 stands for the hash at place 0. A class sends one row for each
+    cell it fills, so a hot one sends 2**13 a task at most.
+    """
+    rows = df.select(class_key(by).alias("key"), h.alias("h"))
+    shift = HASH_BITS - LEVEL_BITS
+    inside = Window.partitionBy("key").orderBy("cell")
+    cells = rows.groupBy("key", F.shiftright("h", shift).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cells.withColumn("rows", F.sum("n").over(Window.partitionBy("key"))).withColumn("upto", F.sum("n").over(inside))
+    wants = F.array(*[F.struct(F.lit(j).alias("j"), p.cast("bigint").alias("place")) for j, p in enumerate(places(F.col("rows")))])
+    width = len(places(F.lit(0)))
+    # The class's first cell is kept, hit or not, so one table tells the sizes and the cells to look into.
+    first = F.row_number().over(inside) == 1
+    level = stored(_hit(counted.withColumn("wants", wants).withColumn("first", first), ["rows", "first"], F.col("first")), "cells")
+    sizes, hits = level.where("first").select("key", F.col("rows").alias("n")), level.where(F.size("wants") > 0)
+    while shift:
+        largest, some = hits.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+        finer = 0 if largest <= CELL_ROWS else max(0, shift - LEVEL_BITS)
+        near = _small(hits.select("key", F.col("cell").alias("of"), "wants"), some)
+        held = rows.withColumn("of", F.shiftright("h", shift)).join(near.select("key", "of"), ["key", "of"], "left_semi")
+        cells = held.groupBy("key", "of", F.shiftright("h", finer).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        counted = cells.withColumn("upto", F.sum("n").over(Window.partitionBy("key", "of").orderBy("cell")))
+        hits, shift = _hit(counted.join(near, ["key", "of"]), []), finer
+        if shift:
+            hits = stored(hits, "cells")
+    found = hits.select("key", F.explode("wants").alias("w"), "cell").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("w.j", "cell"))).alias("at"))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.coalesce(F.element_at("at", j), F.lit(-1)))
+    return sizes.join(found, "key", "left").select("key", "n", cuts.alias("cuts"))
+
+
+def _hit(counted: DataFrame, more: Sequence[str], also: Column | None = None) -> DataFrame:
+    """The cells in which a wanted place lies, with the places that remain to be gone within them."""
+    before = F.col("upto") - F.col("n")
+    here = F.filter("wants", lambda w: (w["place"] > before) & (w["place"] <= F.col("upto")))
+    left = F.transform(here, lambda w: F.struct(w["j"].alias("j"), (w["place"] - before).alias("place")))
+    kept = F.size("wants") > 0 if also is None else (F.size("wants") > 0) | also
+    return counted.withColumn("wants", left).where(kept).select("key", "cell", "n", "wants", *more)
+
+
+def _with_cuts(df: DataFrame, h: Column, by: str | None, places, use: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """``df`` with ``name``: ``use`` of the row's hash and the cuts of its class."""
+    cuts = class_cuts(df, h, by, places)
+    few = cuts.limit(BROADCAST_ROWS + 1).collect()
     if by is None:
-        return [(None, df.count())]
-    rows = df.groupBy(quoted(by).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError(f"{by!r} has too many values to stratify by")
-    return [(r["v"], r["n"]) for r in rows]
-
-
-def _matches(by: str | None, v) -> Column:
-    if by is None:
-        return F.lit(True)
-    return quoted(by).isNull() if v is None else quoted(by) == F.lit(v)
-
-
-def _cuts(df: DataFrame, h: Column, by: str | None, places) -> list[tuple]:
-    """(class, hashes of the rows at each 1-based place) for every class; ``places(n)`` lists them."""
-    classes = _classes(df, by)
-    got = order_statistics(
-        df, {str(i): F.when(_matches(by, v), h) for i, (v, _) in enumerate(classes)},
-        positions={str(i): sorted({p - 1 for p in places(n) if 1 <= p <= n}) for i, (_, n) in enumerate(classes)},
-        counts={str(i): n for i, (_, n) in enumerate(classes)},
-    )
-    return [
-        (v, [int(got[str(i)][1][p - 1]) if 1 <= p <= n else None for p in places(n)])
-        for i, (v, n) in enumerate(classes)
-    ]
+        found = F.array(*[F.lit(c) for c in few[0]["cuts"]]) if few else F.array(F.lit(-1))
+        return df.withColumn(name, use(h, found))
+    key = f"{name}__class"
+    kept = [c for c in df.columns if c != name]
+    keyed = df.select(*[quoted(c) for c in kept], class_key(by).alias(key))
+    if len(few) <= BROADCAST_ROWS:
+        table = df.sparkSession.createDataFrame([(r["key"], r["cuts"]) for r in few], f"`{key}` string, `{name}__cuts` array<bigint>")
+        joined = keyed.join(F.broadcast(table), key, "left")
+    else:
+        table = stored(cuts.select(F.col("key").alias(key), "n", F.col("cuts").alias(f"{name}__cuts")), "cuts")
+        joined = skew_lookup(keyed, table.withColumn("total", F.lit(table.agg(F.sum("n")).first()[0])), [key], [f"{name}__cuts"])
+    return joined.select(*[quoted(c) for c in kept], use(h, quoted(f"{name}__cuts")).alias(name))
 
 
 def assign_test(
@@ -51,11 +98,8 @@ def assign_test(
 ) -> DataFrame:
     """Mark the ``round(share * n)`` rows with the smallest hash in every class."""
     h = hash52(row_key(df, id_cols), salt)
-    flag = F.lit(False)
-    for v, (cut,) in _cuts(df, h, stratify, lambda n: [int(share * n + 0.5)]):
-        if cut is not None:
-            flag = F.when(_matches(stratify, v), h <= F.lit(cut)).otherwise(flag)
-    return df.withColumn(name, flag)
+    places = lambda n: [F.floor(F.lit(share) * n + 0.5)]
+    return _with_cuts(df, h, stratify, places, lambda h, cuts: F.coalesce(h <= cuts[0], F.lit(False)), name)
 
 
 def assign_folds(
@@ -64,13 +108,9 @@ def assign_folds(
 ) -> DataFrame:
     """Number k folds of equal size (in every class) in hash order."""
     h = hash52(row_key(df, id_cols), salt)
-    out = F.lit(0)
-    for v, cuts in _cuts(df, h, stratify, lambda n: [n * j // k for j in range(1, k)]):
-        passed = F.lit(0)
-        for cut in cuts:
-            passed = passed + (F.lit(1) if cut is None else (h > F.lit(cut)).cast("int"))
-        out = F.when(_matches(stratify, v), passed).otherwise(out)
-    return df.withColumn(name, out)
+    places = lambda n: [F.floor(n * j / k) for j in range(1, k)] or [F.lit(0)]
+    passed = lambda h, cuts: F.size(F.filter(cuts, lambda c: h > c)) if k > 1 else F.lit(0)
+    return _with_cuts(df, h, stratify, places, passed, name)
 
 
 def split(

@@ -1,11 +1,13 @@
 """Exact order statistics and ranks, with hot values, nulls and tiny sketches."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import association, ordering, ranks
+from plumbline.operators import association, ordering, ranks, split
 from plumbline.operators.split import assign_folds, assign_test
 
 
@@ -129,3 +131,34 @@ def test_copies_of_a_row_stay_on_one_side(spark):
     df = spark.createDataFrame([(i % 20, "x") for i in range(200)], "v int, c string")
     sides = assign_test(df).groupBy("v").agg(F.count_distinct("is_test").alias("n")).collect()
     assert all(r["n"] == 1 for r in sides)
+
+
+@pytest.mark.parametrize("cell_rows,broadcast_rows,bits", [(100_000, 10_000, 13), (3, 10_000, 13), (2, 50, 5)])
+def test_splits_of_any_number_of_classes(spark, monkeypatch, cell_rows, broadcast_rows, bits):
+    monkeypatch.setattr(split, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(split, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(split, "LEVEL_BITS", bits)
+    rng = np.random.default_rng(2)
+    kinds = [None, "hot", *[f"c{i}" for i in range(3000)]]
+    pdf = pd.DataFrame({"id": range(9000), "c": [kinds[int(k)] for k in np.where(rng.random(9000) < 0.35, rng.integers(0, 2, 9000), rng.integers(0, 3002, 9000))]})
+    pdf["h"] = [int(hashlib.md5(f"split{i}".encode()).hexdigest()[:13], 16) for i in pdf.id]
+    pdf["f"] = [int(hashlib.md5(f"fold{i}".encode()).hexdigest()[:13], 16) for i in pdf.id]
+    df = spark.createDataFrame(pdf[["id", "c"]]).repartition(5)
+    groups = pdf.c.fillna("none")
+    n = groups.map(groups.value_counts())
+    want = dict(zip(pdf.id, pdf.groupby(groups).h.rank() <= np.floor(0.2 * n + 0.5)))
+    assert {r["id"]: r["is_test"] for r in assign_test(df, ["id"], stratify="c").collect()} == want
+    place = pdf.groupby(groups).f.rank()
+    folds = sum((place > np.floor(n * j / 4)).astype(int) for j in range(1, 4))
+    got = assign_folds(df.withColumn("fold", F.lit("old")), ["id"], k=4, stratify="c")
+    assert got.columns == ["id", "c", "fold"] and {r["id"]: r["fold"] for r in got.collect()} == dict(zip(pdf.id, folds))
+
+
+def test_splits_of_nothing_and_without_classes(spark):
+    empty = spark.createDataFrame([], "id bigint, c string")
+    for by in (None, "c"):
+        assert assign_test(empty, ["id"], stratify=by).count() == assign_folds(empty, ["id"], stratify=by).count() == 0
+    df = spark.range(103).selectExpr("id", "CAST(NULL AS STRING) AS c")
+    for by in (None, "c"):
+        assert assign_test(df, ["id"], stratify=by).where("is_test").count() == 21
+        assert sorted(r["count"] for r in assign_folds(df, ["id"], stratify=by).groupBy("fold").count().collect()) == [20, 20, 21, 21, 21]
