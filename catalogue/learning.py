@@ -239,6 +239,21 @@ def _(spark, sf):
     return metrics.ranking(attribution.sampled_importance(attribution.sampled(score, df, cols, "p_partkey")))
 
 
+@query("attribution_sampled_adds_up", "SELECT count(*) AS rows, CAST(0 AS DOUBLE) AS gap FROM {part}")
+def _(spark, sf):
+    """Attributions plus the mean score of the background rows equal the score of every row."""
+    cols = ["size", "price", "noise"]
+    df = parts(spark, sf)
+    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", df.count(), 2, 1.0, False, 42)).fit(df)
+
+    def score(t):
+        return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])
+
+    totals = attribution.walked(score, df, cols, "p_partkey").groupBy("key").agg(F.sum("phi").alias("total"))
+    both = score(df.select(*cols, "p_partkey")).join(totals, F.col("p_partkey") == F.col("key"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("total") - F.col("score"))), 6).alias("gap"))
+
+
 @query("train_classification")
 def _(spark, sf):
     df = run_sql(spark, sf, "SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price, CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 'yes' ELSE 'no' END AS cheap FROM {part}")

@@ -6,17 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import factorial
 from typing import Any
-from zlib import crc32
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import quoted, scratch
+from plumbline.operators.ordering import numbered
 
-#: Walks of one task.
-WALKS = 20_000
+#: The column that carries a step's place through the scoring.
+WALK = "walk__step"
 
 
 def linear(df: DataFrame, cols: Sequence[str], weights: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
@@ -172,64 +172,66 @@ def tree_importance(model: Any, df: DataFrame, cols: Sequence[str]) -> DataFrame
     return means.select(F.inline(rows))
 
 
-def sampled(
+def walked(
     score: Any, df: DataFrame, cols: Sequence[str], key: str, *, rows: int | None = None, background: int | None = None,
     orders: int = 20, seed: int = 42,
 ) -> DataFrame:
-    """(key, feature, phi) for the rows of any model: all of them, or a sample of ``rows`` on request.
+    """(key, output, feature, phi) as ``sampled``, with a row more for each key: feature null, the mean score of its background rows.
 
-    ``score(table)`` adds a ``score`` column to a table of feature columns. Every row is
-    walked ``orders`` times from a background row to itself, one feature at a time in a random order; the
-    steps are scored by Spark and averaged, so they add up to score minus mean score. A background row is
-    drawn for each walk from all rows, or from a sample of ``background`` of them on request.
+    A walk's order of features is that of their hashes with key and walk. A step is the row whose features so far have been
+    changed; its score counts for the feature changed last and against the one changed next, so steps are
+    summed by key without meeting in order.
     """
     names = list(cols)
-    key_type = dict(df.dtypes)[key]
+    d = len(names)
     held = df.select(quoted(key).alias("key"), F.array(*[quoted(c).cast("double") for c in names]).alias("values"))
 
-    def by_hash(s: int, most: int | None) -> DataFrame:
-        ordered = held.orderBy(F.xxhash64("key", F.lit(s)), "key")
-        return ordered if most is None else ordered.limit(most)
+    def by_hash(s: int, most: int) -> DataFrame:
+        return held.orderBy(F.xxhash64("key", F.lit(s)), "key").limit(most)
 
     # Background rows are numbered in hash order, and walks meet theirs by number.
-    numbered = by_hash(seed + 1, background).select("values").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    base = df.sparkSession.createDataFrame(numbered, "place bigint, start array<double>")
+    drawn = held if background is None else by_hash(seed + 1, background)
+    base = numbered(drawn, [F.xxhash64("key", F.lit(seed + 1)), F.col("key")], "place").select("place", F.col("values").alias("start"))
+    met = max(1, base.count())
     picked = held if rows is None else by_hash(seed, rows)
-    walked, met = picked.count(), base.count()
-    draws = picked.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("place", F.pmod(F.xxhash64("key", "walk", F.lit(seed)), F.lit(max(1, met))))
-    drawn = draws.join(base, "place").select("key", "walk", F.col("values").alias("features"), "start")
+    draws = picked.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("place", F.pmod(F.xxhash64("key", "walk", F.lit(seed)), F.lit(met)))
+    ranked = F.array_sort(F.array(*[F.struct(F.xxhash64("key", "walk", F.lit(seed + 2), F.lit(j)).alias("at"), F.lit(j).alias("j")) for j in range(d)]))
+    walks = draws.join(base, "place").withColumn("turn", ranked["j"])
+    place = [F.array_position("turn", j) for j in range(d)]
+    steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    now = [F.when(place[j] <= F.col("step"), F.col("values")[j]).otherwise(F.col("start")[j]).alias(c) for j, c in enumerate(names)]
+    fields = F.struct(F.col("key").alias("key"), F.col("step").alias("step"), F.col("turn").alias("turn")).alias(WALK)
+    scored = score(steps.select(fields, *now))
+    several = dict(scored.dtypes)["score"].startswith("array")
+    by_output = F.posexplode("score") if several else F.inline(F.array(F.struct(F.lit(0).alias("pos"), F.col("score").cast("double").alias("col"))))
+    each = scored.select(F.col(WALK), by_output)
+    step, turn = F.col(f"{WALK}.step"), F.col(f"{WALK}.turn")
+    last = F.when(step > 0, F.element_at(turn, F.greatest(step, F.lit(1)))).otherwise(-1)
+    after = F.element_at(turn, F.least(step + 1, F.lit(d)))
+    parts = F.array_compact(F.array(F.struct(last.alias("j"), F.col("col").alias("s")), F.when(step < d, F.struct(after.alias("j"), (-F.col("col")).alias("s")))))
+    sums = each.select(F.col(f"{WALK}.key").alias("key"), F.col("pos").alias("output"), F.inline(parts)).groupBy("key", "output", "j").agg((F.sum("s") / orders).alias("phi"))
+    listed = F.array(*[F.lit(c) for c in names])
+    return sums.select("key", "output", F.when(F.col("j") >= 0, F.element_at(listed, F.greatest(F.col("j") + 1, F.lit(1)))).alias("feature"), "phi")
 
-    def walk(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            for rec in pdf.itertuples(index=False):
-                z, x = np.array(rec.start, dtype=float), np.array(rec.features, dtype=float)
-                turn = np.random.default_rng([seed, crc32(repr(rec.key).encode()), rec.walk]).permutation(len(names))
-                steps = [z.copy()]
-                for j in turn:
-                    z[j] = x[j]
-                    steps.append(z.copy())
-                out = pd.DataFrame(np.array(steps), columns=names)
-                out.insert(0, "changed", [-1, *turn.tolist()])
-                out.insert(0, "step", range(len(steps)))
-                out.insert(0, "walk", rec.walk)
-                out.insert(0, "key", rec.key)
-                yield out
-
-    fields = ", ".join(f"`{c}` double" for c in names)
-    steps = drawn.repartition(max(8, -(-walked * orders // WALKS)), "key", "walk").mapInPandas(walk, f"key {key_type}, walk int, step int, changed int, {fields}")
-    scored = score(steps).select("key", "walk", "step", "changed", F.col("score").cast("double").alias("score"))
-    # One walk is as many rows as there are features, plus one.
-    w = Window.partitionBy("key", "walk").orderBy("step")
-    moved = scored.withColumn("phi", F.col("score") - F.lag("score").over(w)).where("step > 0")
-    listed = F.array(*[F.lit(c) for c in names])
-    return moved.groupBy("key", F.element_at(listed, F.col("changed") + 1).alias("feature")).agg(
-        F.avg("phi").alias("phi")
-    )
+def sampled(
+    score: Any, df: DataFrame, cols: Sequence[str], key: str, *, rows: int | None = None, background: int | None = None,
+    orders: int = 20, seed: int = 42,
+) -> DataFrame:
+    """(key, feature, phi) for the rows of any model: all of them, or a sample of ``rows`` on request.
+
+    ``score(table)`` adds a ``score`` column to a table of feature columns, and keeps its other columns; where the score is an array of
+    numbers, ``output`` tells them apart. Every row is walked ``orders`` times from a background row to itself, one
+    feature at a time in a random order; the steps are scored by Spark and averaged, so they add up to the score minus the mean
+    score of the background rows met. A background row is drawn for each walk from all rows, or
+    from a sample of ``background`` of them on request.
+    """
+    found = walked(score, df, cols, key, rows=rows, background=background, orders=orders, seed=seed).where("feature is not null")
+    return found.select("key", "output", "feature", "phi")
 
 
 def sampled_importance(phi: DataFrame) -> DataFrame:
+    """Mean absolute attribution, over all outputs alike."""
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from plumbline.config import Thresholds
 from plumbline.functions.columns import materialise, quoted, sql_text
-from plumbline.operators.ordering import skew_lookup
+from plumbline.operators.ordering import numbered, skew_lookup
 
 LIMITS = Thresholds()
-MAX_LABELS = 10_000
+MAX_CLASSES = 10_000
 # A lookup of at most this many rows is broadcast; a larger one is joined by key.
 BROADCAST_ROWS = 100_000
 
@@ -31,17 +31,33 @@ class Labels:
 
 
 def label_codes(df: DataFrame, target: str) -> Labels:
+    """The class names of a model, which keeps weights for each class; ``label_table`` has no such bound."""
     rows = (
         df.select(quoted(target).cast("string").alias("v")).where("v is not null").distinct()
-        .limit(MAX_LABELS + 1).collect()
+        .limit(MAX_CLASSES + 1).collect()
     )
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"{target!r} has more than {MAX_LABELS} different labels")
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES} classes to learn")
     return Labels(sorted(r["v"] for r in rows))
 
 
+def label_table(df: DataFrame, target: str) -> DataFrame:
+    """(label, code, n): codes from 0 on in the order of the labels' texts, for any number of labels."""
+    counts = value_counts(df, target).withColumnRenamed("value", "label")
+    return numbered(counts, [F.col("label")], "code")
+
+
 def label_encode(df: DataFrame, target: str) -> DataFrame:
-    return df.withColumn(target, label_codes(df, target).column(target).cast("bigint"))
+    """The target's codes in place of its labels; null stays null. Labels with many rows are spread over tasks."""
+    key, code = f"{target}__label", f"{target}__code"
+    table = label_table(df, target).select(F.col("label").alias(key), "n", F.col("code").alias(code))
+    labels, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keyed = df.withColumn(key, quoted(target).cast("string"))
+    if labels <= BROADCAST_ROWS:
+        found = keyed.join(F.broadcast(table.drop("n")), key, "left")
+    else:
+        found = skew_lookup(keyed, table.withColumn("total", F.lit(total)), [key], [code])
+    return found.select(*[quoted(code).cast("bigint").alias(c) if c == target else quoted(c) for c in df.columns])
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

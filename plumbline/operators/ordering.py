@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import MEASURES, quoted
+from plumbline.functions.columns import MEASURES, quoted, stored
 
 ACCURACY = 10_000
 # Values are cut into buckets of about this many rows, up to what the sketch resolves.
@@ -366,6 +366,24 @@ def ranked(long: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the place of each row from 0 on, in the given order.
+
+    Rows are dealt by range and written once; a row's place is the number of rows in earlier ranges, one number a range,
+    and its place in its own.
+    """
+    keys = [c.alias(f"{name}__{i}") for i, c in enumerate(order)]
+    names = [f"{name}__{i}" for i in range(len(keys))]
+    parts = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select("*", *keys).repartitionByRange(parts, *names).sortWithinPartitions(*names).drop(*names)
+    # The lower 33 bits of this id count the rows of a partition.
+    held = stored(dealt.withColumn(f"{name}__part", F.spark_partition_id()).withColumn(name, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(f"{name}__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each range, so it is small at any size of the table.
+    starts = held.groupBy(f"{name}__part").agg(F.count(F.lit(1)).alias("n")).select(f"{name}__part", before.alias(f"{name}__before"))
+    return held.join(F.broadcast(starts), f"{name}__part").select(*[quoted(c) for c in df.columns], (F.col(f"{name}__before") + F.col(name)).alias(name))
+
+
 def skew_lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Left-join a keyed table that also carries ``n`` (rows per key) and ``total``.
 

@@ -258,7 +258,8 @@ def _kernel_importance(model: PipelineModel, scored: DataFrame, cols: list[str],
         out = model.transform(table)
         if found.problem == "regression" or "rawPrediction" not in out.columns:
             return out.withColumn("score", F.col("prediction"))
-        return out.withColumn("score", vector_to_array("rawPrediction")[1])
+        margins = vector_to_array("rawPrediction")
+        return out.withColumn("score", margins[1] if found.classes == 2 else margins)
 
     # The key is generated, so fix it before two samples are drawn from the table.
     return attribution.sampled_importance(attribution.sampled(score, materialise(keyed), cols, "__key"))

@@ -238,6 +238,29 @@ def test_sampled_attribution_walks_all_rows_unless_asked(spark):
     assert attribution.sampled(score, df, ["a", "b"], "id", rows=30, background=10, orders=2).select("key").distinct().count() == 30
 
 
+def test_walks_add_up_for_every_output_and_key(spark):
+    df = spark.range(40).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "id * id AS c")
+    score = lambda t: t.withColumn("score", F.array(F.col("a") * F.col("b"), F.col("c") - F.col("a"), F.lit(2.0)))
+    found = attribution.walked(score, df, ["a", "b", "c"], "id", orders=7).collect()
+    want = {r["id"]: r["score"] for r in score(df).collect()}
+    for i in range(40):
+        for o in range(3):
+            own = [r for r in found if (r["key"], r["output"]) == (i, o)]
+            assert {r["feature"] for r in own} == {"a", "b", "c", None} and len(own) == 4
+            assert sum(r["phi"] for r in own) == pytest.approx(want[i][o])
+    assert attribution.sampled(score, df.limit(0), ["a", "b", "c"], "id").count() == 0
+
+
+def test_labels_of_any_number_get_codes_in_their_order(spark, monkeypatch):
+    df = spark.range(9000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', pmod(xxhash64(id), 4000)) END AS t")
+    rows = {r["id"]: r["t"] for r in df.collect()}
+    code = {n: i for i, n in enumerate(sorted({t for t in rows.values() if t is not None}))}
+    assert len(code) > 2000
+    for most in (100_000, 10):
+        monkeypatch.setattr(encode, "BROADCAST_ROWS", most)
+        assert {r["id"]: r["t"] for r in encode.label_encode(df, "t").collect()} == {i: code.get(t) for i, t in rows.items()}
+
+
 def test_pruning_waits_for_five_trials():
     done = [[0.8, 0.8, 0.8]] * 5
     assert not search.behind([0.1], done[:4])
