@@ -22,6 +22,7 @@ from plumbline.functions.columns import (
     type_families,
     union_all,
 )
+from plumbline.operators import drops
 from plumbline.operators.ordering import quantiles
 
 LIMITS = Thresholds()
@@ -82,16 +83,14 @@ def hash_sample(df: DataFrame, id_cols: Sequence[str], size: int, salt: str = "s
     return df.where(hash52(row_key(df, id_cols), salt) < F.lit(cut))
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows; nulls compare equal."""
-    return (
-        df.groupBy(*[quoted(c) for c in df.columns])
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-        )
-    )
+def duplicate_rows(df: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """(rows, duplicates): rows beyond the first of each group of equal rows; nulls compare equal.
+
+    Digests are counted first, and whole rows are compared only where digests are equal.
+    """
+    repeated = drops.repeated_digests(df) if repeated is None else repeated
+    groups = drops.sharing(df, repeated).groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.lit(df.count()).cast("bigint").alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def missing_shares(df: DataFrame, cols: Sequence[str] | None = None, limits: Thresholds = LIMITS) -> DataFrame:

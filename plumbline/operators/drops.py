@@ -5,17 +5,52 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import is_numeric, quoted
+from plumbline.functions.columns import is_float, is_numeric, quoted, stored
 
 
-def drop_duplicates(df: DataFrame, id_cols: Sequence[str] = ()) -> DataFrame:
-    """Keep one of each group of equal rows; with ids, the row with the smallest id."""
+#: So many repeated digests are sent to every task; more are joined by digest.
+BROADCAST_ROWS = 100_000
+
+
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two hashes of 64 bits of the whole row, equal for equal rows; a null is hashed as a sign of its own."""
+    parts = []
+    for f in df.schema:
+        c = quoted(f.name)
+        parts += [c.isNull(), c + F.lit(0.0) if is_float(f.dataType) else c]
+    return [F.xxhash64(F.lit(salt), *parts).alias(f"row__{salt}") for salt in ("a", "b")]
+
+
+def repeated_digests(df: DataFrame) -> DataFrame:
+    """(row__a, row__b, n): digests of several rows, by one shuffle of 24 bytes a row."""
+    counts = df.select(*row_digest(df)).groupBy("row__a", "row__b").agg(F.count(F.lit(1)).alias("n"))
+    return stored(counts.where("n > 1"), "repeated")
+
+
+def sharing(df: DataFrame, repeated: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose digest is (``left_anti``: is not) one of those repeated."""
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = repeated.select("row__a", "row__b")
+    joined = df.select("*", *row_digest(df)).join(F.broadcast(keys) if few else keys, ["row__a", "row__b"], how)
+    return joined.drop("row__a", "row__b")
+
+
+def drop_duplicates(df: DataFrame, id_cols: Sequence[str] = (), repeated: DataFrame | None = None) -> DataFrame:
+    """Keep one of each group of equal rows; with ids, the row with the smallest id.
+
+    Whole rows are compared only where their digests are equal; the others stay where they are. Where too many
+    digests repeat to be sent to every task, whole rows are shuffled once instead. ``repeated`` saves the count of
+    digests when it was made before.
+    """
     values = [c for c in df.columns if c not in id_cols]
     if not id_cols:
-        return df.dropDuplicates()
+        repeated = repeated_digests(df) if repeated is None else repeated
+        if repeated.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            return df.dropDuplicates()
+        return sharing(df, repeated, "left_anti").unionByName(sharing(df, repeated).dropDuplicates())
     first = F.min(F.struct(*[quoted(c) for c in id_cols])).alias("__id")
     return df.groupBy(*[quoted(c) for c in values]).agg(first).select(
         *[F.col("__id")[c].alias(c) if c in id_cols else quoted(c) for c in df.columns]

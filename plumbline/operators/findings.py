@@ -95,8 +95,9 @@ def run_audit(
     sample: bool = False,
     normalise_mi: str = "target_entropy",
     limits: Thresholds = LIMITS,
+    duplicates: int | None = None,
 ) -> Audit:
-    """Profile a table. Association runs on all rows unless ``sample`` asks for the bounded sample."""
+    """Profile a table; ``duplicates`` saves counting them where that was done. Association runs on all rows unless ``sample`` asks for the bounded sample."""
     if target is not None and target not in df.columns:
         raise ValueError(f"target column {target!r} is not in the table")
     features = [c for c in df.columns if c != target]
@@ -188,7 +189,7 @@ def run_audit(
     )
     return Audit(
         rows=n, columns=len(df.columns), size_class=_size_class(n, limits),
-        duplicates=audit.duplicate_rows(df).first()["duplicates"],
+        duplicates=audit.duplicate_rows(df).first()["duplicates"] if duplicates is None else duplicates,
         target=target, target_type=target_type, target_distinct=target_distinct,
         class_shares=shares, imbalance_ratio=ratio, imbalance_severity=severity,
         types=types, missing=missing, stats=stats, quasi_constant=quasi, id_like=ids,

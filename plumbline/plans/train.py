@@ -90,9 +90,10 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
             out = drops.with_target(out, target)
         if out.isEmpty():
             raise ValueError("the table has no rows to learn from")
-        copies = auditing.duplicate_rows(out).first()["duplicates"]
+        repeated = drops.repeated_digests(out)
+        copies = auditing.duplicate_rows(out, repeated).first()["duplicates"]
         if copies:
-            out = materialise(drops.drop_duplicates(out))
+            out = materialise(drops.drop_duplicates(out, repeated=repeated))
         return out
 
     table = steps.run("load", load)
@@ -103,10 +104,9 @@ def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
     parts = steps.run("split", lambda: _split(table, found, settings))
     fit_on = parts[0]
     profile: Audit = steps.run(
-        "audit", lambda: run_audit(fit_on, target, drop=settings.drop, id_cols=settings.id_cols, limits=settings.thresholds)
+        # The report counts the copies of the raw table, which are gone from the training rows.
+        "audit", lambda: run_audit(fit_on, target, drop=settings.drop, id_cols=settings.id_cols, limits=settings.thresholds, duplicates=copies)
     )
-    # The report counts the copies of the raw table, which are gone from the training rows.
-    profile.duplicates = copies
     plan, matrix = steps.run("prepare", lambda: prepare(fit_on, profile, found, settings))
     matrix = materialise(matrix)
     chosen: Selection = steps.run(

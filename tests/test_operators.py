@@ -22,6 +22,18 @@ def test_nan_counts_as_missing(spark):
     assert (row["n"], row["mean"], row["median"], row["max"]) == (2, 2.0, 2.0, 3.0)
 
 
+def test_duplicates_by_digest_compare_whole_rows(spark, monkeypatch):
+    rows = [(None, "a", 0.0), ("a", None, -0.0), ("a", None, 0.0), (None, "a", float("nan")), (None, "a", float("nan")), ("b", "c", 1.0), (None, None, None)]
+    df = spark.createDataFrame(rows * 2 + [("d", "e", 2.0)], "x string, y string, z double")
+    for most in (100_000, 1):
+        monkeypatch.setattr(drops, "BROADCAST_ROWS", most)
+        assert tuple(audit.duplicate_rows(df).first()) == (15, 9)
+        assert sorted(map(str, drops.drop_duplicates(df).collect())) == sorted(map(str, df.distinct().collect()))
+    # Strangers under one digest are not taken for copies.
+    monkeypatch.setattr(drops, "row_digest", lambda df: [F.lit(1).alias("row__a"), F.lit(2).alias("row__b")])
+    assert audit.duplicate_rows(df).first()["duplicates"] == 9 and drops.drop_duplicates(df).count() == 6
+
+
 def test_duplicates_treat_nulls_as_equal(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, None), (2, "x")], "a int, b string")
     assert audit.duplicate_rows(df).first()["duplicates"] == 1

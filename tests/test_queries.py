@@ -47,3 +47,17 @@ def test_queries_run_the_whole_operator():
 
     assert not re.search(r"\b(trees|max_iter|restarts)=", inspect.getsource(learning) + inspect.getsource(clustering))
     assert all(inspect.signature(f).parameters["restarts"].default == 10 for f in (cluster.fit_kmeans, cluster.kmeans_sweep, cluster.discover))
+
+
+def test_without_the_text_operators_the_rest_runs(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda d, names: [n for n in names if n in (".git", "__pycache__", "llm", "corpus_pipeline.py")])
+    code = "import __spark_entry__ as e; from plumbline.plans.session import local_session as s; q = e.queries(); print(len(q), len(e.oracle_sql()), not any(n.startswith('op') or n == 'pipeline' for n in q)); print(q['audit_duplicates'](s(2), '" + SF + "').count())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split("\n")[0].endswith("True") and done.stdout.split("\n")[1] == "1", done.stderr[-2000:]
