@@ -12,31 +12,44 @@ from plumbline.operators.association import spearman
 from plumbline.operators.ordering import bucketed, cumulate
 
 
+#: A grid is drawn for at most so many labels; of more, the cells that are not empty.
+GRID_LABELS = 500
+
+
+def cells(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(actual, predicted, n) for the pairs that occur, of rows with both; there may be any number of labels."""
+    both = df.select(quoted(label).alias("actual"), quoted(prediction).alias("predicted")).where("actual is not null and predicted is not null")
+    return both.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(actual, predicted, n) over the full grid of labels seen on either side."""
-    counts = df.groupBy(quoted(label).alias("actual"), quoted(prediction).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # The grid is built from the set of labels, which a classifier keeps small.
-    labels = counts.agg(
-        F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("l")
-    )
-    grid = labels.select(F.explode("l").alias("actual"), F.col("l").alias("all")).select(
-        "actual", F.explode("all").alias("predicted")
-    )
-    return grid.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).alias("n")
-    )
+    return grid(cells(df, label, prediction))
+
+
+def grid(counts: DataFrame) -> DataFrame:
+    """The cells of a plot with their zeros, as long as there are few enough labels to draw."""
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
+    some = [r["label"] for r in labels.limit(GRID_LABELS + 1).collect()]
+    if len(some) > GRID_LABELS:
+        return counts
+    every = F.array(*[F.lit(x) for x in sorted(some)]) if some else F.array().cast(f"array<{dict(counts.dtypes)['actual']}>")
+    one = counts.sparkSession.range(1).select(F.explode(every).alias("actual")).select("actual", F.explode(every).alias("predicted"))
+    return one.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def class_report(matrix: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per class; 0 where a ratio has no base."""
+    """Precision, recall, F1 and support per class, from cells or from a grid; 0 where a ratio has no base.
+
+    Both sides are summed by class and met by a full outer join, so the work follows the cells that occur.
+    """
     hits = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     rows = matrix.groupBy(F.col("actual").alias("class")).agg(F.sum("n").alias("support"), F.sum(hits).alias("hits"))
     cols = matrix.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("predicted"))
+    both = rows.join(cols, "class", "full").na.fill(0, ["support", "hits", "predicted"])
     p = F.when(F.col("predicted") > 0, F.col("hits") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("hits") / F.col("support")).otherwise(0.0)
-    return rows.join(cols, "class").select(
+    return both.select(
         "class", p.alias("precision"), r.alias("recall"),
         F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), "support", "hits",
     )
@@ -54,9 +67,8 @@ def averages(report: DataFrame) -> DataFrame:
 
 def confusion_insights(matrix: DataFrame, imbalanced: bool = False) -> DataFrame:
     """(finding, subject, value): worst class, false alarms and threshold advice."""
-    miss = F.when(F.col("actual") != F.col("predicted"), F.col("n")).otherwise(0)
-    rows = matrix.groupBy("actual").agg(F.sum(miss).alias("missed"), F.sum("n").alias("total"))
-    rows = rows.withColumn("rate", F.when(F.col("total") > 0, F.col("missed") / F.col("total")).otherwise(0.0))
+    missed = F.when(F.col("support") > 0, (F.col("support") - F.col("hits")) / F.col("support")).otherwise(0.0)
+    rows = class_report(matrix).select(F.col("class").alias("actual"), missed.alias("rate"))
     worst = rows.agg(
         F.min_by(F.struct("actual", "rate"), F.struct(-F.col("rate"), F.col("actual"))).alias("w"),
         F.count(F.lit(1)).alias("classes"),

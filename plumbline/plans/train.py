@@ -205,7 +205,7 @@ def _evaluate_classes(scored: DataFrame, plan, chosen: Selection, profile: Audit
         F.element_at(names, F.col("label").cast("int") + 1).alias("label"),
         F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"),
     )
-    matrix = materialise(metrics.confusion(named))
+    matrix = materialise(metrics.cells(named))
     report = metrics.class_report(matrix)
     row = metrics.averages(report).first().asDict()
     numbers: dict[str, float | None] = {k: float(v) for k, v in row.items()}
@@ -219,7 +219,7 @@ def _evaluate_classes(scored: DataFrame, plan, chosen: Selection, profile: Audit
             each = metrics.roc_auc_per_class(wide, "label", {float(i): f"p{i}" for i in range(len(labels))})
             numbers["roc_auc"] = metrics.weighted_auc(each).first()["roc_auc_weighted"]
     return numbers, {
-        "confusion": matrix, "class_report": report,
+        "confusion": metrics.grid(matrix), "class_report": report,
         "insights": metrics.confusion_insights(matrix, profile.imbalanced),
     }
 

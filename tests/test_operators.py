@@ -312,6 +312,21 @@ def test_auc_without_both_classes_is_null(spark):
     assert metrics.roc_auc(tied, "p", "s").first()["roc_auc"] == 0.5
 
 
+def test_reports_of_any_number_of_labels(spark):
+    df = spark.range(60_000).selectExpr("concat('k', id % 20000) AS label", "CASE WHEN id % 4 = 0 THEN concat('k', id % 30000) WHEN id % 91 = 0 THEN NULL ELSE concat('k', id % 20000) END AS prediction")
+    pdf = df.toPandas().dropna()
+    found = {r["class"]: r for r in metrics.class_report(metrics.cells(df)).collect()}
+    support, predicted = pdf.label.value_counts(), pdf.prediction.value_counts()
+    hits = pdf[pdf.label == pdf.prediction].label.value_counts()
+    assert set(found) == set(support.index) | set(predicted.index) and len(found) > 22_000
+    for c in [*list(found)[::501], "k20000", "k0"]:
+        r, h = found[c], hits.get(c, 0)
+        assert r["support"] == support.get(c, 0) and r["precision"] == pytest.approx(h / predicted[c] if c in predicted else 0) and r["recall"] == pytest.approx(h / support[c] if c in support else 0)
+    assert metrics.confusion(df).count() == metrics.cells(df).count()
+    small = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "b"), (None, "a")], "label string, prediction string")
+    assert sorted(map(tuple, metrics.confusion(small).collect())) == [(x, y, int((x, y) in {("a", "b"), ("a", "c"), ("b", "b")})) for x in "abc" for y in "abc"]
+
+
 def test_perfect_fit_and_adjustment(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)], "y double, p double")
     row = metrics.regression_scores(df, "y", "p", 2).first()
