@@ -157,7 +157,16 @@ d AS (SELECT i.c_custkey AS k, i.cluster AS own, j.cluster AS other, sum(power(i
 s AS (SELECT k, max(CASE WHEN own = other THEN t / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b, max(CASE WHEN own = other THEN n END) AS size FROM d GROUP BY k)
 SELECT round(avg(CASE WHEN size <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
 def _(spark, sf):
-    return rounded(cluster_metrics.silhouette(run_sql(spark, sf, CLUSTERED), ["bal", "nation"]))
+    return rounded(cluster_metrics.silhouette_squared(run_sql(spark, sf, CLUSTERED), ["bal", "nation"]))
+
+
+@query("silhouette_euclidean", f"""WITH x AS ({CLUSTERED}),
+p AS (SELECT * FROM x ORDER BY CAST('0x' || substr(md5('silhouette' || c_custkey), 1, 13) AS BIGINT) LIMIT 1000),
+d AS (SELECT i.c_custkey AS k, i.cluster AS own, j.cluster AS other, sum(sqrt(power(i.bal - j.bal, 2) + power(i.nation - j.nation, 2))) AS t, count(*) AS n FROM p i, x j GROUP BY 1, 2, 3),
+s AS (SELECT k, max(CASE WHEN own = other THEN t / greatest(n - 1, 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b, max(CASE WHEN own = other THEN n END) AS size FROM d GROUP BY k)
+SELECT round(avg(CASE WHEN size <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
+def _(spark, sf):
+    return rounded(cluster_metrics.silhouette(run_sql(spark, sf, CLUSTERED), ["bal", "nation"], ["c_custkey"]))
 
 
 @query("pca_points")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import compact, quoted
-from plumbline.operators.cluster_metrics import cluster_count, silhouette
+from plumbline.operators.cluster_metrics import cluster_count, silhouette_squared
 from plumbline.operators.neighbours import DensityScan, density_radius, distances, matrix
 
 MICRO_CLUSTERS = 300
@@ -46,7 +46,7 @@ def kmeans_sweep(
     rows, models = [], {}
     for k in ks:
         m = fit_kmeans(data, k, seed, restarts)
-        s = silhouette(m.transform(data), cols).first()["silhouette"]
+        s = silhouette_squared(m.transform(data), cols).first()["silhouette"]
         rows.append((k, float(m.summary.trainingCost), s))
         models[k] = m
     data.unpersist()
@@ -190,7 +190,7 @@ def discover(
     data = assemble(df, cols)
     model = models.get(choice) or fit_kmeans(data, choice, seed, restarts)
     base = model.transform(data).drop("features")
-    tried = [(0, f"kmeans k={choice}", "kmeans", silhouette(base, cols).first()["silhouette"], base, model)]
+    tried = [(0, f"kmeans k={choice}", "kmeans", silhouette_squared(base, cols).first()["silhouette"], base, model)]
     if density:
         eps = density_radius(df, cols)
         if eps and eps > 0:
@@ -198,11 +198,11 @@ def discover(
             for m in (3, 5, 10):
                 labelled = scan.clusters(m, keep=keep)
                 if cluster_count(labelled).first()["clusters"] > 1:
-                    tried.append((len(tried), f"density eps={eps:.2f} min={m}", "density", silhouette(labelled, cols).first()["silhouette"], labelled, None))
+                    tried.append((len(tried), f"density eps={eps:.2f} min={m}", "density", silhouette_squared(labelled, cols).first()["silhouette"], labelled, None))
     for linkage in ("ward", "complete", "average"):
         h = hierarchical(df, cols, choice, linkage, seed)
         labelled = h.transform(df)
-        tried.append((len(tried), f"hierarchical {linkage}", "hierarchical", silhouette(labelled, cols).first()["silhouette"], labelled, h))
+        tried.append((len(tried), f"hierarchical {linkage}", "hierarchical", silhouette_squared(labelled, cols).first()["silhouette"], labelled, h))
     table = df.sparkSession.createDataFrame([t[:4] for t in tried], "step int, name string, kind string, silhouette double")
     won = tried[best_by_silhouette(table).first()["step"]]
     return Clustering(won[1], won[2], won[3], won[4], won[5], curve, table)

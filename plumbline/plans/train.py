@@ -274,7 +274,8 @@ def _finish_clustering(spark, steps, settings, profile, found, plan, chosen, mat
         labelled = materialise(won.labelled)
         count = cluster_metrics.cluster_count(labelled).first()
         numbers = {
-            "clusters": float(count["clusters"]), "noise": float(count["noise"]), "silhouette": won.silhouette,
+            "clusters": float(count["clusters"]), "noise": float(count["noise"]), "silhouette": cluster_metrics.silhouette(labelled, cols).first()["silhouette"],
+            "silhouette_squared": won.silhouette,
             "davies_bouldin": cluster_metrics.davies_bouldin(labelled, cols).first()["davies_bouldin"] if count["clusters"] > 1 else None,
         }
         points, shown = cluster_metrics.pca_points(labelled, cols, ["cluster"])

@@ -1,5 +1,7 @@
 """Neighbours, density clusters and oversampling against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,26 @@ def test_linkage_finds_separate_groups(cloud, linkage):
 def test_single_cluster_has_no_silhouette(spark):
     df = spark.createDataFrame([(1.0, 0), (2.0, 0)], "a double, cluster int")
     assert cluster_metrics.silhouette(df, ["a"]).first()["silhouette"] is None
+    assert cluster_metrics.silhouette_squared(df, ["a"]).first()["silhouette"] is None
+
+
+@pytest.mark.parametrize("rows,tile,held", [(10_000, 1000, 2_000_000), (50, 7, 60)])
+def test_euclidean_silhouette_beside_all_pairs(spark, monkeypatch, rows, tile, held):
+    monkeypatch.setattr(cluster_metrics, "TILE_ROWS", tile)
+    monkeypatch.setattr(cluster_metrics, "SUMS_HELD", held)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 1, (80, 2)) for c in (0, 4, 9)] + [np.full((3, 2), 20.0), np.full((1, 2), -9.0)])
+    of = [0] * 80 + [1] * 80 + [2] * 80 + [3] * 3 + [4]
+    df = spark.createDataFrame([(i, float(a), float(b), c, "x") for i, ((a, b), c) in enumerate(zip(x, of))] + [(999, None, 1.0, 0, "x"), (998, 1.0, 1.0, None, "x")], "id int, a double, b double, cluster int, row string").repartition(4)
+    d, of = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.array(of)
+    def one(i):
+        others = [d[i][of == c].mean() for c in set(of) - {of[i]}]
+        n = (of == of[i]).sum()
+        a, b = d[i][of == of[i]].sum() / max(1, n - 1), min(others)
+        return 0.0 if n == 1 else (b - a) / max(a, b)
+    hashed = sorted((int(hashlib.md5(f"silhouette{i}".encode()).hexdigest()[:13], 16), i) for i in range(len(x)))[:rows]
+    got = cluster_metrics.silhouette(df, ["a", "b"], ["id"], rows=rows).first()["silhouette"]
+    assert got == pytest.approx(np.mean([one(i) for _, i in hashed]))
 
 
 def test_centre_blocks_do_not_change_davies_bouldin(cloud, monkeypatch):
