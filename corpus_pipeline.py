@@ -9,11 +9,10 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import scratch
+from plumbline.functions.columns import quoted, scratch
 from plumbline.llm import contamination, jaccard, mixing, quality, tokens
 from plumbline.llm.common import stored
 
@@ -28,23 +27,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold; null and empty texts are scored as empty, whatever other columns are called."""
+    score = SCORE
+    while score in docs.columns:
+        score += "_"
     model = quality.train(quality.labelled_rows(docs, _table(spark, sf_dir, "labels")))
-    return quality.apply(docs, model, out=SCORE).where(F.col(SCORE) >= quality.THRESHOLD).drop(SCORE)
+    return quality.apply(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, as jaccard.representatives says; documents without words all stay."""
     return jaccard.representatives(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a hit word; null texts have none, and without items all stay."""
     return contamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).select(*docs.columns)
+    """Each document as often as its source's rate says, with the caller's columns, also those called copy or place."""
+    given = {c: f"given__{c}" if c in ("copy", "place") else c for c in docs.columns}
+    out = mixing.mixed(docs.select(*[quoted(c).alias(n) for c, n in given.items()]))
+    return out.select(*[quoted(n).alias(c) for c, n in given.items()])
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the token files hold of each document; an empty table writes empty files."""
+    import public_tokenizers
+
     path = scratch(spark, "corpus-tokens")
     tokens.write(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return tokens.summary(tokens.read(spark, path, with_ids=False))
