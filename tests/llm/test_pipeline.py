@@ -71,6 +71,12 @@ def test_copies_follow_the_rates(steps):
     assert Counter(r["doc_id"] for r in done.collect()) == Counter({k: v for k, v in want.items() if v})
 
 
+def test_the_mixture_keeps_a_callers_columns(spark):
+    docs = spark.createDataFrame([(i, "word " * 20, f"s{i % 3}", f"c{i}", 2 * i) for i in range(200)], "doc_id bigint, text string, source string, copy string, place int")
+    done = p.mixture(spark, docs, SF)
+    assert done.dtypes == docs.dtypes and done.count() > 100 and all(r["copy"] == f"c{r['doc_id']}" and r["place"] == 2 * r["doc_id"] for r in done.collect())
+
+
 def test_ids_of_what_is_left(steps):
     given, done = steps["tokens"]
     want = test_tokens.brute(sorted((r["doc_id"], r["text"]) for r in given.collect()))
