@@ -21,7 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import scratch
 from plumbline.llm.common import picked, stored
-from plumbline.llm.words import slices, text_bytes
+from plumbline.llm.words import LOWER, SPACED, mix, slices, text_bytes
 
 SCALE_BITS = 20
 LANES = 32
@@ -41,6 +41,11 @@ LOW = np.uint64(1 << 31)
 TOGETHER = 32
 #: White-space-free pieces whose ids a task remembers.
 REMEMBERED = 600_000
+#: Short pieces also have a slot each, found for a whole batch at once; the slots take 24 MB.
+SLOT_BITS = 20
+#: ASCII letters are 1, ASCII punctuation 2, all else 0.
+KINDS = np.array([1 if chr(b).isalpha() else 2 if 32 < b < 127 and not chr(b).isdigit() else 0 for b in range(128)] + [0] * 128, dtype=np.int8)
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 END = 1
 BLOCKS = (
     "part int, block bigint, n int, crc32 bigint, words binary, checkpoints binary, "
@@ -65,12 +70,13 @@ class Encoder:
     """Ids of whole texts from a tokenizer that drops white space and joins nothing across it.
 
     Pieces between ASCII white space are encoded once and remembered, so ids are those of the whole
-    text. A piece of Latin letters and ASCII punctuation after them needs neither the
-    library's normaliser nor its splitter, if these are of the known kind: it is lowered here, and its letters
-    and its punctuation go to the library's model as the two words that the splitter would make of them.
+    text. Where the library's normaliser and splitter are of the known kind, punctuation after Latin letters is a piece by
+    itself, A-Z are lowered first, and Latin letters go straight to the library's model as the one word that the splitter would
+    make of them. A tokenizer whose ids depend on the white space is refused.
     """
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+    OWN = "|"
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
     KNOWN = {"NFC", "Replace", "Lowercase"}, "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str, end: int):
@@ -82,30 +88,33 @@ class Encoder:
             told = json.load(file)
         steps = {x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])}
         split, *more = (told.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.plain = (steps, split.get("pattern", {}).get("Regex")) == self.KNOWN and [m["type"] for m in more] == ["ByteLevel"]
+        # The library's own tokens are met as they are written, so none may lie in a piece that is cut or lowered.
+        own = [t["content"] for t in told.get("added_tokens", [])]
+        apart = all(self.OWN in t and re.search("[^A-Za-z][A-Za-z]", t) for t in own)
+        self.plain = apart and (steps, split.get("pattern", {}).get("Regex")) == self.KNOWN and [m["type"] for m in more] == ["ByteLevel"]
+        probe = ["So", "it", "is,", "1", "é"]
+        if self.of_library("\t So it\n is,  1 é ") != sum(map(self.of_library, probe), []):
+            raise ValueError("the tokenizer must drop white space and join nothing across it")
         self.signs = byte_signs()
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = Numbers(self.learn)
-        self.marks: dict[str, list[int]] = {"": []}
         self.ids, self.begin = array("I"), array("q", [0])
+        self.head, self.tail = np.zeros((2, 1 << SLOT_BITS), dtype=np.uint64)
+        self.held = np.zeros(1 << SLOT_BITS, dtype=np.int64)
 
     def word(self, text: str) -> list[int]:
         signs = text if text.isascii() else text.encode().decode("latin-1").translate(self.signs)
         return [t.id for t in self.model.tokenize(signs)]
 
+    def of_library(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def learn(self, piece: bytes) -> int:
-        plain = self.PLAIN.fullmatch(piece.decode()) if self.plain else None
-        if plain is None:
-            return self.add(piece, self.library.encode(piece.decode(), add_special_tokens=False).ids)
-        if plain[2] not in self.marks:
-            self.marks[plain[2]] = self.word(plain[2])
-        return self.add(piece, self.word(plain[1].lower()) + self.marks[plain[2]])
-
-    def add(self, piece: bytes, ids: list[int]) -> int:
+        text = piece.decode()
         number = self.number[piece] = len(self.begin) - 1
-        self.ids.extend(ids)
+        self.ids.extend(self.word(text.lower()) if self.plain and self.LETTERS.fullmatch(text) else self.of_library(text))
         self.begin.append(len(self.ids))
         return number
 
@@ -114,20 +123,84 @@ class Encoder:
         if len(self.number) > REMEMBERED:
             self.clear()
         data, offsets = text_bytes(texts)
-        raw = data.tobytes()
-        rows = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        pieces = list(chain.from_iterable(rows))
-        which = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        start, end = spans(data, offsets)
+        if self.plain:
+            start, end = parted(data, start, end)
+        which = self.numbers(self.folded(data, start, end), start, end)
         begins = np.array(self.begin, dtype=np.int64)
         flat = np.append(np.array(self.ids, dtype=np.uint32), np.uint32(self.end))
         # The end id is one more piece after each row's pieces.
-        places = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        take = np.insert(which, places, len(begins) - 1) if len(rows) else which
+        places = np.searchsorted(start, offsets[1:])
+        take = np.insert(which, places, len(begins) - 1)
         size = np.append(np.diff(begins), 1)[take]
-        first = np.cumsum(size) - size
-        ids = flat[np.repeat(begins[take] - first, size) + np.arange(int(size.sum()))]
-        ends = np.cumsum(size)[places + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
-        return ids, np.diff(ends, prepend=0)
+        total = np.cumsum(size)
+        ids = flat[np.repeat(begins[take] - (total - size), size) + np.arange(int(size.sum()))]
+        return ids, np.diff(total[places + np.arange(len(places))], prepend=0)
+
+    def folded(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bytes with A-Z lowered, where the library lowers them too: not in a piece with the sign of its own tokens."""
+        if not self.plain:
+            return data
+        out = np.take(LOWER, data)
+        own = np.unique(np.searchsorted(start, np.flatnonzero(data == ord(self.OWN)), side="right") - 1)
+        for a, b in zip(start[own].tolist(), end[own].tolist()):
+            out[a:b] = data[a:b]
+        return out
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each piece: from the slot of its bytes, where they are the same, else from the dictionary.
+
+        A piece of up to 15 bytes is two 64-bit numbers, its length among them, so that a slot holds it
+        whole and nothing rests on hashes. The first piece of a slot stays; others, and longer pieces, are looked up each time.
+        """
+        size = end - start
+        eights = np.ndarray((len(data) + 8,), "<u8", np.append(data, np.zeros(16, np.uint8)), strides=(1,))
+        head = eights[start] & LOW_BYTES[np.minimum(size, 8)]
+        tail = eights[start + 8] & LOW_BYTES[np.clip(size - 8, 0, 7)]
+        tail |= np.minimum(size, 16).astype(np.uint64) << np.uint64(56)
+        slot = (mix(head + mix(tail)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        hit = (self.tail[slot] == tail) & (self.head[slot] == head) & (size < 16)
+        out = np.where(hit, self.held[slot], 0)
+        missed = np.flatnonzero(~hit)
+        raw = data.tobytes()
+        pieces = (raw[a:b] for a, b in zip(start[missed].tolist(), end[missed].tolist()))
+        out[missed] = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(missed))
+        fresh = missed[(size[missed] < 16) & (self.tail[slot[missed]] == 0)]
+        places, first = np.unique(slot[fresh], return_index=True)
+        self.head[places], self.tail[places], self.held[places] = head[fresh[first]], tail[fresh[first]], out[fresh[first]]
+        return out
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs without ASCII white space begin and end; no run goes on into the next row."""
+    inside = np.take(SPACED, data)
+    rows = offsets[:-1][offsets[:-1] < len(data)]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[rows] = inside[rows]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, end: int) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has met for the worker's next tasks."""
+    return Encoder(path, end)
+
+
+def parted(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans, those of Latin letters with ASCII punctuation after them cut between the two."""
+    kind = np.take(KINDS, data)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+    mine = np.searchsorted(start, cut, side="right") - 1
+    letters, marks = (np.append(0, np.cumsum(kind == k, dtype=np.int64)) for k in (1, 2))
+    first, last = start[mine], end[mine]
+    whole = (first < cut) & (letters[cut] - letters[first] == cut - first) & (marks[last] - marks[cut] == last - cut)
+    return np.sort(np.append(start, cut[whole]), kind="stable"), np.sort(np.append(end, cut[whole]), kind="stable")
 
 
 def byte_signs() -> dict[int, str]:
@@ -266,9 +339,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end: in
     kind = narrow(tokenizer, end)
 
     def run(batches):
-        encoder = Encoder(tokenizer, end)
+        ours = encoder(tokenizer, end)
         for batch in slices(batches, most=2 << 20):
-            ids, sizes = encoder.encode(batch.column("text"))
+            ids, sizes = ours.encode(batch.column("text"))
             raw, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
             ends = np.cumsum(sizes) * size
             rows = [raw[a:b] for a, b in zip((ends - sizes * size).tolist(), ends.tolist())]

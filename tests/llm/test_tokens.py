@@ -31,6 +31,25 @@ def test_ids_are_those_of_the_whole_text():
     assert at == len(ids)
 
 
+def test_ids_of_pieces_at_the_edges_of_slots_and_cuts():
+    """Words of 14 to 17 bytes, capitals, punctuation after letters, control strings in either case, met twice."""
+    rng = random.Random(3)
+    pieces = [s * n for s in ("x", "X", "é", "\x00") for n in (7, 8, 14, 15, 16, 17)] + [
+        "word,", "WORD,", "Éa..", "a×,", "÷,", "a—,", "can't,", "'S", "a1,", "<|endoftext|>", "<|ENDOFTEXT|>", "ab<|endoftext|>,", "a|,", "é́,", "漢,", "x\x01,",
+    ]
+    rows = [rng.choice(["", " ", "\n"]).join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(2000)]
+    encoder, library = k.Encoder(PATH, 1), Tokenizer.from_file(PATH)
+    want = [i for r in rows for i in [*library.encode(r, add_special_tokens=False).ids, 1]]
+    for _ in range(2):
+        ids, sizes = encoder.encode(pa.array(rows))
+        assert ids.tolist() == want and int(sizes.sum()) == len(want)
+
+
+def test_a_tokenizer_that_keeps_white_space_is_refused():
+    with pytest.raises(ValueError, match="white space"):
+        k.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+
+
 @pytest.mark.parametrize("sizes", [[0], [1], [31, 32, 33], [k.CHECKPOINT * k.LANES + 1, k.BLOCK, 5]])
 def test_round_trip(sizes):
     rng = np.random.default_rng(1)
