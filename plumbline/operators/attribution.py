@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import factorial
 from typing import Any
 
 import numpy as np
@@ -17,6 +16,9 @@ from plumbline.operators.ordering import numbered
 
 #: The column that carries a step's place through the scoring.
 WALK = "walk__step"
+#: Conditions of leaves and rows that are worked on at once.
+COLUMNS = 2048
+ROWS = 512
 
 
 def linear(df: DataFrame, cols: Sequence[str], weights: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
@@ -96,39 +98,74 @@ def _walk(nodes, weight, by_class, leaves) -> np.ndarray:
     return mean
 
 
-def leaf_shares(leaf: Leaf, passed: np.ndarray) -> np.ndarray:
-    """Shapley value of each condition of a leaf worth 1, for rows of met conditions.
+@dataclass
+class Block:
+    """Leaves with equally many conditions, of any tree: one row per leaf, one column per condition or output."""
 
-    The game: a feature in the coalition counts as met or not, one outside counts as its
-    training share. The polynomial over coalition sizes gives all subsets at once.
-    """
-    n, m = passed.shape
-    met = passed.astype(float)
-    out = np.zeros((n, m))
-    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    for j in range(m):
-        poly = np.zeros((n, m))
-        poly[:, 0] = 1.0
-        for i in range(m):
-            if i != j:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * met[:, i, None]
-                poly = poly * leaf.reach[i] + shifted
-        out[:, j] = (met[:, j] - leaf.reach[j]) * (poly @ weight)
-    return out
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    reach: np.ndarray
+    value: np.ndarray
 
 
-def explain_batch(leaves: list[Leaf], x: np.ndarray, outputs: int) -> np.ndarray:
-    """Attributions (rows, outputs, features) of a block of rows."""
-    phi = np.zeros((x.shape[0], outputs, x.shape[1]))
+def blocks_of(leaves: list[Leaf]) -> list[Block]:
+    """The leaves by their number of conditions, in blocks of some COLUMNS conditions."""
+    by_size: dict[int, list[Leaf]] = {}
     for leaf in leaves:
-        part = x[:, leaf.features]
-        passed = (part > leaf.low) & (part <= leaf.high)
-        # Rows that meet the same conditions share their values.
-        patterns, which = np.unique(passed, axis=0, return_inverse=True)
-        shares = leaf_shares(leaf, patterns)[which.ravel()]
-        for o in range(outputs):
-            phi[:, o, leaf.features] += leaf.value[o] * shares
+        by_size.setdefault(len(leaf.features), []).append(leaf)
+    out = []
+    for m, group in sorted(by_size.items()):
+        step = max(1, COLUMNS // m)
+        for at in range(0, len(group), step):
+            part = group[at : at + step]
+            out.append(Block(*[np.array([getattr(leaf, f) for leaf in part]) for f in ("features", "low", "high", "reach", "value")]))
+    return out
+
+
+def shares(reach: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Shapley value of each condition (last axis) of a leaf worth 1.
+
+    The game: a feature in the coalition counts as met or not, one outside counts as its training share, which
+    is above 0. The weights of coalitions are the integrals of t^s (1-t)^(m-1-s), so a value is the integral over t of the
+    product of the other conditions' mixtures: a polynomial of degree m - 1, which Gauss's rule sums without error.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss((reach.shape[-1] + 1) // 2)
+    total = 0.0
+    for t, weight in zip((nodes + 1) / 2, weights / 2):
+        mixture = reach * (1 - t) + met * t
+        total = total + weight * mixture.prod(axis=-1, keepdims=True) / mixture
+    return (met - reach) * total
+
+
+def explain_batch(blocks: list[Block], x: np.ndarray, outputs: int) -> np.ndarray:
+    """Attributions (rows, outputs, features) of a block of rows.
+
+    A block of leaves takes one comparison of all its conditions and one gather from a table: conditions met, as bits, to
+    shares. Where the patterns of bits are no fewer than a quarter of the rows, the rows' own patterns are worked out instead.
+    """
+    n = len(x)
+    phi = np.zeros((n, outputs, x.shape[1]))
+    for b in blocks:
+        leaves, m = b.features.shape
+        bits = 1 << np.arange(m, dtype=np.int64)
+        table = None
+        if 4 << m <= n:
+            patterns = (np.arange(1 << m)[:, None] & bits) > 0
+            table = shares(b.reach, patterns[:, None, :]).reshape(1 << m, leaves * m)
+        # Columns of one feature side by side, so that a feature's shares are added in one pass.
+        order = np.argsort(b.features.ravel(), kind="stable")
+        used, starts = np.unique(b.features.ravel()[order], return_index=True)
+        owner = order // m
+        for at in range(0, n, ROWS):
+            part = x[at : at + ROWS][:, b.features]
+            met = (part > b.low) & (part <= b.high)
+            if table is None:
+                got = shares(b.reach, met).reshape(len(part), leaves * m)[:, order]
+            else:
+                got = table[(met @ bits)[:, owner], order]
+            for o in range(outputs):
+                phi[at : at + ROWS, o, used] += np.add.reduceat(got * b.value[owner, o], starts, axis=1)
     return phi
 
 
@@ -139,7 +176,8 @@ def tree(model: Any, df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (
     the score: the margin of a boosted model, class shares of a forest.
     """
     leaves, base = read_leaves(model, df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    # As large as the model.
+    shared = df.sparkSession.sparkContext.broadcast(blocks_of(leaves))
     outputs, d = len(base), len(cols)
 
     def explain(batches):

@@ -234,6 +234,41 @@ def test_tree_attribution_equals_all_coalitions(spark):
         assert np.allclose(r["phi"], brute_shapley(tree, np.array([r["a"], r["b"], r["c"]]), 3), atol=1e-9)
 
 
+def test_shares_of_a_leaf_are_those_of_all_coalitions():
+    rng = np.random.default_rng(8)
+    for m in range(1, 8):
+        reach, met = rng.uniform(0.01, 1, m), rng.integers(0, 2, m) > 0
+        worth = lambda s: np.prod([met[i] if i in s else reach[i] for i in range(m)])
+        for j, got in enumerate(attribution.shares(reach, met)):
+            others = [i for i in range(m) if i != j]
+            want = sum(
+                math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) * (worth({*s, j}) - worth(set(s)))
+                for k in range(m) for s in itertools.combinations(others, k)
+            )
+            assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_tables_of_conditions_give_what_single_rows_give():
+    """Paths of 1 to 13 conditions, several outputs, bounds that are met exactly, NaN, more leaves than a block holds."""
+    rng = np.random.default_rng(9)
+    leaves = []
+    for m in [*range(1, 14)] * 3 + [2] * 1500:
+        low = rng.integers(-3, 1, m).astype(float)
+        leaves.append(attribution.Leaf(rng.normal(size=2), sorted(rng.choice(15, m, replace=False).tolist()), low, low + rng.integers(1, 4, m), rng.uniform(0.05, 1, m)))
+    blocks = attribution.blocks_of(leaves)
+    assert sum(len(b.features) for b in blocks) == len(leaves) and max(b.features.size for b in blocks) <= attribution.COLUMNS
+    x = rng.integers(-4, 5, (1100, 15)).astype(float)
+    x[5, 3] = np.nan
+    together = attribution.explain_batch(blocks, x, 2)
+    for i in [0, 5, 511, 512, 1099]:
+        assert np.allclose(together[i], attribution.explain_batch(blocks, x[i : i + 1], 2)[0], atol=1e-11)
+    # What the conditions add up to: the leaf's value where all are met, less its mean.
+    met = lambda b, r: ((r[b.features] > b.low) & (r[b.features] <= b.high)).all(axis=1)
+    for i in [0, 7, 900]:
+        want = sum(((met(b, x[i]) - b.reach.prod(axis=1))[:, None] * b.value).sum(axis=0) for b in blocks)
+        assert np.allclose(together[i].sum(axis=1), want, atol=1e-9)
+
+
 def test_sampled_attribution_is_near_exact_for_an_additive_model(spark):
     rng = np.random.default_rng(6)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 1, (150, 2)))], "id long, a double, b double")
