@@ -11,6 +11,7 @@ from catalogue import query, rounded, run_sql, table
 from plumbline.config import Settings
 from plumbline.operators import association, attribution, metrics, search, select, split
 from plumbline.operators.cluster import assemble
+from plumbline.plans.report import report
 from plumbline.plans.train import train
 
 PARTS = """SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice / 100 AS price, p_retailprice / 100 + p_size / 1000.0 AS twin,
@@ -272,3 +273,21 @@ def _(spark, sf):
 def _(spark, sf):
     run = train(table(spark, sf, "customer").drop("c_name"), Settings(id_cols=["c_custkey"]))
     return rounded(run.tables["cluster_profiles"])
+
+
+@query(
+    "report_summary",
+    """WITH t AS (SELECT CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 'yes' ELSE 'no' END AS cheap, p_partkey FROM {part}),
+    classes AS (SELECT cheap, count(*) AS n FROM t GROUP BY cheap)
+    SELECT 'rows' AS item, CAST(CAST(sum(n - floor(0.2 * n + 0.5)) AS BIGINT) AS VARCHAR) AS value FROM classes
+    UNION ALL SELECT 'duplicates', CAST(count(*) AS VARCHAR) FROM t WHERE p_partkey % 10 = 0
+    UNION ALL SELECT 'problem', 'classification'
+    UNION ALL SELECT 'target', 'cheap'
+    UNION ALL SELECT 'model', 'logistic_regression'""",
+)
+def _(spark, sf):
+    """The head of a run's report: training rows left of the table without its copies, and the copies found."""
+    rows = "SELECT p_partkey, p_brand, p_size, p_retailprice, CASE WHEN p_retailprice + p_size * 3 < 1000 THEN 'yes' ELSE 'no' END AS cheap FROM {part}"
+    df = run_sql(spark, sf, f"{rows} UNION ALL {rows} WHERE p_partkey % 10 = 0")
+    run = train(df, Settings(target="cheap", id_cols=["p_partkey"], max_trials=1, models=["logistic_regression"], shap=False), check=False)
+    return report(run, spark)["summary"].where("item IN ('rows', 'duplicates', 'problem', 'target', 'model')")

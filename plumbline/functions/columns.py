@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,9 +129,42 @@ def shared_folder(spark) -> str:
     return folder
 
 
+class Ledger:
+    """The scratch paths given out while it is open, in its own thread; closing it removes what was written there.
+
+    Tables that read from such a path must not be used after that.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Ledger:
+        self.outer = LEDGER.set(self)
+        return self
+
+    def __exit__(self, failure, *_) -> None:
+        """Stop listing; after a failure nobody is left to read the tables, so they go at once."""
+        LEDGER.reset(self.outer)
+        if failure is not None:
+            self.close()
+
+    def close(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[-1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.paths.pop()
+
+
+LEDGER: ContextVar[Ledger | None] = ContextVar("ledger", default=None)
+
+
 def scratch(spark, name: str) -> str:
     """A fresh path for a table one step writes and the next reads."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    ledger = LEDGER.get()
+    if ledger is not None:
+        ledger.paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

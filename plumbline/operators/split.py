@@ -11,8 +11,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions.columns import hash52, quoted, row_key, stored
+from plumbline.functions.columns import hash52, quoted, row_key, scratch, stored
 from plumbline.operators.ordering import skew_lookup
 
 #: The hash has so many bits, and a level of the histogram looks at so many more.
@@ -119,3 +120,24 @@ def split(
 ) -> tuple[DataFrame, DataFrame]:
     marked = assign_test(df, id_cols, stratify=stratify, share=share, salt=salt, name="__test")
     return marked.where(~F.col("__test")).drop("__test"), marked.where("__test").drop("__test")
+
+
+def split_stored(
+    df: DataFrame, id_cols: Sequence[str] = (), *, stratify: str | None = None,
+    share: float = 0.2, salt: str = "split",
+) -> tuple[DataFrame, DataFrame]:
+    """``split`` of rows that are marked once and written by side, so that a later scan opens one side's files and hashes no row.
+
+    Columns without a type, which Parquet cannot hold, come back as they were. No column name is reserved.
+    """
+    side = "side"
+    while side.lower() in {c.lower() for c in df.columns}:
+        side += "_"
+    marked = assign_test(df, id_cols, stratify=stratify, share=share, salt=salt, name=side).withColumn(side, quoted(side).cast("int"))
+    typed = marked.select(*[quoted(f.name) for f in marked.schema if f.dataType != T.NullType()])
+    path = scratch(df.sparkSession, "split")
+    typed.write.partitionBy(side).parquet(path)
+    both = df.sparkSession.read.schema(typed.schema).parquet(path)
+    back = [F.lit(None).alias(f.name) if f.dataType == T.NullType() else quoted(f.name) for f in df.schema]
+    fit, test = (both.where(quoted(side) == s).select(*back) for s in (0, 1))
+    return fit, test

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.functions.columns import compact, materialise, normalise, quoted, union_all
+from plumbline.functions.columns import Ledger, compact, materialise, normalise, quoted, union_all
 from plumbline.operators import attribution, audit as auditing, cluster, cluster_metrics, drops, metrics
 from plumbline.operators.detect import Detection, detect
 from plumbline.operators.findings import Audit, run_audit
@@ -24,7 +24,7 @@ from plumbline.operators.prepare import prepare
 from plumbline.operators.resample import oversample
 from plumbline.operators.search import Facts, Study, build, cross_validate, search
 from plumbline.operators.select import PROBE_ROUNDS, Selection, check_selection, eliminate, select_features
-from plumbline.operators.split import assign_folds, split
+from plumbline.operators.split import assign_folds, split_stored
 from plumbline.sources.artifacts import FittedModel, timestamp
 
 TREES = ("lightgbm", "xgboost", "random_forest")
@@ -47,6 +47,18 @@ class Result:
     metrics: dict[str, float | None]
     tables: dict[str, DataFrame]
     log: list[tuple[str, float, str, str | None]] = field(default_factory=list)
+    ledger: Ledger | None = None
+
+    def __enter__(self) -> Result:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove the run's scratch tables, once the report is written and the model saved; both may still read them."""
+        if self.ledger is not None:
+            self.ledger.close()
 
     def run_log(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.log, "step string, seconds double, status string, error string")
@@ -72,8 +84,16 @@ class Steps:
 def train(df: DataFrame, settings: Settings, *, check: bool = True) -> Result:
     """Deduplicate, detect, split, audit, prepare, select, search, evaluate.
 
-    The held-out rows are set aside first; everything is fitted on the rest.
+    The held-out rows are set aside first; everything is fitted on the rest. The run's scratch tables are
+    removed when it fails, and else when its result is closed.
     """
+    with Ledger(df.sparkSession) as ledger:
+        result = _train(df, settings, check)
+    result.ledger = ledger
+    return result
+
+
+def _train(df: DataFrame, settings: Settings, check: bool) -> Result:
     spark = df.sparkSession
     steps = Steps()
     target = None if settings.unsupervised else settings.target
@@ -160,7 +180,7 @@ def _split(table: DataFrame, found: Detection, settings: Settings) -> tuple[Data
     share = settings.thresholds.test_share
     if stratify and table.groupBy(quoted(stratify)).count().where("count < 2").limit(1).count():
         stratify = None
-    return split(table, settings.id_cols, stratify=stratify, share=share, salt=salt)
+    return split_stored(table, settings.id_cols, stratify=stratify, share=share, salt=salt)
 
 
 def _thirds(folded: DataFrame, found: Detection, settings: Settings) -> DataFrame:
