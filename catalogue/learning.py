@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogue import query, rounded, run_sql, table
 from plumbline.config import Settings
+from plumbline.functions.columns import compact
 from plumbline.operators import association, attribution, metrics, search, select, split
 from plumbline.operators.cluster import assemble
 from plumbline.plans.report import report
@@ -232,7 +233,7 @@ def _(spark, sf):
     cols = ["size", "price", "noise"]
     df = parts(spark, sf)
     n = df.count()
-    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42)).fit(df)
+    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42)).fit(compact(df, n, 100_000))
 
     def score(t):
         return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])
@@ -245,13 +246,14 @@ def _(spark, sf):
     """Attributions plus the mean score of the background rows equal the score of every row."""
     cols = ["size", "price", "noise"]
     df = parts(spark, sf)
-    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", df.count(), 2, 1.0, False, 42)).fit(df)
+    n = df.count()
+    model = search.build("svc", {"c": 1.0}, cols, search.Facts("classification", n, 2, 1.0, False, 42)).fit(compact(df, n, 100_000))
 
     def score(t):
         return model.transform(t).withColumn("score", vector_to_array("rawPrediction")[1])
 
     totals = attribution.walked(score, df, cols, "p_partkey").groupBy("key").agg(F.sum("phi").alias("total"))
-    both = score(df.select(*cols, "p_partkey")).join(totals, F.col("p_partkey") == F.col("key"))
+    both = score(compact(df.select(*cols, "p_partkey"), n)).join(totals.hint("merge"), F.col("p_partkey") == F.col("key"))
     return both.agg(F.count(F.lit(1)).alias("rows"), F.round(F.max(F.abs(F.col("total") - F.col("score"))), 6).alias("gap"))
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import quoted, scratch
+from plumbline.functions.columns import compact, quoted, scratch
 from plumbline.operators.ordering import numbered
 
 #: The column that carries a step's place through the scoring.
@@ -230,11 +230,13 @@ def walked(
     # Background rows are numbered in hash order, and walks meet theirs by number.
     drawn = held if background is None else by_hash(seed + 1, background)
     base = numbered(drawn, [F.xxhash64("key", F.lit(seed + 1)), F.col("key")], "place").select("place", F.col("values").alias("start"))
-    met = max(1, base.count())
-    picked = held if rows is None else by_hash(seed, rows)
+    total = held.count()
+    met = max(1, total if background is None else min(total, background))
+    picked = compact(held if rows is None else by_hash(seed, rows), total if rows is None else min(total, rows))
     draws = picked.withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("place", F.pmod(F.xxhash64("key", "walk", F.lit(seed)), F.lit(met)))
     ranked = F.array_sort(F.array(*[F.struct(F.xxhash64("key", "walk", F.lit(seed + 2), F.lit(j)).alias("at"), F.lit(j).alias("j")) for j in range(d)]))
-    walks = draws.join(base, "place").withColumn("turn", ranked["j"])
+    # Spark judges the draws by the file they come from, which is far smaller: neither side may be broadcast.
+    walks = draws.join(base.hint("merge"), "place").withColumn("turn", ranked["j"])
     place = [F.array_position("turn", j) for j in range(d)]
     steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
     now = [F.when(place[j] <= F.col("step"), F.col("values")[j]).otherwise(F.col("start")[j]).alias(c) for j, c in enumerate(names)]

@@ -277,6 +277,13 @@ def test_sampled_attribution_is_near_exact_for_an_additive_model(spark):
     assert len(row) == 2 and all(r["r"] > 0.99 for r in row)
 
 
+def test_walks_are_joined_by_key_however_small_their_files(spark, capsys):
+    df = spark.range(60).select("id", F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    attribution.walked(lambda t: t.withColumn("score", F.col("a")), df, ["a", "b"], "id", orders=2).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [place#" in plan and "BroadcastHashJoin [place#" not in plan
+
+
 def test_sampled_attribution_walks_all_rows_unless_asked(spark):
     df = spark.range(450).selectExpr("id", "CAST(id AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b")
     score = lambda t: t.withColumn("score", F.col("a") + F.col("b"))
