@@ -144,3 +144,30 @@ def test_centre_blocks_do_not_change_davies_bouldin(cloud, monkeypatch):
     monkeypatch.setattr(cluster_metrics, "CENTRE_BLOCK", 2)
     parts = cluster_metrics.davies_bouldin(df, ["a", "b"]).first()
     assert whole["clusters"] == 7 and parts["davies_bouldin"] == pytest.approx(whole["davies_bouldin"])
+
+
+def _scattered(spark, n, dims, seed=5):
+    rng = np.random.default_rng(seed)
+    cols = [f"c{i}" for i in range(dims)]
+    x = rng.normal(0, 1, (n, dims))
+    return x, spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in cols)), cols
+
+
+def test_directionless_points_are_sent_to_tiles_not_to_every_cell(spark):
+    _, df, cols = _scattered(spark, 900, 16)
+    points = neighbours.weighted_points(df, cols)
+    pivots = neighbours.choose_pivots(points)
+    a, b = neighbours._blocks(neighbours.assign(points, pivots), points, pivots, np.full(len(pivots), 100.0), ["w"])
+    assert a.count() == b.count() == 900
+
+
+def test_tiles_find_the_same_neighbours_and_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 150)
+    monkeypatch.setattr(neighbours, "STRIP_ROWS", 40)
+    x, df, cols = _scattered(spark, 500, 12)
+    d = neighbours.distances(x, x)
+    got = {r["id"]: r["distance"] for r in neighbours.neighbour_distance(df, cols, 5, ["id"]).collect()}
+    assert got == {i: v for i, v in enumerate(np.sort(d, axis=1)[:, 4])}
+    scan = neighbours.DensityScan(df, cols, 2.6)
+    around = {tuple(r["x"]): r["around"] for r in scan.points.collect()}
+    assert all(around[tuple(v)] == n for v, n in zip(x, (d <= 2.6).sum(axis=1)))
