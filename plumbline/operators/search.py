@@ -349,7 +349,7 @@ class Trial:
     model: str
     params: dict[str, float]
     tag: str
-    began: float
+    began: float | None = None
     scores: dict[int, float] = field(default_factory=dict)
     seen: int = 0
     state: str | None = None
@@ -379,10 +379,13 @@ def search(
     ``settings.trials_at_once`` trials run side by side, and all folds of each. A trial whose folds beat all trials fitted so far
     is fitted on all rows right away, and is complete when that is done, so nothing is left to fit
     when the budget ends. Trials end as ``complete``, ``pruned``, ``failed: why`` or ``timed_out``: the jobs of those that
-    run when the budget ends are cancelled, and the log keeps the folds that had ended (null: had not). Where
-    no trial is complete by then, one more of a linear model is run to its end, or, without one in the pool, the trial
-    that is furthest goes on. Settings are drawn in the order of the trials; which trials a trial is pruned against
-    hangs on which had ended.
+    run when the budget ends are cancelled, and the log keeps the folds that had ended (null: had not). The first trials are
+    drawn together, and a linear one among them runs before the others, by itself for up to half the budget, so that a trial is
+    complete early. Where
+    no trial is complete when the budget ends, a linear one that was drawn goes on; else one more of a linear model is run to its end, or,
+    without one in the pool or with ``settings.max_trials`` drawn, the trial that is furthest goes on. With that bound, the log
+    also lists drawn trials that the budget left no time for. Settings are drawn in the order of the trials; which trials a
+    trial is pruned against hangs on which had ended.
     """
     start = time.monotonic()
     spark = train.sparkSession
@@ -405,14 +408,17 @@ def search(
     deadline, expired = start + settings.time_budget, False
 
     def end(trial: Trial, state: str) -> None:
-        trial.state, trial.seconds = state, time.monotonic() - trial.began
+        trial.state, trial.seconds = state, 0.0 if trial.began is None else time.monotonic() - trial.began
         jobs.cancel(trial.tag)
 
-    def begin(model: str) -> None:
-        trial = Trial(len(trials), model, draw(model, rng, size_class, settings.max_iter), f"{name}-{len(trials)}", time.monotonic())
-        trials.append(trial)
+    def plan(model: str) -> Trial:
+        trials.append(Trial(len(trials), model, draw(model, rng, size_class, settings.max_iter), f"{name}-{len(trials)}"))
+        return trials[-1]
+
+    def begin(trial: Trial) -> None:
+        trial.began = time.monotonic()
         try:
-            pipelines = [build(model, trial.params, cols, facts) for _ in range(folds)]
+            pipelines = [build(trial.model, trial.params, cols, facts) for _ in range(folds)]
         except Exception as e:  # noqa: BLE001 - one failing trial must not end the search
             return end(trial, f"failed: {type(e).__name__}: {str(e)[:300]}")
         for i, pipeline in enumerate(pipelines):
@@ -444,31 +450,52 @@ def search(
                 return complete(trial)
             jobs.submit(trial.tag, (trial, ALL_ROWS), lambda: build(trial.model, trial.params, cols, facts).fit(data))
 
-    with Jobs(spark, max(1, settings.trials_at_once) * (folds + 1)) as jobs:
+    at_once = max(1, settings.trials_at_once)
+
+    def bounded() -> bool:
+        return settings.max_trials is not None and len(trials) >= settings.max_trials
+
+    while len(trials) < at_once and not bounded():
+        plan(rng.choice(pool))
+    first = next((t for t in trials if t.model in LINEAR), None)
+
+    def furthest(options: Sequence[Trial]) -> Trial | None:
+        return max(options, key=lambda t: (t.began is not None, len(t.scores), -t.number), default=None)
+
+    with Jobs(spark, at_once * (folds + 1)) as jobs:
         while True:
-            running_now = [t for t in trials if t.state is None]
-            late = time.monotonic() > deadline
-            if late and not expired:
+            left = [t for t in trials if t.state is None]
+            running_now = [t for t in left if t.began is not None]
+            if time.monotonic() > deadline and not expired:
                 expired = True
                 quick = [m for m in pool if m in LINEAR]
-                # Without a complete trial, the one with the most folds goes on alone, or a linear model begins.
-                stay = max(running_now, key=lambda t: (len(t.scores), -t.number), default=None) if best is None and not quick else None
-                for t in running_now:
+                # Without a complete trial, one that was drawn goes on alone, or a linear model begins.
+                stay = None
+                if best is None:
+                    stay = furthest([t for t in left if t.model in LINEAR])
+                    if stay is None:
+                        stay = plan(quick[0]) if quick and not bounded() else furthest(left)
+                for t in left:
                     if t is not stay:
                         end(t, "timed_out")
-                if best is None and quick:
-                    begin(quick[0])
-                continue
-            may_begin = settings.max_trials is None or len(trials) < settings.max_trials
-            if may_begin and not (late and trials) and len(running_now) < max(1, settings.trials_at_once):
-                begin(rng.choice(pool))
+                if stay is not None and stay.began is None:
+                    begin(stay)
                 continue
+            if not expired and len(running_now) < at_once:
+                alone = first is not None and first.state is None and time.monotonic() < start + settings.time_budget / 2
+                waiting = [t for t in left if t.began is None and (t is first or not alone)]
+                if not waiting and not alone and not bounded():
+                    waiting = [plan(rng.choice(pool))]
+                if waiting:
+                    begin(waiting[0])
+                    continue
             if not running_now:
                 break
             for (trial, i), result, error in jobs.ended():
                 take(trial, i, result, error)
+    begun = [t for t in trials if t.began is not None]
     data.unpersist()
     if best is None:
-        raise RuntimeError(f"the search completed no successful trial; the last one {trials[-1].state}")
-    log = spark.createDataFrame([t.row(t is best) for t in trials], TRIALS)
-    return Study(best.model, best.params, best.score, best.fitted, log, len(trials))
+        raise RuntimeError(f"the search completed no successful trial; the last one {begun[-1].state}")
+    log = spark.createDataFrame([t.row(t is best) for t in (begun if settings.max_trials is None else trials)], TRIALS)
+    return Study(best.model, best.params, best.score, best.fitted, log, len(begun))

@@ -100,3 +100,23 @@ def test_a_failing_fold_ends_its_trial_only(folded, monkeypatch):
     states = {r["state"] for r in study.trials.collect()}
     assert "failed: ValueError: no such fold" in states and "complete" in states
     assert study.trials.where(F.col("best")).count() == 1
+
+
+def test_the_bound_on_trials_holds_when_the_budget_ends(folded, monkeypatch):
+    monkeypatch.setitem(search.FACTORIES, "slow", slow)
+    monkeypatch.setitem(search.SPACES, "slow", [])
+    drawn = iter(["slow", "logistic_regression", "slow"])
+    monkeypatch.setattr(search.random.Random, "choice", lambda self, pool: next(drawn))
+    study = search.search(folded, ["a", "b"], "classification", 2, Settings(max_trials=3, time_budget=0.01, models=["slow", "logistic_regression"]))
+    assert [(r["state"], r["best"]) for r in study.trials.orderBy("trial").collect()] == [("timed_out", False), ("complete", True), ("timed_out", False)]
+    assert study.n_trials == 1
+
+
+def test_a_linear_trial_runs_before_the_others(folded, monkeypatch):
+    began, fold = [], search._fold
+    monkeypatch.setattr(search, "_fold", lambda data, pipeline, problem, i: began.append(type(pipeline.getStages()[-1]).__name__) or fold(data, pipeline, problem, i))
+    models = iter(["random_forest", "logistic_regression", "random_forest"])
+    monkeypatch.setattr(search.random.Random, "choice", lambda self, pool: next(models))
+    study = search.search(folded, ["a", "b"], "classification", 2, Settings(max_trials=3, max_iter=3, models=["random_forest", "logistic_regression"]))
+    assert began == ["LogisticRegression"] * 5 + ["RandomForestClassifier"] * 10
+    assert [r["model"] for r in study.trials.orderBy("trial").collect()] == ["random_forest", "logistic_regression", "random_forest"]
