@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import materialise, quoted
+from plumbline.functions.columns import Ledger, materialise, quoted, stored
 from plumbline.operators.ordering import bucketed, cumulate, quantiles, skew_lookup
 
 MAX_PIVOTS = 1000
@@ -367,24 +367,30 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours, then follows the label's
     own label, so the number of rounds grows with the logarithm of the diameter. Labels
-    shared by many nodes are broadcast, and every round is checkpointed.
+    shared by many nodes are broadcast. Every round is written and read again: a checkpoint would hand what Spark
+    has inferred of its columns on to the next round, which doubles with every round. A round's tables go with the next.
     """
     total = nodes.count()
-    labels = materialise(nodes.select("pid", F.col("pid").alias("label")))
+    labels, before = nodes.select("pid", F.col("pid").alias("label")), None
     while True:
-        heard = edges.join(labels, edges.v == labels.pid).groupBy("u").agg(F.min("label").alias("heard"))
-        step = labels.join(heard, labels.pid == heard.u, "left").select(
-            "pid", F.col("label").alias("old"), F.least("label", "heard").alias("label")
-        )
-        step = materialise(step)
-        uses = step.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        jump = uses.join(
-            step.select(F.col("pid").alias("label"), F.col("label").alias("root")), "label"
-        ).withColumn("total", F.lit(total))
-        step = materialise(skew_lookup(step, jump, ["label"], ["root"]).select("pid", "old", F.col("root").alias("label")))
-        labels = step.select("pid", "label")
+        with Ledger(nodes.sparkSession) as written:
+            heard = edges.join(labels, edges.v == labels.pid).groupBy("u").agg(F.min("label").alias("heard"))
+            step = labels.join(heard, labels.pid == heard.u, "left").select(
+                "pid", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+            )
+            step = stored(step, "heard")
+            uses = step.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+            jump = uses.join(
+                step.select(F.col("pid").alias("label"), F.col("label").alias("root")), "label"
+            ).withColumn("total", F.lit(total))
+            step = stored(skew_lookup(step, jump, ["label"], ["root"]).select("pid", "old", F.col("root").alias("label")), "jumped")
+        if before is not None:
+            before.close()
+        labels, before = step.select("pid", "label"), written
         if step.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+            found = materialise(labels)
+            written.close()
+            return found
 
 
 def _numbered(labels: DataFrame) -> DataFrame:

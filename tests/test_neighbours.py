@@ -1,11 +1,13 @@
 """Neighbours, density clusters and oversampling against brute force."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import shared_folder
 from plumbline.operators import cluster, cluster_metrics, neighbours, resample
 
 
@@ -171,3 +173,16 @@ def test_tiles_find_the_same_neighbours_and_clusters(spark, monkeypatch):
     scan = neighbours.DensityScan(df, cols, 2.6)
     around = {tuple(r["x"]): r["around"] for r in scan.points.collect()}
     assert all(around[tuple(v)] == n for v, n in zip(x, (d <= 2.6).sum(axis=1)))
+
+
+def test_components_of_a_long_chain_hand_on_no_inferred_columns(spark):
+    """A checkpointed round hands on twice what was inferred of the round before, until the driver is full."""
+    n = 600
+    nodes = spark.range(n).select(F.col("id").alias("pid"))
+    link = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = neighbours.connected(nodes, link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    assert {tuple(r) for r in found.groupBy("label").count().collect()} == {(0, n)}
+    assert found._jdf.queryExecution().analyzed().constraints().size() < 10
+    assert not [f for f in set(os.listdir(folder)) - before if f.startswith(("heard", "jumped"))]
