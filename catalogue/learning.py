@@ -185,10 +185,16 @@ def _(spark, sf):
     return _study(study, df, 60, lambda s: s <= 0, lambda p: p.isNotNull())
 
 
+def _spread(spark, sf, cols):
+    """The parts as features, in tasks of a bounded number of rows: a file may be one task, which would hold all rows of a tree's fit."""
+    df = parts(spark, sf)
+    return assemble(compact(df, df.count()), cols)
+
+
 @query("attribution_tree")
 def _(spark, sf):
     cols = ["size", "price", "noise"]
-    data = assemble(parts(spark, sf), cols)
+    data = _spread(spark, sf, cols)
     model = GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)
     return metrics.ranking(attribution.tree_importance(model, data, cols))
 
@@ -197,7 +203,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Attributions plus the mean equal the score of every row."""
     cols = ["size", "price", "noise"]
-    data = assemble(parts(spark, sf), cols)
+    data = _spread(spark, sf, cols)
     out = []
     for name, model in (
         ("boosted", GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)),
@@ -221,7 +227,7 @@ def _(spark, sf):
 @query("attribution_one_row")
 def _(spark, sf):
     cols = ["size", "price", "noise"]
-    data = assemble(parts(spark, sf), cols)
+    data = _spread(spark, sf, cols)
     model = GBTClassifier(maxIter=5, maxDepth=4, seed=1).fit(data)
     largest = data.agg(F.max("p_partkey")).scalar()
     phi, _ = attribution.tree(model, data.where(F.col("p_partkey") == largest), cols)
