@@ -186,3 +186,30 @@ def test_components_of_a_long_chain_hand_on_no_inferred_columns(spark):
     assert {tuple(r) for r in found.groupBy("label").count().collect()} == {(0, n)}
     assert found._jdf.queryExecution().analyzed().constraints().size() < 10
     assert not [f for f in set(os.listdir(folder)) - before if f.startswith(("heard", "jumped"))]
+
+
+def test_all_starts_of_k_means_share_their_passes(spark):
+    """100 starts one by one take thousands of jobs; rows far from zero and equal rows are measured as exactly as others."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 2)) for c in [(0, 0), (6, 6), (0, 7)]] + [np.full((40, 2), 3.0)]) + 1e6
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(4)
+    spark.sparkContext.setJobGroup("starts", "starts")
+    curve, models = cluster.kmeans_sweep(df, ["a", "b"], ks=range(2, 12))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("starts")) < 400
+    assert [r["inertia"] for r in curve.orderBy("k").collect()] == sorted((m.inertia for m in models.values()), reverse=True)
+    for k in (2, 4, 11):
+        d = ((x[:, None] - models[k].centres[None]) ** 2).sum(axis=2)
+        assert models[k].inertia == pytest.approx(d.min(axis=1).sum(), rel=1e-6)
+        of = d.argmin(axis=1)
+        pairs = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        to = np.stack([pairs[:, of == c].sum(axis=1) / max(1, (of == c).sum()) for c in range(k)], axis=1)
+        size = np.bincount(of, minlength=k)[of]
+        a = to[np.arange(len(x)), of] * size / np.maximum(1, size - 1)
+        to[np.arange(len(x)), of] = np.inf
+        b = to.min(axis=1)
+        want = np.where(size > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean()
+        assert models[k].silhouette == pytest.approx(want, rel=1e-6)
+        assert cluster_metrics.silhouette_squared(models[k].transform(df), ["a", "b"]).first()["silhouette"] == pytest.approx(want, rel=1e-6)
+    again = cluster.fit_kmeans(df.repartition(3), ["a", "b"], 4)
+    assert again.centres == pytest.approx(models[4].centres) and models[4].inertia < 200
