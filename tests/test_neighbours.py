@@ -213,3 +213,17 @@ def test_all_starts_of_k_means_share_their_passes(spark):
         assert cluster_metrics.silhouette_squared(models[k].transform(df), ["a", "b"]).first()["silhouette"] == pytest.approx(want, rel=1e-6)
     again = cluster.fit_kmeans(df.repartition(3), ["a", "b"], 4)
     assert again.centres == pytest.approx(models[4].centres) and models[4].inertia < 200
+
+
+def test_discovery_fits_its_micro_clusters_once_and_keeps_the_better_of_all(spark, monkeypatch):
+    calls = []
+    whole = cluster.KMeans.fit
+    monkeypatch.setattr(cluster.KMeans, "fit", lambda self, data: calls.append(self.getK()) or whole(self, data))
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 0.3, (120, 2)) for c in [(0, 0), (5, 5), (0, 6)]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    won = cluster.discover(df, ["a", "b"])
+    assert calls == [300]
+    tried = {r["name"]: r["silhouette"] for r in won.candidates.collect()}
+    assert {"kmeans k=3", "hierarchical ward", "hierarchical complete", "hierarchical average"} <= set(tried)
+    assert won.silhouette == max(tried.values()) and won.labelled.count() == 360

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.operators import select
+from plumbline.operators import cluster, select
 from plumbline.operators.detect import detect
 from plumbline.operators.findings import run_audit
+from plumbline.operators.prepare import Prepared
 from plumbline.operators.select import NothingLeft, select_features
 from plumbline.plans.report import report, write_report
 from plumbline.plans.train import StepFailed, train
@@ -223,3 +224,15 @@ def test_clustering_run(spark, tmp_path):
     run.model.kind = "density"
     with pytest.raises(ValueError, match="cannot label new rows"):
         run.model.score(df, ["id"])
+
+
+def test_a_k_means_model_is_saved_with_its_centres(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    pts = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in [(0, 0), (5, 5), (0, 6), (6, 0)]])
+    df = spark.createDataFrame(pd.DataFrame({"a": pts[:, 0], "b": pts[:, 1]}))
+    plan = Prepared([("a", "double"), ("b", "double")], {"a": "a", "b": "b"}, {"a": "a", "b": "b"})
+    fit = cluster.fit_kmeans(df, ["a", "b"], 4)
+    fitted = FittedModel(plan, ["a", "b"], fit, "kmeans", {"problem": "clustering"})
+    want = {(r["a"], r["cluster"]) for r in fit.transform(df).collect()}
+    model = FittedModel.load(fitted.save(str(tmp_path / "m"), spark), spark)
+    assert {(r["a"], r["cluster"]) for r in model.predict(df).collect()} == want
