@@ -1,8 +1,12 @@
 """Fits of trees read rows in tasks of a bounded number, however few files hold them."""
 
+from threading import Barrier
+
 from pyspark.sql import functions as F
 
 from catalogue import learning
+from plumbline.functions.columns import for_passes
+from plumbline.operators import select
 
 
 def test_one_file_of_parts_becomes_several_tasks(spark, tmp_path):
@@ -11,3 +15,21 @@ def test_one_file_of_parts_becomes_several_tasks(spark, tmp_path):
     data = learning._spread(spark, str(tmp_path), ["size", "price", "noise"])
     sizes = [r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 50_000 and max(sizes) <= 20_000
+
+
+def test_iterative_fits_read_fuller_tasks_where_there_are_many(spark):
+    tasks = [for_passes(spark.range(10), n).rdd.getNumPartitions() for n in (0, 20_001, 300_000, 1_200_000, 7_200_000)]
+    assert tasks == [1, 2, 15, 16, 72]
+
+
+def test_probes_of_a_consensus_are_fitted_side_by_side(spark, monkeypatch):
+    together, whole = Barrier(3), select.probe
+
+    def probe(*args):
+        together.wait(timeout=20)
+        return whole(*args)
+
+    monkeypatch.setattr(select, "probe", probe)
+    df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 20 > 9).cast("double").alias("label"))
+    found = {r["feature"]: r["importance"] for r in select.consensus_importance(df, ["a", "b"], "classification", trees=2).collect()}
+    assert found["a"] > found["b"]
