@@ -139,6 +139,27 @@ def test_euclidean_silhouette_beside_all_pairs(spark, monkeypatch, rows, tile, h
     assert got == pytest.approx(np.mean([one(i) for _, i in hashed]))
 
 
+@pytest.mark.parametrize("dealt", [20_000, 40])
+def test_sums_sent_for_a_silhouette_do_not_grow_with_the_clusters(spark, monkeypatch, dealt):
+    monkeypatch.setattr(cluster_metrics, "DEALT_ROWS", dealt)
+    rng = np.random.default_rng(4)
+    x, of = rng.normal(0, 5, (900, 2)), np.concatenate([np.repeat(np.arange(400), 2), np.full(100, 400)])
+    held = spark.createDataFrame([([float(a), float(b)], int(c), i) for i, ((a, b), c) in enumerate(zip(x, of))], "x array<double>, cluster int, h bigint").repartition(8)
+    sums = cluster_metrics.sample_sums(held, x[:50], of[:50].astype(object)).collect()
+    tasks, parts = (1, 0) if dealt > 900 else (23, 23)
+    assert len(sums) <= 50 * (1 + tasks + parts)
+    for i in range(50):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        got = {}
+        for r in sums:
+            if r["row"] == i:
+                total, n = got.get(r["other"], (0.0, 0))
+                got[r["other"]] = total + r["total"], n + r["n"]
+        assert got[of[i]] == (pytest.approx(d[of == of[i]].sum()), 2)
+        want = min(d[of == c].mean() for c in set(of) - {of[i]})
+        assert min(t / n for c, (t, n) in got.items() if c != of[i]) == pytest.approx(want)
+
+
 def test_centre_blocks_do_not_change_davies_bouldin(cloud, monkeypatch):
     df, _ = cloud
     df = df.withColumn("cluster", F.pmod("id", F.lit(7)).cast("int"))
