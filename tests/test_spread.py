@@ -73,3 +73,29 @@ def test_a_probe_refuses_nulls(spark):
     df = wide(spark, 50).withColumn("label", F.col("y")).withColumn("c", F.when(F.col("a") > 0, F.col("c")))
     with pytest.warns(UserWarning), pytest.raises(RuntimeError):
         select.consensus_importance(df, ["a", "b", "c"], "regression", trees=2, seeds=(0,))
+
+
+def probed(monkeypatch):
+    """Rows that probes are explained on, as a list that grows."""
+    sizes, whole = [], select.tree_importance
+    monkeypatch.setattr(select, "tree_importance", lambda model, data, *rest: sizes.append(data.count()) or whole(model, data, *rest))
+    return sizes
+
+
+def repeated(spark, rows):
+    i = F.col("id")
+    return spark.range(rows).select((i % 50).cast("double").alias("a"), (i % 7).cast("double").alias("b"), (i % 50 > 20 + i % 7).cast("double").alias("label"))
+
+
+def test_selection_fits_its_probes_to_cells(spark, monkeypatch):
+    sizes = probed(monkeypatch)
+    found = select.select_features(repeated(spark, 20_000), ["a", "b"], "classification", 2, trees=2)
+    assert len(sizes) == 3 and max(sizes) <= 350 * 2
+    assert found.kept[0] == "a"
+
+
+def test_elimination_fits_its_probes_to_cells(spark, monkeypatch):
+    sizes = probed(monkeypatch)
+    kept, history = select.eliminate(repeated(spark, 20_000), ["a", "b"], "classification", 2, len, trees=2)
+    assert len(sizes) == 1 and max(sizes) <= 350 * 2
+    assert kept == ["a", "b"] and history == [(2, 2), (1, 1)]
