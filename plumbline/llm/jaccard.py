@@ -5,11 +5,13 @@ shingles into segments. Two sets that differ in at most d shingles agree on a se
 in one shingle there, because the segments' allowances add up to more than d: an exact segment
 allows for one difference, a segment indexed with its one-deletion neighbours for two. How many
 segments get neighbours, and how many may stay empty, is the scheme's allocation; it is chosen
-by the index rows it writes and the chance meetings it leaves. Classes that meet in any segment
-come into one block. A shared passage joins many of them by chance, so a block is first cut by
-sizes and by parity sketches: the bits in which two sketches differ are never more than the
-shingles in which the sets differ, so no link is lost. What is left of a block is compared
-exactly, tile against tile. A tile returns a spanning forest of its links, never its pairs.
+by the index rows it writes and the chance meetings it leaves. A shared passage lets many classes
+meet by chance, so only classes of one index entry are held against each other, by sizes and by
+parity sketches: the bits in which two sketches differ are never more than the shingles in which
+the sets differ, so no link is lost. A few classes of an entry are paired, more of them are a block
+of their own, and those of entries too common for that come into one block where they are linked.
+What is left together is compared exactly, tile against tile. A tile returns a spanning forest of
+its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +40,12 @@ COLUMNS = 1 << 13
 #: A tile of sketches holds about this many of them, or this many bytes, twice.
 TILE_SKETCHES = 4096
 TILE_BYTES = 1 << 22
+#: Classes of an entry that are paired, that are one block, and that are linked at once within a batch.
+PAIRED = 16
+BLOCKED = 2048
+MANY = 64
+#: What a row of meetings is: two classes, a class and the entry that is its block, or two classes of one block.
+PAIR, BLOCK, LINK = 0, 1, 2
 #: Bits of the filter that keeps texts of no candidate out of the shuffle: 1 MB at every size.
 MARKS = 1 << 23
 #: Classes a task remembers so as to index copies once; a class it forgot is indexed again.
@@ -217,9 +225,9 @@ def _unseen(batches, n: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[b
         yield batch, rows, keys, kept
 
 
-def _entries(batches, n: int, plan: dict[int, Scheme]) -> Iterator[pa.RecordBatch]:
-    """(entry, class, null) for the index. Classes that meet within the batch are linked to one of
-    them at once, as (any number, class, class), and it alone goes on: a hot entry is one row a batch."""
+def _entries(batches, n: int, plan: dict[int, Scheme], many: int) -> Iterator[pa.RecordBatch]:
+    """(entry, class, null) for the index. More than ``many`` classes that meet within the batch are linked to one of them
+    at once, as (any number, class, class), and it alone goes on, as (entry, class, itself): a hot entry is one row a batch."""
     for _, _, keys, sets in _unseen(batches, n):
         entries, owners = [], []
         for key, s in zip(keys, sets):
@@ -235,37 +243,68 @@ def _entries(batches, n: int, plan: dict[int, Scheme]) -> Iterator[pa.RecordBatc
         entry, owner = entry[order], owner[order]
         again = np.zeros(len(entry), dtype=bool)
         again[1:] = entry[1:] == entry[:-1]
-        head = owner[np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))]
-        pairs = np.unique(np.stack([head[again], owner[again]], axis=1), axis=0)
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(entry))))
+        hot = np.bincount(first, minlength=len(entry))[first] > many
+        gone = hot & again
+        pairs = np.unique(np.stack([owner[first[gone]], owner[gone]], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield _record({"entry": (entry[~again], pa.int64()), "a": (owner[~again], pa.int64()), "b": ([None] * int((~again).sum()), pa.int64())})
+        itself = pa.array(owner[~gone], pa.int64(), mask=~hot[~gone])
+        yield pa.RecordBatch.from_arrays([pa.array(entry[~gone]), pa.array(owner[~gone]), itself], names=["entry", "a", "b"])
         if len(pairs):
             yield _record({"entry": (pairs[:, 0] ^ (pairs[:, 1] << 1), pa.int64()), "a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64())})
 
 
-def _met(batches) -> Iterator[pa.RecordBatch]:
-    """Links of each entry's first class with the others; rows come sorted by entry."""
-    last, head = None, None
+def _met(batches, paired: int, blocked: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, kind) of classes that share an entry; rows come sorted by entry and class.
+
+    Up to ``paired`` classes are sent as pairs, up to ``blocked`` each with the entry's number. More of them, or those linked
+    within a batch, are links with the first one.
+    """
+
+    def sent(a: np.ndarray, b: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield _record({"a": (a, pa.int64()), "b": (b, pa.int64()), "kind": (np.full(len(a), kind), pa.int32())})
+
+    def closed(entry: np.ndarray, a: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What whole entries give."""
+        if not len(entry):
+            return
+        fresh = np.append(True, entry[1:] != entry[:-1])
+        hot = np.logical_or.reduceat(hot, np.flatnonzero(fresh))
+        once = fresh | np.append(True, a[1:] != a[:-1])
+        entry, a, fresh = entry[once], a[once], fresh[once]
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(a)))
+        hot |= size > blocked
+        few = ~hot & (size <= paired)
+        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        for k in np.unique(size[few & (size > 1)]):
+            i, j = np.triu_indices(k, 1)
+            at = first[few & (size == k)][:, None]
+            pairs.append(np.stack([a[at + i].ravel(), a[at + j].ravel()], axis=1))
+        yield from sent(*np.unique(np.concatenate(pairs), axis=0).T, PAIR)
+        block = np.repeat(~hot & ~few, size)
+        yield from sent(a[block], entry[block], BLOCK)
+        link = np.repeat(hot, size) & ~fresh
+        links = np.unique(np.stack([np.repeat(a[first], size)[link], a[link]], axis=1), axis=0)
+        yield from sent(*links.T, LINK)
+
+    entry, a, hot = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     for batch in batches:
-        done = batch.filter(pa.compute.is_valid(batch.column("b"))).select(["a", "b"])
-        if done.num_rows:
-            yield done
-        rows = batch.filter(pa.compute.is_null(batch.column("b")))
-        if not rows.num_rows:
+        new, b = batch.column("a").to_numpy(), batch.column("b").fill_null(-1).to_numpy()
+        done = (b != -1) & (b != new)
+        yield from sent(new[done], b[done], LINK)
+        entry, a, hot = np.append(entry, batch.column("entry").to_numpy()[~done]), np.append(a, new[~done]), np.append(hot, b[~done] != -1)
+        if not len(entry):
             continue
-        entry, a = rows.column("entry").to_numpy(), rows.column("a").to_numpy()
-        same = np.zeros(len(entry), dtype=bool)
-        same[1:] = entry[1:] == entry[:-1]
-        at = np.maximum.accumulate(np.where(same, 0, np.arange(len(entry))))
-        heads = a[at]
-        if last is not None and entry[0] == last:
-            heads[at == 0] = head
-            same[0] = True
-        last, head = entry[-1], heads[-1]
-        pairs = np.unique(np.stack([heads[same], a[same]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        if len(pairs):
-            yield _record({"a": (pairs[:, 0], pa.int64()), "b": (pairs[:, 1], pa.int64())})
+        # The last entry may go on in the next batch; one too common to be a block goes on as its first class.
+        last = np.searchsorted(entry, entry[-1])
+        yield from closed(entry[:last], a[:last], hot[:last])
+        entry, a, hot = entry[last:], a[last:], hot[last:]
+        if len(entry) > blocked + 1 and (hot.any() or len(np.unique(a)) > blocked):
+            yield from closed(entry, a, np.ones(len(entry), dtype=bool))
+            entry, a, hot = entry[:1], a[:1], np.ones(1, dtype=bool)
+    yield from closed(entry, a, hot)
 
 
 def marked(numbers: DataFrame) -> np.ndarray:
@@ -357,9 +396,9 @@ def alike(sketches: list[bytes], sizes: np.ndarray, share: Fraction) -> list[tup
     return out
 
 
-def _alike(batches, share: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that may link, as a forest for every tile of sketches."""
-    for rows in _runs(batches, ("block", "step", "i", "j")):
+def _alike(batches, keys: tuple[str, ...], share: Fraction) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes that may link, as a forest for every key's sketches."""
+    for rows in _runs(batches, keys):
         number = np.concatenate([r.column("number").to_numpy() for r in rows])
         sizes = np.concatenate([r.column("size").to_numpy() for r in rows])
         pairs = alike([s for r in rows for s in r.column("sketch").to_pylist()], sizes, share)
@@ -389,8 +428,8 @@ def _cells(member: DataFrame, keys: list[str], tiles: DataFrame) -> DataFrame:
     return every.withColumn("i", F.least("at", "with")).withColumn("j", F.greatest("at", "with")).drop("at", "with", "tiles")
 
 
-def _refined(member: DataFrame, share: Fraction) -> DataFrame:
-    """(number, block): what is left together of each block of (number, size, sketch, block) by sizes and sketches.
+def _likely(member: DataFrame, share: Fraction) -> DataFrame:
+    """(a, b): classes of each block of (number, size, sketch, block) that may link, by sizes and sketches, as forests.
 
     Sizes of a link differ by a factor of at most 1 / share, which is the width of a step, so
     a class is compared in its own step and in the one below.
@@ -402,9 +441,42 @@ def _refined(member: DataFrame, share: Fraction) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / TILE_SKETCHES), F.ceil(F.sum(F.octet_length("sketch")) / TILE_BYTES)).cast("int").alias("tiles")
     )
     cells = _cells(spread, ["block", "step"], tiles.where("n > 1").drop("n"))
-    keys = ["block", "step", "i", "j"]
-    may = cells.select(*keys, "number", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _alike(it, share), "a bigint, b bigint")
-    return components(may).select(F.col("node").alias("number"), F.col("root").alias("block"))
+    return _compared(cells, ["block", "step", "i", "j"], share)
+
+
+def _compared(cells: DataFrame, keys: list[str], share: Fraction) -> DataFrame:
+    """(a, b): pairs within each key's rows that may link, as a forest."""
+    rows = cells.select(*keys, "number", "size", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(lambda it: _alike(it, tuple(keys), share), "a bigint, b bigint")
+
+
+def _held(batches, share: Fraction) -> Iterator[pa.RecordBatch]:
+    """The pairs of classes whose sketches allow the similarity."""
+    top, bottom = share.denominator - share.numerator, share.denominator + share.numerator
+    for batch in batches:
+        sketches = [batch.column(f"sketch_{c}") for c in "ab"]
+        words = [pa.compute.binary_length(c).to_numpy() // 8 for c in sketches]
+        apart = np.zeros(batch.num_rows, dtype=np.int64)
+        for wa, wb in np.unique(np.stack(words, axis=1), axis=0):
+            rows = np.flatnonzero((words[0] == wa) & (words[1] == wb))
+            bits = [np.frombuffer(b"".join(c.take(pa.array(rows)).to_pylist()), dtype=np.uint64).reshape(len(rows), w) for c, w in zip(sketches, (wa, wb))]
+            for k, width in enumerate((wa, wb)):
+                while width > min(wa, wb):
+                    width //= 2
+                    bits[k] = bits[k][:, :width] ^ bits[k][:, width:]
+            apart[rows] = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        near = apart * bottom <= top * batch.column("sizes").to_numpy()
+        if near.any():
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+
+def _paired(pairs: DataFrame, sketches: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity."""
+    top, bottom = share.denominator - share.numerator, share.denominator + share.numerator
+    for c in "ab":
+        pairs = pairs.join(sketches.select(F.col("number").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+    pairs = pairs.where(f"abs(size_a - size_b) * {bottom} <= {top} * (size_a + size_b)")
+    return pairs.select("a", "b", F.expr("size_a + size_b").alias("sizes"), "sketch_a", "sketch_b").mapInArrow(lambda it: _held(it, share), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, n: int, share: float, id_col: str = "doc_id", text_col: str = "text", tile_sets: int = TILE_SETS) -> DataFrame:
@@ -432,13 +504,20 @@ def _groups(wanted: DataFrame, n: int, share: float, tile_sets: int = TILE_SETS)
     plan = schemes(bands, exact)
 
     texts = wanted.select("text")
-    index = texts.mapInArrow(lambda it: _entries(it, n, plan), "entry bigint, a bigint, b bigint")
-    meets = index.repartition("entry").sortWithinPartitions("entry").mapInArrow(_met, "a bigint, b bigint")
-    blocks = components(meets).select(F.col("node").alias("number"), F.col("root").alias("block"))
+    many, paired, blocked = MANY, PAIRED, BLOCKED
+    index = texts.mapInArrow(lambda it: _entries(it, n, plan, many), "entry bigint, a bigint, b bigint")
+    meets = stored(index.repartition("entry").sortWithinPartitions("entry", "a").mapInArrow(lambda it: _met(it, paired, blocked), "a bigint, b bigint, kind int"), "meets")
+    joined = components(meets.where(F.col("kind") == LINK).select("a", "b")).select(F.col("node").alias("number"), F.col("root").alias("block"))
+    met = meets.where(F.col("kind") == BLOCK).select(F.col("a").alias("number"), F.col("b").alias("block"))
 
     number = F.expr("CAST(conv(hex(substring(class, 1, 6)), 16, 10) AS BIGINT)").alias("number")
     sketches = rows.where("class IS NOT NULL").groupBy("class").agg(F.any_value("sketch").alias("sketch"), F.max("n_shingles").alias("size"))
-    blocks = _refined(sketches.select(number, "size", "sketch").join(blocks, "number"), exact)
+    sketches = sketches.select(number, "size", "sketch")
+    pairs = meets.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    # An entry's block is no more than half a tile.
+    small = _compared(sketches.join(met, "number"), ["block"], exact)
+    may = _likely(sketches.join(joined, "number"), exact).union(small).union(_paired(pairs, sketches, exact))
+    blocks = components(may).select(F.col("node").alias("number"), F.col("root").alias("block"))
 
     member = classes.select(number, "size").join(blocks, "number")
     tiles = member.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile_sets), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("tiles"))

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import jaccard as j
@@ -131,6 +132,24 @@ def test_small_tiles_lose_nothing(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == brute(docs, 5, 0.8)
 
 
+@pytest.mark.parametrize("many,paired,blocked", [(1, 1, 1), (2, 2, 4), (64, 1, 100)])
+def test_every_kind_of_meeting_loses_nothing(spark, monkeypatch, many, paired, blocked):
+    for name, value in (("MANY", many), ("PAIRED", paired), ("BLOCKED", blocked)):
+        monkeypatch.setattr(j, name, value)
+    docs = corpus()
+    got = j.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), 5, 0.8).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, 5, 0.8)
+
+
+def test_strangers_who_meet_one_after_the_other_are_no_block():
+    of = {k: [k, k + 1] for k in range(40)} | {100: list(range(200, 220)), 200: list(range(300, 330)), 300: [400, 401], 400: [500], 500: [600, 601]}
+    rows = [(e, a, a if a == 400 else None) for e, members in of.items() for a in sorted(members * (2 if e % 200 == 100 else 1))] + [(500, 601, 600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 7])], names=["entry", "a", "b"]) for i in range(0, len(rows), 7)]
+    got = {(r["a"], r["b"], r["kind"]) for b in j._met(iter(batches), 16, 25) for r in b.to_pylist()}
+    want = {(k, k + 1, j.PAIR) for k in [*range(40), 600]} | {(a, 100, j.BLOCK) for a in range(200, 220)}
+    assert got == want | {(300, a, j.LINK) for a in range(301, 330)} | {(400, 401, j.LINK), (601, 600, j.LINK)}
+
+
 def test_components_of_paths_and_stars(spark):
     rows = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(40)] + [(5000, 5000), (7, 3)]
     got = components(spark.createDataFrame(rows, "a bigint, b bigint")).collect()
