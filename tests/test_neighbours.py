@@ -196,6 +196,43 @@ def test_tiles_find_the_same_neighbours_and_clusters(spark, monkeypatch):
     assert all(around[tuple(v)] == n for v, n in zip(x, (d <= 2.6).sum(axis=1)))
 
 
+@pytest.mark.parametrize("dims", [1, 2, 9, 64])
+def test_screens_leave_plain_distances_as_they_are(dims, monkeypatch):
+    """Pairs are screened by products in single precision, in any number of dimensions; few are measured plainly."""
+    rng = np.random.default_rng(dims)
+    measured, paired = [], neighbours._paired
+    monkeypatch.setattr(neighbours, "_paired", lambda a, b: measured.append(len(a)) or paired(a, b))
+    for scale, off in ((1.0, 0.0), (1e-20, 0.0), (1e19, 0.0), (1.0, 1e3), (1.0, 1e9)):
+        b = rng.normal(size=(600, dims)) * scale + off * scale
+        a = np.concatenate([b[:30], rng.normal(size=(30, dims)) * scale + off * scale])
+        d = neighbours.distances(a, b)
+        measured.clear()
+        assert (np.sort(neighbours.closest(a, b, 5)[1], axis=1) == np.sort(d, axis=1)[:, :5]).all()
+        for eps in (0.0, *np.quantile(d, [0.001, 0.2]), d[40, 7]):
+            assert (neighbours.within(a, b, eps) == (d <= eps)).all()
+        if off == 0 and scale == 1:
+            assert len(measured) == 5 and sum(measured) < 0.05 * d.size
+
+
+@pytest.mark.parametrize("most", [0, 50, 10**6])
+def test_links_of_a_block_give_its_components(monkeypatch, most):
+    monkeypatch.setattr(neighbours, "LISTED", most)
+    monkeypatch.setattr(neighbours, "STRIP_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = rng.permutation(np.concatenate([np.arange(200) * 0.9, 1000 + np.arange(60) * 0.9, [500.0]]))[:, None]
+    labels = np.arange(len(x)) * 3 + 5
+    left, right = neighbours.starred(x[:150], x[100:], labels[:150], labels[100:], 1.0)
+    got, hit = np.full(len(x), -1), neighbours.distances(x, x) <= 1.0
+    want = labels.copy()
+    side = np.zeros_like(hit)
+    side[:150, 100:] = True
+    hit &= side | side.T
+    for _ in range(len(x)):
+        want = np.where(hit | np.eye(len(x), dtype=bool), want[None, :], 10**6).min(axis=1)
+    got[:150], got[100:] = left, right
+    assert (got == want).all() and (left[100:] == right[:50]).all()
+
+
 def test_components_of_a_long_chain_hand_on_no_inferred_columns(spark):
     """A checkpointed round hands on twice what was inferred of the round before, until the driver is full."""
     n = 600
